@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The surveyed analyses read finished field sheets once; they have no stream
+source, watermark, window or state, so there is nothing to express with
+Structured Streaming. Every plan in ``quadrat.plans`` is a batch DataFrame and
+can be re-run on new files as they land.
+"""
