@@ -4,9 +4,9 @@ Written from the survey's semantics, not from the Spark code: role tables as
 CTEs over the driver's views (lineitem, supplier, nation, region, customer),
 then each analysis in plain SQL. Conventions that keep both engines on the
 same numbers: decimal literals are cast to DOUBLE; ``x / NULLIF(y, 0)`` for
-division (NULL instead of Inf/NaN); ``round_even`` for half-even rounding, and
-``+ 0.0`` after it so a negative zero prints as zero, as Spark's ``bround``
-returns.
+division (NULL instead of Inf/NaN); ``round_even`` for half-even rounding of the value
+snapped to 9 decimals, and ``+ 0.0`` after it so a negative zero prints as
+zero, as Spark's ``bround`` returns.
 """
 
 from __future__ import annotations
@@ -129,7 +129,9 @@ def STRICT_MEAN(x: str) -> str:
 
 
 def R1(x: str, d: int = 1) -> str:
-    return f"(round_even({x}, {d}) + 0.0::DOUBLE)"
+    """Display rounding: snap to 9 decimals (drops summation-order noise), then
+    half-even."""
+    return f"(round_even(round_even({x}, 9), {d}) + 0.0::DOUBLE)"
 
 
 def TXT(x: str) -> str:
@@ -470,7 +472,7 @@ FROM pc, pg"""
     q["natural_full_join"] = _with(*CH_ALL, CH_JOIN) + "SELECT * FROM chg"
 
     def num2(x: str) -> str:
-        t = (f"regexp_replace(regexp_replace(CAST(CAST(round_even({x}, 2) + 0.0::DOUBLE AS DECIMAL(20,2))"
+        t = (f"regexp_replace(regexp_replace(CAST(CAST({R1(x, 2)} AS DECIMAL(20,2))"
              f" AS VARCHAR), '0+$', ''), '\\.$', '')")
         return f"coalesce(CASE WHEN {t} = '-0' THEN '0' ELSE {t} END, 'NA')"
 

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from .nulls import ColumnOrName, _c
 
 
+# Decimal places kept before display rounding: far below any displayed digit,
+# far above the last-bit noise of a distributed sum (order of additions varies
+# with partitioning, so 2.95 may arrive as 2.9499999999999993).
+SNAP_DIGITS = 9
+
+
 def round_half_even(x: ColumnOrName, digits: int = 1) -> Column:
     """R-style ``round`` (ties to even on the decimal value).
 
     ``bround`` rounds the decimal representation half-to-even, so 12.25 -> 12.2.
-    A double that is not exactly a tie (0.15 is 0.1499...) still follows its
-    decimal text, as DuckDB's ``round_even`` does.
+    The value is first snapped to :data:`SNAP_DIGITS` decimals so that a true
+    decimal tie is rounded the same way whatever order a distributed sum used.
     """
-    return F.bround(_c(x).cast("double"), digits)
+    return F.bround(F.bround(_c(x).cast("double"), SNAP_DIGITS), digits)
 
 
 def number_text(x: ColumnOrName) -> Column:

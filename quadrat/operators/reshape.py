@@ -35,14 +35,20 @@ def unpivot_regex(df: DataFrame, ids: Sequence[str], cols: Sequence[str], patter
 
     Each capture group of ``pattern`` becomes one column; a name that does not
     match gives NULL parts (N12). Missing values are kept (N13).
+
+    The pattern is applied to the column *names* once, while the plan is built:
+    each source column becomes one struct of literal name parts and its value,
+    and a single ``inline`` emits the rows. No per-row regular expression runs.
     """
-    src = df
-    if value_type:
-        src = df.withColumns({c: F.col(c).cast(value_type) for c in cols})
-    long = src.unpivot(list(ids), list(cols), "__name", values_to)
-    parts = {n: F.nullif(F.regexp_extract("__name", pattern, i + 1), F.lit(""))
-             for i, n in enumerate(names_to)}
-    return long.select(*ids, *[p.alias(n) for n, p in parts.items()], values_to)
+    rx = re.compile(pattern)
+    structs = []
+    for c in cols:
+        m = rx.search(c)
+        parts = [m.group(i + 1) if m else None for i in range(len(names_to))]
+        val = F.col(c).cast(value_type) if value_type else F.col(c)
+        structs.append(F.struct(*[F.lit(p).cast("string").alias(n) for n, p in zip(names_to, parts)],
+                                val.alias(values_to)))
+    return df.select(*ids, F.inline(F.array(*structs)))
 
 
 def unpivot_multi(df: DataFrame, ids: Sequence[str], pattern: str,

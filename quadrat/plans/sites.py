@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import mean_strict
-from ..functions.text import sign_label
+from ..functions.text import round_half_even, sign_label
 from ..operators.join import natural_full_join, natural_join
 from . import trees as T
 
@@ -36,7 +36,7 @@ def site_changes(trees: DataFrame, heights: DataFrame, start=T.START_YEAR,
 
 def _num2(x: Column) -> Column:
     """``round(x, 2)`` as R's ``paste0`` prints it (12, 1.5, -0.25, NA)."""
-    t = F.bround(x, 2).cast("decimal(20,2)").cast("string")
+    t = round_half_even(x, 2).cast("decimal(20,2)").cast("string")
     t = F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")
     t = F.when(t == "-0", F.lit("0")).otherwise(t)
     return F.coalesce(t, F.lit("NA"))
