@@ -23,15 +23,58 @@ def site_coordinates(coords: DataFrame) -> DataFrame:
         mean_strict("Longitude").alias("Longitude"))
 
 
+def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR) -> DataFrame:
+    """D17 (alive, dead) and D19 by Site from ONE scan of the tree table.
+
+    Same rows and values as full-joining the three change tables: a site gets
+    ``total_change``/``stem_density_change`` only if it has living plots in
+    some year (else NULL), ``total_change_dead`` only if it has dead plots in a
+    known year; an absent year counts 0 (B8). Three levels of partial
+    aggregates (plot, site-year, site); no join.
+    """
+    ba = T.basal_area("DBH_cm")
+    is_sp = F.col("Species").isin(list(T.SPECIES))
+    alive = is_sp & F.col("Mortality").isin(list(T.ALIVE))
+    dead = is_sp & F.col("Mortality").isin(list(T.DEAD))
+    plot = trees.where(alive | dead).groupBy("SY", "Site", "Plot").agg(
+        F.count(F.when(alive, F.lit(1))).alias("n_a"),
+        F.count(F.when(dead, F.lit(1))).alias("n_d"),
+        T.sum0(F.when(alive, ba)).alias("ba_a"),
+        T.sum0(F.when(dead, ba)).alias("ba_d"))
+    has_a, has_d = F.col("n_a") > 0, (F.col("n_d") > 0) & F.col("SY").isNotNull()
+    sy = plot.groupBy("SY", "Site").agg(
+        F.count(F.when(has_a, F.lit(1))).alias("p_a"),
+        F.count(F.when(has_d, F.lit(1))).alias("p_d"),
+        F.coalesce(F.avg(F.when(has_a, F.col("ba_a"))), F.lit(0.0)).alias("m_a"),
+        F.coalesce(F.avg(F.when(has_d, F.col("ba_d"))), F.lit(0.0)).alias("m_d"),
+        F.avg(F.when(has_a, F.col("n_a") / F.lit(T.PLOT_AREA_HA))).alias("dens"))
+
+    def at(year, present: str, value: str):
+        return F.coalesce(F.max(F.when((F.col("SY") == F.lit(year)) & (F.col(present) > 0),
+                                       F.col(value))), F.lit(0.0))
+
+    def change(present: str, value: str):
+        d = at(end, present, value) - at(start, present, value)
+        return F.when(F.count(F.when(F.col(present) > 0, F.lit(1))) > 0, F.coalesce(d, F.lit(0.0)))
+
+    return sy.groupBy("Site").agg(
+        change("p_a", "m_a").alias("total_change"),
+        change("p_d", "m_d").alias("total_change_dead"),
+        change("p_a", "dens").alias("stem_density_change"))
+
+
 def site_changes(trees: DataFrame, heights: DataFrame, start=T.START_YEAR,
                  end=T.END_YEAR) -> DataFrame:
-    """``Reduce(merge(all = TRUE))`` of the four change tables by Site."""
-    return natural_full_join([
-        T.basal_change(trees, start, end),
-        T.basal_change_dead(trees, start, end),
-        T.height_change(heights, start, end),
-        T.density_change(trees, start, end),
-    ])
+    """``Reduce(merge(all = TRUE))`` of the four change tables by Site.
+
+    The three tree-based changes come from one scan (:func:`tree_changes`);
+    only the height change (another table) is joined, null-safe on Site.
+    """
+    t = tree_changes(trees, start, end)
+    h = T.height_change(heights, start, end)
+    j = natural_full_join([t, h])
+    return j.select("Site", "total_change", "total_change_dead", "height_change",
+                    "stem_density_change")
 
 
 def _num2(x: Column) -> Column:

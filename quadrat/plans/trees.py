@@ -69,12 +69,14 @@ def mean_basal_area(trees: DataFrame) -> DataFrame:
 
     A plot without living stems of the three species is absent, not 0; a
     missing result (e.g. SE of one plot) is reported as 0 (``replace_na``).
+    Only the measures are filled: a missing year stays missing rather than
+    becoming year 0, so it still joins with the other tables' rows.
     """
     live = _species_status(trees, ALIVE)
     r = nested_mean_se(live, ["SY", "Site"], ["Plot"],
                        {"basal_plot": sum0(basal_area("DBH_cm"))},
                        {"basal_plot": ("mean_basal_area", "mean_basal_area_SE")})
-    return fill_zero(r)
+    return fill_zero(r, ["mean_basal_area", "mean_basal_area_SE"])
 
 
 def mean_basal_area_dead(trees: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def mean_basal_area_dead(trees: DataFrame) -> DataFrame:
     r = nested_mean_se(dead, ["SY", "Site"], ["Plot"],
                        {"basal_plot": sum0(basal_area("DBH_cm"))},
                        {"basal_plot": ("mean_basal_area", "mean_basal_area_SE")})
-    return fill_zero(r)
+    return fill_zero(r, ["mean_basal_area", "mean_basal_area_SE"])
 
 
 def species_contribution(trees: DataFrame, mortality: str = "alive") -> DataFrame:
@@ -124,7 +126,7 @@ def mean_tree_height(heights: DataFrame) -> DataFrame:
     r = nested_mean_se(h, ["SY", "Site"], ["Plot"],
                        {"mean_height_plot": F.avg("Tree_Height_m")},
                        {"mean_height_plot": ("mean_height", "mean_height_SE")})
-    return fill_zero(r)
+    return fill_zero(r, ["mean_height", "mean_height_SE"])
 
 
 def pct_basal_change(trees: DataFrame, start=START_YEAR, end=END_YEAR) -> DataFrame:
