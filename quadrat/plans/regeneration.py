@@ -146,7 +146,8 @@ def sapling_table(regen: DataFrame) -> DataFrame:
     """Sapling density ``mean ± SE`` per species (absent species -> NA)."""
     site = outer_mean_se(sapling_plot_density(regen), ["SY", "Site", "Species"],
                          {"plot_dens": ("mean_dens", "mean_dens_SE")})
-    return _species_report(site, "mean_dens", "mean_dens_SE")
+    # O1: presentation order of the report (a small, final sort).
+    return _species_report(site, "mean_dens", "mean_dens_SE").orderBy("Site", "SY")
 
 
 def seedling_table(regen: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def seedling_table(regen: DataFrame) -> DataFrame:
     num = [f"{sp}_{v}" for sp in SPECIES for v in ("mean", "SE")]
     wide = wide.withColumns({c: round_half_even(c, 1) for c in num})
     return wide.select("SY", "Site", *[pm_text(f"{sp}_mean", f"{sp}_SE").alias(sp)
-                                       for sp in SPECIES])
+                                       for sp in SPECIES]).orderBy("Site", "SY")   # O1
 
 
 def counts_by_species(regen: DataFrame) -> DataFrame:
