@@ -77,15 +77,17 @@ class DriverRoles:
         li = self._t("lineitem").select(
             "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-        # Dimension side first: supplier x nation x region stays small relative
-        # to lineitem; nation and region are tiny and broadcast by size.
-        sup = (self._t("supplier").select("s_suppkey", "s_nationkey")
-               .join(self._t("nation").select("n_nationkey", "n_name", "n_regionkey"),
-                     F.col("s_nationkey") == F.col("n_nationkey"))
-               .join(self._t("region").select("r_regionkey", "r_name"),
-                     F.col("n_regionkey") == F.col("r_regionkey"))
-               .select("s_suppkey", "n_name", "r_name"))
-        o = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+        # Star-join order: fact to supplier first, then the tiny nation and
+        # region. (Joining the dimensions to each other first makes the
+        # non-CBO size estimate - a product of child sizes - look huge, and
+        # the planner would broadcast lineitem instead.) No hints: supplier
+        # grows with the data; AQE broadcasts it only when it is measured small.
+        sup = self._t("supplier").select("s_suppkey", "s_nationkey")
+        nat = self._t("nation").select("n_nationkey", "n_name", "n_regionkey")
+        reg = self._t("region").select("r_regionkey", "r_name")
+        o = (li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+             .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+             .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
         line = F.col("l_linenumber")
         return o.select(
             F.year("l_shipdate").alias("SY"),

@@ -63,3 +63,23 @@ def test_site_changes_equals_joined_tables(spark, seed):
     # the fixture does produce the sparse cases
     by_site = {r[cols.index("Site")]: r for r in got}
     assert by_site["S8"][cols.index("total_change")] is None
+
+
+def test_canopy_wide_equals_long(spark):
+    from quadrat.plans import canopy
+    rnd = random.Random(5)
+    cols = [f"Calc_{d}_{t}" for d in "NSEW" for t in ("Veg", "Wood", "Open")]
+    rows = []
+    for _ in range(300):
+        vals = [rnd.choice([None, "n/a", " 12.5 ", str(round(rnd.uniform(0, 100), 2))]) for _ in cols]
+        rows.append((f"I{rnd.randint(0, 1)}", f"S{rnd.randint(0, 4)}", f"P{rnd.randint(0, 3)}",
+                     rnd.choice([2022, 2024]), *vals))
+    d = spark.createDataFrame(rows, "Island string, Site string, Plot string, SY int, "
+                                    + ", ".join(f"{c} string" for c in cols))
+    long = canopy.canopy_cover(d).collect()
+    wide = {(r["SY"], r["Site"]): r for r in canopy.canopy_cover_wide(d).collect()}
+    assert len(long) == 3 * len(wide)
+    for r in long:
+        w = wide[(r["SY"], r["Site"])]
+        for got, want in ((w[f"{r['Type']}_perc"], r["perc"]), (w[f"{r['Type']}_perc_SE"], r["perc_SE"])):
+            assert (got is None and want is None) or got == pytest.approx(want, rel=1e-12)
