@@ -334,10 +334,10 @@ def TOTAL_DEBRIS_CTES() -> list[str]:
                 {pi2} * ((0.0425::DOUBLE * 0.0425::DOUBLE) * Wood_med_num)
                   / NULLIF(8.0::DOUBLE * Med_m, 0) * 10000.0::DOUBLE AS MVol
               FROM (SELECT *,
-                      CASE WHEN (CASE WHEN Transect_m < 4.0 THEN Transect_m - 2.0::DOUBLE ELSE 2.0::DOUBLE END) > 0
-                           THEN (CASE WHEN Transect_m < 4.0 THEN Transect_m - 2.0::DOUBLE ELSE 2.0::DOUBLE END) END AS Fine_m,
-                      CASE WHEN (CASE WHEN Transect_m < 6.0 THEN Transect_m - 2.0::DOUBLE ELSE 4.0::DOUBLE END) > 0
-                           THEN (CASE WHEN Transect_m < 6.0 THEN Transect_m - 2.0::DOUBLE ELSE 4.0::DOUBLE END) END AS Med_m
+                      CASE WHEN (CASE WHEN Transect_m < 4.0 THEN Transect_m - 2.0::DOUBLE WHEN Transect_m >= 4.0 THEN 2.0::DOUBLE END) > 0
+                           THEN (CASE WHEN Transect_m < 4.0 THEN Transect_m - 2.0::DOUBLE WHEN Transect_m >= 4.0 THEN 2.0::DOUBLE END) END AS Fine_m,
+                      CASE WHEN (CASE WHEN Transect_m < 6.0 THEN Transect_m - 2.0::DOUBLE WHEN Transect_m >= 6.0 THEN 4.0::DOUBLE END) > 0
+                           THEN (CASE WHEN Transect_m < 6.0 THEN Transect_m - 2.0::DOUBLE WHEN Transect_m >= 6.0 THEN 4.0::DOUBLE END) END AS Med_m
                     FROM cv))))""",
     ]
 

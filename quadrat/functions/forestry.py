@@ -70,7 +70,10 @@ def sampled_length(transect_m: ColumnOrName, start_m: float, end_m: float) -> Co
     start would give a negative length, which is reported as NULL (B11).
     """
     L = _c(transect_m)
-    length = F.when(L < F.lit(end_m), L - F.lit(start_m)).otherwise(F.lit(end_m - start_m))
+    # A missing length stays missing (``if_else`` on NA is NA; a bare
+    # ``otherwise`` would turn it into the full span).
+    length = (F.when(L < F.lit(end_m), L - F.lit(start_m))
+              .when(L >= F.lit(end_m), F.lit(end_m - start_m)))
     return F.when(length > 0, length)
 
 

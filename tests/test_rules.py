@@ -189,3 +189,10 @@ def test_unpivot_roundtrip(spark):
                                             "MeanFine double, SEMCoarse double, SEMFine double"),
                       ["id"], r"(Mean|SEM)(Coarse|Fine)", 1, "type")
     assert sorted(tuple(r) for r in m.collect()) == [(1, "Coarse", 1.0, 3.0), (1, "Fine", 2.0, 4.0)]
+
+
+def test_sampled_length_m17(spark):
+    from quadrat.functions import sampled_length
+    df = spark.createDataFrame([(8.5,), (3.5,), (1.5,), (None,)], "L double")
+    got = [tuple(r) for r in df.select(sampled_length("L", 2.0, 4.0), sampled_length("L", 2.0, 6.0)).collect()]
+    assert got == [(2.0, 4.0), (1.5, 1.5), (None, None), (None, None)]
