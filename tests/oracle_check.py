@@ -18,6 +18,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+            "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT"}
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -80,8 +84,14 @@ def compare(spark, sf_dir: str, keys=None, verbose=True) -> dict[str, str]:
                 rel = con.execute(oracle[k])
                 dcols = [d[0] for d in rel.description]
                 drows = rel.fetchall()
+                dtypes = {d[0]: str(d[1]) for d in rel.description}
+                stypes = dict(sdf.dtypes)
+                type_diff = {c: (stypes[c], dtypes.get(c)) for c in cols
+                             if c in dtypes and TYPE_MAP.get(stypes[c]) != dtypes[c]}
                 if sorted(dcols) != cols:
                     out[k] = f"COLS spark={cols} duck={sorted(dcols)}"
+                elif type_diff:
+                    out[k] = f"TYPES {type_diff}"
                 else:
                     idx = [dcols.index(c) for c in cols]
                     drows = [tuple(_norm(r[i]) for i in idx) for r in drows]
