@@ -42,18 +42,23 @@ def pm_text(mean: ColumnOrName, se: ColumnOrName) -> Column:
     return F.concat(number_text(mean), F.lit(" ± "), number_text(se))
 
 
-def bin_label(index: ColumnOrName, bin_num: int, bin_size: float) -> Column:
+def bin_label(index: ColumnOrName, bin_num: int | Column, bin_size: float) -> Column:
     """M4: label ``'(i-1)*w-i*w'`` for bin index 1..bin_num+1, else NULL.
 
     The reference builds a label vector of ``bin_num + 1`` entries and indexes
-    it; any other index is missing.
+    it; any other index is missing. ``bin_num`` may be a column (e.g. a count
+    of distinct bins computed from the data).
     """
     i = _c(index)
     w = F.lit(bin_size)
-    lo = ((i - 1) * w)
-    hi = (i * w)
-    fmt = lambda c: F.regexp_replace(c.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
-    return F.when((i >= 1) & (i <= bin_num + 1), F.concat(fmt(lo), F.lit("-"), fmt(hi)))
+    n = bin_num if isinstance(bin_num, Column) else F.lit(bin_num)
+    return F.when((i >= 1) & (i <= n + 1),
+                  F.concat(_plain((i - 1) * w), F.lit("-"), _plain(i * w)))
+
+
+def _plain(x: Column) -> Column:
+    """A number as R's ``paste`` prints it: no trailing zeros, no exponent."""
+    return F.regexp_replace(x.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
 
 
 def sign_label(x: ColumnOrName) -> Column:

@@ -232,12 +232,8 @@ def q_bin_labels(spark, root):
     h = q_size_freq_sites(spark, root)
     bins = h.select("bin", "bin_lo", "bin_hi").distinct()
     g = with_global_stats(bins, [F.count(F.lit(1)).alias("__bin_num")])
-    # bin_num is data-dependent, so the label rule is applied per row.
-    i = F.col("bin") + 1
-    w = F.lit(BIN_SIZE)
-    fmt = lambda c: F.regexp_replace(c.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
-    label = F.when((i >= 1) & (i <= F.col("__bin_num") + 1),
-                   F.concat(fmt((i - 1) * w), F.lit("-"), fmt(i * w)))
+    # bin_num is data-dependent, so it is a column of the one-row aggregate.
+    label = bin_label(F.col("bin") + 1, F.col("__bin_num"), BIN_SIZE)
     return g.select("bin", "bin_lo", "bin_hi", F.col("__bin_num").alias("bin_num"),
                     label.alias("label"))
 

@@ -43,6 +43,12 @@ def test_isin_or_null_n8(spark):
     assert sorted(kept, key=str) == sorted(["RHMA", None, "UNK"], key=str)
 
 
+def test_recode_m5(spark):
+    df = spark.createDataFrame([("Dying",), ("Alive",), ("Dead",), (None,)], "m string")
+    got = [r[0] for r in df.select(recode("m", {"Dying": "Alive"})).collect()]
+    assert got == ["Alive", "Alive", "Dead", None]
+
+
 def test_bins_m3(spark):
     df = spark.createDataFrame([(2.0,), (2.5,), (5.4,), (5.5,)], "x double")
     got = [r[0] for r in df.select(bin_index("x", 3.0, 2.5)).collect()]
