@@ -448,7 +448,10 @@ FROM sd, sg2"""
         GROUP BY SY, Site, Species) x LEFT JOIN isl USING (Site))""", """pg AS (
   SELECT min(mean_ht) AS mn_h, max(mean_ht) AS mx_h, min(mean_dens) AS mn_m,
          max(mean_dens) + max(mean_dens_SE) AS mx_m FROM pc)""") + """
-SELECT SY, Site, Species, mean_dens, mean_dens_SE, mean_ht, Island, Island_rank,
+SELECT SY, Site, Species,
+       CASE Species WHEN 'RHMA' THEN 'R. mangle' WHEN 'AVGE' THEN 'A. germinans'
+                    WHEN 'LARA' THEN 'L. racemosa' END AS Species_name,
+       mean_dens, mean_dens_SE, mean_ht, Island, Island_rank,
        (mean_ht - mn_h) / NULLIF(mx_h - mn_h, 0) * (mx_m - mn_m) + mn_m AS height_rescaled
 FROM pc, pg"""
 

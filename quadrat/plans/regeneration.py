@@ -15,13 +15,14 @@ from ..functions.nulls import mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
 from ..operators.aggregate import nested_mean_se, outer_mean_se, with_global_stats
 from ..operators.join import natural_join
-from ..operators.recode import category_rank, distinct_pairs
+from ..operators.recode import category_rank, distinct_pairs, label_of
 from ..operators.reshape import (columns_matching, pivot_wide, rename_with, unpivot_multi,
                                 unpivot_regex)
 
-# Species codes and report order, island order of the charts,
-# and the pattern of the count columns.
+# Species codes and report order, their display names (chart
+# titles), island order of the charts, and the pattern of the count columns.
 SPECIES = ("RHMA", "AVGE", "LARA")
+SPECIES_NAMES = {"RHMA": "R. mangle", "AVGE": "A. germinans", "LARA": "L. racemosa"}
 ISLAND_ORDER = ("St Thomas", "St John", "St Croix")
 COUNT_PATTERN = r"([A-Z]+)_(seedlings|saplings)"
 
@@ -121,7 +122,8 @@ def sapling_site_stats(regen: DataFrame, sapling: DataFrame, densio: DataFrame,
         F.min("mean_dens").alias("__min_m"),
         (F.max("mean_dens") + F.max("mean_dens_SE")).alias("__max_m")])
     return g.select(
-        "SY", "Site", "Species", "mean_dens", "mean_dens_SE", "mean_ht", "Island", "Island_rank",
+        "SY", "Site", "Species", label_of("Species", SPECIES_NAMES).alias("Species_name"),
+        "mean_dens", "mean_dens_SE", "mean_ht", "Island", "Island_rank",
         rescale("mean_ht", F.col("__min_h"), F.col("__max_h"),
                 F.col("__min_m"), F.col("__max_m")).alias("height_rescaled"))
 
