@@ -7,6 +7,8 @@ Height_cm) and ``densiometer`` (only its Island/Site pairs are used).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +55,32 @@ def _with_island(df: DataFrame, densio: DataFrame,
 
 
 def seedling_site_stats(regen: DataFrame) -> DataFrame:
-    """Per (SY, Site): seedling density mean/SE (missing counts propagate, N3)
-    full-joined with the mean tallest-seedling height."""
-    a = counts_long(regen, "seedlings", ("SY", "Site", "Plot"))
-    a = nested_mean_se(a, ["SY", "Site", "Stage"], ["Plot"],
-                       {"mean_plot": mean_strict("Count")},
-                       {"mean_plot": ("mean_site", "count_SE")}, strict=["mean_plot"])
-    b = nested_mean_se(regen, ["SY", "Site"], ["Plot"],
-                       {"height_plot": F.avg("Tall_seedling_cm")},
-                       {"height_plot": ("height_site", None)})
-    return natural_join(a, b, "full", on=["SY", "Site"])
+    """Per (SY, Site): seedling density mean/SE with missing counts propagating
+    (N3), and the mean tallest-seedling height.
+
+    The reference builds these as two tables (seedling counts made long, and
+    heights) and full-joins them on (SY, Site); both cover exactly the plots of
+    the regeneration table, so here they are one two-level aggregate of the wide
+    rows - one scan and two shuffles instead of two of each plus a join. A
+    plot's density is the mean over all its (quadrat, species) cells, missing
+    as soon as one cell is missing.
+    """
+    cells = [c for c in columns_matching(regen, COUNT_PATTERN) if c.endswith("_seedlings")]
+    vals = [F.col(c).cast("double") for c in cells]
+    row_sum = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in vals])
+    row_present = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in vals])
+    plot = regen.groupBy("SY", "Site", "Plot").agg(
+        F.sum(row_sum).alias("__s"), F.sum(row_present).alias("__k"),
+        (F.count(F.lit(1)) * F.lit(len(cells))).alias("__n"),
+        F.avg("Tall_seedling_cm").alias("height_plot"))
+    mean_plot = F.when(F.col("__k") == F.col("__n"),
+                       F.try_divide(F.col("__s"), F.col("__n").cast("double")))
+    plot = plot.select("SY", "Site", "Plot", mean_plot.alias("mean_plot"), "height_plot")
+    return plot.groupBy("SY", "Site").agg(
+        F.lit("seedlings").alias("Stage"),
+        mean_strict("mean_plot").alias("mean_site"),
+        std_error("mean_plot").alias("count_SE"),
+        F.avg("height_plot").alias("height_site"))
 
 
 def seedling_density(regen: DataFrame, densio: DataFrame,

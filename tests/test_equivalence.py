@@ -83,3 +83,36 @@ def test_canopy_wide_equals_long(spark):
         w = wide[(r["SY"], r["Site"])]
         for got, want in ((w[f"{r['Type']}_perc"], r["perc"]), (w[f"{r['Type']}_perc_SE"], r["perc_SE"])):
             assert (got is None and want is None) or got == pytest.approx(want, rel=1e-12)
+
+
+def test_seedling_stats_equals_long_form(spark):
+    """D6's one-aggregate form equals: counts long -> strict plot mean ->
+    site mean/SE, full-joined with the two-level tallest-seedling mean."""
+    from pyspark.sql import functions as F
+
+    from quadrat.functions import mean_strict
+    from quadrat.operators import natural_join, nested_mean_se
+    from quadrat.plans import regeneration as R
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(400):
+        cnt = lambda: None if rnd.random() < 0.03 else float(rnd.randint(0, 9))
+        rows.append((rnd.choice([2022, 2024]), f"S{rnd.randint(0, 5)}", f"P{rnd.randint(0, 3)}",
+                     f"Q{rnd.randint(0, 4)}", cnt(), cnt(), cnt(), cnt(), cnt(), cnt(),
+                     None if rnd.random() < 0.1 else rnd.uniform(5, 90)))
+    regen = spark.createDataFrame(rows, "SY int, Site string, Plot string, Quadrat string, "
+                                        "RHMA_seedlings double, RHMA_saplings double, "
+                                        "LARA_seedlings double, LARA_saplings double, "
+                                        "AVGE_seedlings double, AVGE_saplings double, "
+                                        "Tall_seedling_cm double")
+    a = nested_mean_se(R.counts_long(regen, "seedlings", ("SY", "Site", "Plot")),
+                       ["SY", "Site", "Stage"], ["Plot"], {"mean_plot": mean_strict("Count")},
+                       {"mean_plot": ("mean_site", "count_SE")}, strict=["mean_plot"])
+    b = nested_mean_se(regen, ["SY", "Site"], ["Plot"], {"height_plot": F.avg("Tall_seedling_cm")},
+                       {"height_plot": ("height_site", None)})
+    slow = natural_join(a, b, "full", on=["SY", "Site"])
+    fast = R.seedling_site_stats(regen)
+    cols = sorted(slow.columns)
+    assert sorted(fast.columns) == cols
+    assert rows_equal(_rows(fast, cols), _rows(slow, cols)) is None
+    assert any(r["mean_site"] is None for r in fast.collect())   # N3 exercised
