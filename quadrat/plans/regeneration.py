@@ -83,19 +83,27 @@ def seedling_site_stats(regen: DataFrame) -> DataFrame:
         F.avg("height_plot").alias("height_site"))
 
 
-def seedling_density(regen: DataFrame, densio: DataFrame,
-                     island_order=ISLAND_ORDER) -> DataFrame:
-    """Chart data of seedling density with the tallest-seedling height
-    rescaled onto the density axis (M15 over all rows, J7)."""
+def _seedling_chart(regen: DataFrame, densio: DataFrame, island_order) -> DataFrame:
+    """Site stats with island, plus the one-row axis ranges of the chart."""
     c = _with_island(seedling_site_stats(regen), densio, island_order)
-    g = with_global_stats(c, [
+    return with_global_stats(c, [
         F.min("height_site").alias("__min_h"), F.max("height_site").alias("__max_h"),
         F.min("mean_site").alias("__min_m"),
         (F.max("mean_site") + F.max("count_SE")).alias("__max_m")])
+
+
+def _axis(g: DataFrame):
+    return F.col("__min_h"), F.col("__max_h"), F.col("__min_m"), F.col("__max_m")
+
+
+def seedling_density(regen: DataFrame, densio: DataFrame,
+                     island_order=ISLAND_ORDER) -> DataFrame:
+    """Chart data of seedling density with the tallest-seedling height
+    rescaled onto the density axis (M15 over all rows, J7)."""
+    g = _seedling_chart(regen, densio, island_order)
     return g.select(
         "SY", "Site", "Stage", "mean_site", "count_SE", "height_site", "Island", "Island_rank",
-        rescale("height_site", F.col("__min_h"), F.col("__max_h"),
-                F.col("__min_m"), F.col("__max_m")).alias("height_rescaled"),
+        rescale("height_site", *_axis(g)).alias("height_rescaled"),
         F.col("mean_site").alias("ymin"),
         (F.col("mean_site") + F.col("count_SE")).alias("ymax"))
 
@@ -103,15 +111,12 @@ def seedling_density(regen: DataFrame, densio: DataFrame,
 def seedling_axis(regen: DataFrame, densio: DataFrame,
                   island_order=ISLAND_ORDER) -> DataFrame:
     """M15 both ways (J7): the tallest-seedling height put on the density axis
-    and read back through the secondary-axis transform of the chart."""
-    d = seedling_density(regen, densio, island_order)
-    g = with_global_stats(d, [
-        F.min("height_site").alias("__min_h"), F.max("height_site").alias("__max_h"),
-        F.min("mean_site").alias("__min_m"),
-        (F.max("mean_site") + F.max("count_SE")).alias("__max_m")])
-    return g.select("SY", "Site", "Stage", "Island", "height_site", "height_rescaled",
-                    inverse_rescale("height_rescaled", F.col("__min_h"), F.col("__max_h"),
-                                    F.col("__min_m"), F.col("__max_m")).alias("height_axis"))
+    and read back through the secondary-axis transform of the chart (same
+    one-row axis ranges for both directions)."""
+    g = _seedling_chart(regen, densio, island_order)
+    r = rescale("height_site", *_axis(g))
+    return g.select("SY", "Site", "Stage", "Island", "height_site", r.alias("height_rescaled"),
+                    inverse_rescale(r, *_axis(g)).alias("height_axis"))
 
 
 def sapling_plot_density(regen: DataFrame) -> DataFrame:
