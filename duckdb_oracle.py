@@ -430,7 +430,7 @@ FROM (SELECT SY, Site, {series} FROM cs WHERE Type IN ('Veg','Wood','Open') GROU
     q["global_minmax_rescale"] = _with(SEED_LONG, ISL, SEED_STATS, """sg2 AS (
   SELECT min(height_site) AS mn_h, max(height_site) AS mx_h, min(mean_site) AS mn_m,
          max(mean_site) + max(count_SE) AS mx_m FROM sd)""") + """
-SELECT SY, Site, Stage, Island, height_site, height_rescaled,
+SELECT SY, Site, Stage, Island, mean_site, count_SE, height_site, height_rescaled,
        (height_rescaled - mn_m) / NULLIF(mx_m - mn_m, 0) * (mx_h - mn_h) + mn_h AS height_axis
 FROM sd, sg2"""
 

@@ -115,8 +115,10 @@ def seedling_axis(regen: DataFrame, densio: DataFrame,
     one-row axis ranges for both directions)."""
     g = _seedling_chart(regen, densio, island_order)
     r = rescale("height_site", *_axis(g))
-    return g.select("SY", "Site", "Stage", "Island", "height_site", r.alias("height_rescaled"),
-                    inverse_rescale(r, *_axis(g)).alias("height_axis"))
+    # The density columns are kept: they are the axis the heights map onto, and
+    # with them both branches of the plan read the same (shared) aggregate.
+    return g.select("SY", "Site", "Stage", "Island", "mean_site", "count_SE", "height_site",
+                    r.alias("height_rescaled"), inverse_rescale(r, *_axis(g)).alias("height_axis"))
 
 
 def sapling_plot_density(regen: DataFrame) -> DataFrame:
