@@ -6,11 +6,13 @@ Here the exact order statistics come from a global sort instead:
 
 1. range-partition all values on ``(group, value, tiebreak)`` - a hot group is
    spread over many partitions, ties included;
-2. the sorted layout is checkpointed once; position of every row = rows in earlier partitions + index in its partition
-   (per-partition counts are one small aggregate, one row per partition);
+2. the sorted layout is checkpointed once; the position of every row = rows
+   in earlier partitions + index in its partition (per-partition counts are one
+   small aggregate, one row per partition);
 3. per group: first position and size (partial aggregates);
 4. the ranks needed for the quantiles (two per probability, R type 7 /
-   ``quantile_cont``) are looked up by an equi-join on the unique position.
+   ``quantile_cont``) are looked up by one equi-join on the unique position;
+5. box-plot whiskers read the checkpointed values, not the input plan again.
 
 Every step is a shuffle on a well-spread key or a partial aggregate; nothing
 collects a group.
@@ -28,14 +30,16 @@ from ..session import ensure_checkpoint_dir
 _PID_SHIFT = 33  # monotonically_increasing_id = partition_id << 33 | row index
 
 
-def _positions(df: DataFrame, keys: Sequence[str], value: str,
-               num_partitions: int | None) -> DataFrame:
+def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
+                       num_partitions: int | None) -> DataFrame:
+    """Non-missing values range-partitioned and sorted on (keys, value,
+    tiebreak), with partition id and row id, materialised once."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = (df.select(*keys, F.col(value).cast("double").alias("__v"))
          .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-         # Deterministic tiebreak so equal values can still be split across
-         # partitions and a retried task reproduces the same order.
+         # Hashed tiebreak so equal values can still be split across
+         # partitions (a hot group of ties is not one task).
          .withColumn("__tie", F.xxhash64(*keys, "__v", F.monotonically_increasing_id())))
     order = [*keys, "__v", "__tie"]
     ranked = (v.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -45,7 +49,11 @@ def _positions(df: DataFrame, keys: Sequence[str], value: str,
     # materialise it once in the shared checkpoint folder (also cuts lineage,
     # so a lost executor does not re-sample the range bounds).
     ensure_checkpoint_dir(spark)
-    ranked = ranked.checkpoint(eager=True)
+    return ranked.checkpoint(eager=True)
+
+
+def _positions(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Global 0-based position of every sorted row."""
     # One row per partition: the cumulative offset of each partition.
     counts = ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,55 +63,59 @@ def _positions(df: DataFrame, keys: Sequence[str], value: str,
             .select(*keys, "__v", (F.col("__off") + local).alias("__pos")))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """Per-group quantiles with linear interpolation (R type 7, DuckDB
-    ``quantile_cont``, Spark ``percentile``). Missing values are ignored.
-
-    Returns ``keys + [n] + list(probs)``; groups with no non-missing value are
-    absent.
-    """
-    pos = _positions(df, keys, value, num_partitions)
+def _quantiles(pos: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
     grp = pos.groupBy(*keys).agg(F.min("__pos").alias("__start"),
                                  F.count(F.lit(1)).alias("n"))
     targets = []
     for name, p in probs.items():
         h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        targets.append(F.struct(F.lit(name).alias("__q"),
-                                (F.col("__start") + F.floor(h)).alias("__lo"),
-                                (F.col("__start") + F.ceil(h)).alias("__hi"),
-                                (h - F.floor(h)).alias("__frac")))
+        frac = h - F.floor(h)
+        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            targets.append(F.struct(F.lit(name).alias("__q"), F.lit(side).alias("__side"),
+                                    (F.col("__start") + r).alias("__pos"), frac.alias("__frac")))
     t = (grp.select(*keys, "n", F.explode(F.array(*targets)).alias("t"))
          .select(*keys, "n", "t.*"))
-    vals = pos.select("__pos", "__v")
-    lo = vals.withColumnsRenamed({"__pos": "__lo", "__v": "__vlo"})
-    hi = vals.withColumnsRenamed({"__pos": "__hi", "__v": "__vhi"})
-    # Equi-joins on a unique position: no key is hot.
-    q = (t.join(lo, "__lo").join(hi, "__hi")
-         .select(*keys, "n", "__q",
-                 (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("__val")))
+    # One equi-join on the unique position fetches both order statistics of
+    # every probability: no key is hot.
+    got = t.join(pos.select("__pos", "__v"), "__pos")
+    lo = F.max(F.when(F.col("__side") == "lo", F.col("__v")))
+    hi = F.max(F.when(F.col("__side") == "hi", F.col("__v")))
+    q = got.groupBy(*keys, "n", "__q").agg((lo + F.max("__frac") * (hi - lo)).alias("__val"))
     return (q.groupBy(*keys, "n")
             .agg(*[F.max(F.when(F.col("__q") == name, F.col("__val"))).alias(name)
                    for name in probs]))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                    probs: dict[str, float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """Per-group quantiles with linear interpolation (R type 7, DuckDB
+    ``quantile_cont``, Spark ``percentile``). Missing values are ignored.
+
+    Returns ``keys + [n] + list(probs)``; groups with no non-missing value are
+    absent.
+    """
+    ranked = _sorted_checkpoint(df, keys, value, num_partitions)
+    return _quantiles(_positions(ranked, keys), keys, probs)
+
+
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.5,
                 num_partitions: int | None = None) -> DataFrame:
     """Box-plot statistics per group, as a box plot computes them.
 
     Quartiles by R type 7; whiskers reach the most extreme values within
     ``coef * IQR`` of the box (and never inside it); values beyond are outliers.
-    Columns: keys, n, ymin, lower, middle, upper, ymax, n_outliers.
+    Columns: keys, n, ymin, lower, middle, upper, ymax, n_outliers. The input
+    is computed once: the whisker pass reads the checkpointed values.
     """
-    qs = exact_quantiles(df, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75},
-                         num_partitions)
+    ranked = _sorted_checkpoint(df, keys, value, num_partitions)
+    qs = _quantiles(_positions(ranked, keys), keys,
+                    {"lower": 0.25, "middle": 0.5, "upper": 0.75})
     iqr = F.col("upper") - F.col("lower")
     fences = qs.select(*keys, "n", "lower", "middle", "upper",
                        (F.col("lower") - F.lit(coef) * iqr).alias("__flo"),
                        (F.col("upper") + F.lit(coef) * iqr).alias("__fhi"))
-    v = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v"))
+    v = ranked.select(*keys, "__v")
     # One row per group on the right: AQE broadcasts it when small, otherwise a
     # sort-merge join whose skewed partitions AQE splits.
     j = v.join(fences, [v[k].eqNullSafe(fences[k]) for k in keys]).select(
@@ -113,10 +125,9 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.
         F.min(F.when(inside, F.col("__v"))).alias("__wlo"),
         F.max(F.when(inside, F.col("__v"))).alias("__whi"),
         F.count(F.when(~inside, F.lit(1))).alias("n_outliers"))
-    r = fences.join(w, [fences[k].eqNullSafe(w[k]) for k in keys]).select(
+    return fences.join(w, [fences[k].eqNullSafe(w[k]) for k in keys]).select(
         *[fences[k] for k in keys], "n",
         F.least(F.col("lower"), F.col("__wlo")).alias("ymin"),
         "lower", "middle", "upper",
         F.greatest(F.col("upper"), F.col("__whi")).alias("ymax"),
         "n_outliers")
-    return r
