@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .schemas import SCHEMAS
@@ -46,10 +47,22 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str | None = None
     pq = os.path.join(root, f"{name}.parquet")
     if fmt == "parquet" or (fmt is None and os.path.exists(pq)):
         df = spark.read.parquet(pq)
-        return df
+        return conform(df, schema, name) if schema is not None else df
     return read_csv(spark, os.path.join(root, f"{name}.csv"), schema)
 
 
+def conform(df: DataFrame, schema: T.StructType, name: str = "table") -> DataFrame:
+    """Fail fast when a declared column is missing; cast the declared columns
+    to their types (text that does not parse becomes NULL, as R's readers
+    give NA). Extra columns are kept after the declared ones."""
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{name}: missing column(s) {missing}")
+    declared = {f.name for f in schema.fields}
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                     *[c for c in df.columns if c not in declared])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write one report dataset; ``partition_by=['Site']`` gives one

@@ -202,3 +202,24 @@ def test_sampled_length_m17(spark):
     df = spark.createDataFrame([(8.5,), (3.5,), (1.5,), (None,)], "L double")
     got = [tuple(r) for r in df.select(sampled_length("L", 2.0, 4.0), sampled_length("L", 2.0, 6.0)).collect()]
     assert got == [(2.0, 4.0), (1.5, 1.5), (None, None), (None, None)]
+
+
+def test_read_table_conforms_and_fails_fast(spark, tmp_path):
+    from quadrat.sources.catalog import read_table
+    spark.createDataFrame([("2022", "A", "P1", 3.0, "x")], "SY string, Site string, Plot string, "
+                          "Water_depth double, extra string").write.parquet(str(tmp_path / "ysi.parquet"))
+    with pytest.raises(ValueError, match="missing column"):
+        read_table(spark, str(tmp_path), "ysi")
+    spark.createDataFrame([("2022", "A", "P1", "3.5")], "SY string, Site string, Plot string, "
+                          "Tree_Height_m string").write.parquet(str(tmp_path / "h.parquet"))
+    (tmp_path / "h.parquet").rename(tmp_path / "tree_heights.parquet")
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path), "tree_heights")   # Species missing
+    spark.createDataFrame([("2022", "A", "P1", "RHMA", "3.5"), ("x", "A", "P1", None, "n/a")],
+                          "SY string, Site string, Plot string, Species string, "
+                          "Tree_Height_m string").write.mode("overwrite").parquet(
+        str(tmp_path / "tree_heights.parquet"))
+    df = read_table(spark, str(tmp_path), "tree_heights")
+    assert dict(df.dtypes)["SY"] == "int" and dict(df.dtypes)["Tree_Height_m"] == "double"
+    assert sorted([tuple(r) for r in df.select("SY", "Tree_Height_m").collect()], key=str) == \
+        sorted([(2022, 3.5), (None, None)], key=str)
