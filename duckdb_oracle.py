@@ -14,10 +14,10 @@ from __future__ import annotations
 START, END = 1996, 1998
 ISLAND_ORDER = ("ASIA", "EUROPE", "AMERICA")
 
-ROLES = r"""
+ROLES_TEMPLATE = r"""
 obs AS (
-  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS SY, r.r_name AS Island, n.n_name AS Site,
-         l.l_suppkey AS Plot, l.l_linenumber AS Line,
+  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS SY, r.r_name AS Island, {SITE} AS Site,
+         {PLOT} AS Plot, l.l_linenumber AS Line,
          CASE WHEN l.l_returnflag = 'A' THEN 'RHMA'
               WHEN l.l_returnflag = 'N' AND l.l_linenumber = 4 THEN 'UNK'
               WHEN l.l_returnflag = 'N' AND l.l_linenumber = 6 THEN NULL
@@ -112,6 +112,15 @@ coarse_wood AS (
          7.5::DOUBLE + disc * 100.0::DOUBLE AS DBH_cm
   FROM obs WHERE qty > 45.0
 )"""
+# Survey layout: Site = nation, Plot = supplier. Sparse layout of the same
+# tables: Site = 'P' || part, Plot = order.
+ROLES = ROLES_TEMPLATE.replace("{SITE}", "n.n_name").replace("{PLOT}", "l.l_suppkey")
+ROLES_SPARSE = (ROLES_TEMPLATE.replace("{SITE}", "'P' || CAST(l.l_partkey AS VARCHAR)")
+                .replace("{PLOT}", "l.l_orderkey"))
+SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contribution_dead",
+          "mean_stem_density", "pct_basal_change", "basal_change", "basal_change_dead",
+          "height_change", "density_change", "natural_full_join", "canopy_table",
+          "seedling_table", "sapling_table", "site_island_conflicts")
 
 
 def BA(x: str) -> str:
@@ -585,3 +594,4 @@ FROM (SELECT DISTINCT Island, Site FROM densiometer)"""
 
 
 ORACLE: dict[str, str] = _sql()
+ORACLE.update({f"{k}_sparse": ORACLE[k].replace(ROLES, ROLES_SPARSE) for k in SPARSE})

@@ -29,196 +29,196 @@ ISLAND_ORDER = ("ASIA", "EUROPE", "AMERICA")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _r(spark: SparkSession, root: str) -> DriverRoles:
-    return DriverRoles(spark, root)
+def _r(spark: SparkSession, root: str, layout: str = "survey") -> DriverRoles:
+    return DriverRoles(spark, root, layout)
 
 
-def q_size_freq_site_year(spark, root):
+def q_size_freq_site_year(spark, root, layout="survey"):
     """D1 for every site (the reference's per-site loop as one job)."""
-    return trees.size_freq_all(_r(spark, root).trees, BIN_SIZE, 2.5)
+    return trees.size_freq_all(_r(spark, root, layout).trees, BIN_SIZE, 2.5)
 
 
-def q_size_freq_sites(spark, root):
+def q_size_freq_sites(spark, root, layout="survey"):
     """D2 for every year: relative frequency per site, bins from 0."""
-    return trees.size_histogram(trees._lf_rows(_r(spark, root).trees), ["SY", "Site"],
+    return trees.size_histogram(trees._lf_rows(_r(spark, root, layout).trees), ["SY", "Site"],
                                 ["Mortality"], "DBH_cm", BIN_SIZE, 0.0)
 
 
-def q_tree_measurement_table(spark, root):
-    r = _r(spark, root)
+def q_tree_measurement_table(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return trees.tree_measurement_table(r.trees, r.heights)
 
 
-def q_canopy_table(spark, root):
-    return canopy.canopy_table(_r(spark, root).densiometer)
+def q_canopy_table(spark, root, layout="survey"):
+    return canopy.canopy_table(_r(spark, root, layout).densiometer)
 
 
-def q_canopy_series(spark, root):
-    return canopy.canopy_series(_r(spark, root).densiometer)
+def q_canopy_series(spark, root, layout="survey"):
+    return canopy.canopy_series(_r(spark, root, layout).densiometer)
 
 
-def q_seedling_density(spark, root):
-    r = _r(spark, root)
+def q_seedling_density(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return regeneration.seedling_density(r.regeneration, r.densiometer, ISLAND_ORDER)
 
 
-def q_sapling_density(spark, root):
+def q_sapling_density(spark, root, layout="survey"):
     """D7 for all three species charts at once (rescale over all species)."""
-    r = _r(spark, root)
+    r = _r(spark, root, layout)
     return regeneration.sapling_site_stats(r.regeneration, r.sapling, r.densiometer, ISLAND_ORDER)
 
 
-def q_sapling_table(spark, root):
-    return regeneration.sapling_table(_r(spark, root).regeneration)
+def q_sapling_table(spark, root, layout="survey"):
+    return regeneration.sapling_table(_r(spark, root, layout).regeneration)
 
 
-def q_seedling_table(spark, root):
-    return regeneration.seedling_table(_r(spark, root).regeneration)
+def q_seedling_table(spark, root, layout="survey"):
+    return regeneration.seedling_table(_r(spark, root, layout).regeneration)
 
 
-def q_water_table(spark, root):
-    return water.water_table(_r(spark, root).ysi)
+def q_water_table(spark, root, layout="survey"):
+    return water.water_table(_r(spark, root, layout).ysi)
 
 
-def q_mean_basal_area(spark, root):
-    return trees.mean_basal_area(_r(spark, root).trees)
+def q_mean_basal_area(spark, root, layout="survey"):
+    return trees.mean_basal_area(_r(spark, root, layout).trees)
 
 
-def q_mean_basal_area_dead(spark, root):
-    return trees.mean_basal_area_dead(_r(spark, root).trees)
+def q_mean_basal_area_dead(spark, root, layout="survey"):
+    return trees.mean_basal_area_dead(_r(spark, root, layout).trees)
 
 
-def q_species_contribution_alive(spark, root):
-    return trees.species_contribution(_r(spark, root).trees, "alive")
+def q_species_contribution_alive(spark, root, layout="survey"):
+    return trees.species_contribution(_r(spark, root, layout).trees, "alive")
 
 
-def q_species_contribution_dead(spark, root):
-    return trees.species_contribution(_r(spark, root).trees, "dead")
+def q_species_contribution_dead(spark, root, layout="survey"):
+    return trees.species_contribution(_r(spark, root, layout).trees, "dead")
 
 
-def q_mean_stem_density(spark, root):
-    return trees.mean_stem_density(_r(spark, root).trees)
+def q_mean_stem_density(spark, root, layout="survey"):
+    return trees.mean_stem_density(_r(spark, root, layout).trees)
 
 
-def q_mean_tree_height(spark, root):
-    return trees.mean_tree_height(_r(spark, root).heights)
+def q_mean_tree_height(spark, root, layout="survey"):
+    return trees.mean_tree_height(_r(spark, root, layout).heights)
 
 
-def q_pct_basal_change(spark, root):
-    return trees.pct_basal_change(_r(spark, root).trees, START, END)
+def q_pct_basal_change(spark, root, layout="survey"):
+    return trees.pct_basal_change(_r(spark, root, layout).trees, START, END)
 
 
-def q_basal_change(spark, root):
-    return trees.basal_change(_r(spark, root).trees, START, END)
+def q_basal_change(spark, root, layout="survey"):
+    return trees.basal_change(_r(spark, root, layout).trees, START, END)
 
 
-def q_basal_change_dead(spark, root):
-    return trees.basal_change_dead(_r(spark, root).trees, START, END)
+def q_basal_change_dead(spark, root, layout="survey"):
+    return trees.basal_change_dead(_r(spark, root, layout).trees, START, END)
 
 
-def q_height_change(spark, root):
-    return trees.height_change(_r(spark, root).heights, START, END)
+def q_height_change(spark, root, layout="survey"):
+    return trees.height_change(_r(spark, root, layout).heights, START, END)
 
 
-def q_density_change(spark, root):
-    return trees.density_change(_r(spark, root).trees, START, END)
+def q_density_change(spark, root, layout="survey"):
+    return trees.density_change(_r(spark, root, layout).trees, START, END)
 
 
-def q_mean_water_quality(spark, root):
-    return water.mean_water_quality(_r(spark, root).ysi)
+def q_mean_water_quality(spark, root, layout="survey"):
+    return water.mean_water_quality(_r(spark, root, layout).ysi)
 
 
-def q_site_coordinates(spark, root):
-    return sites.site_coordinates(_r(spark, root).coordinates)
+def q_site_coordinates(spark, root, layout="survey"):
+    return sites.site_coordinates(_r(spark, root, layout).coordinates)
 
 
-def q_change_map_layers(spark, root):
-    r = _r(spark, root)
+def q_change_map_layers(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return sites.change_map_layers(r.trees, r.heights, r.coordinates, START, END)
 
 
-def q_decay_clean(spark, root):
-    return debris.decay_clean(_r(spark, root).coarse_wood)
+def q_decay_clean(spark, root, layout="survey"):
+    return debris.decay_clean(_r(spark, root, layout).coarse_wood)
 
 
-def q_decay_invalid(spark, root):
-    return debris.decay_invalid(_r(spark, root).coarse_wood)
+def q_decay_invalid(spark, root, layout="survey"):
+    return debris.decay_invalid(_r(spark, root, layout).coarse_wood)
 
 
-def q_coarse_counts_class(spark, root):
-    return debris.coarse_counts_class(_r(spark, root).coarse_wood)
+def q_coarse_counts_class(spark, root, layout="survey"):
+    return debris.coarse_counts_class(_r(spark, root, layout).coarse_wood)
 
 
-def q_coarse_counts_plot(spark, root):
-    return debris.coarse_counts_plot(_r(spark, root).coarse_wood)
+def q_coarse_counts_plot(spark, root, layout="survey"):
+    return debris.coarse_counts_plot(_r(spark, root, layout).coarse_wood)
 
 
-def q_coarse_volume(spark, root):
-    r = _r(spark, root)
+def q_coarse_volume(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return debris.coarse_volume(r.wood, r.coarse_wood)
 
 
-def q_total_debris(spark, root):
-    r = _r(spark, root)
+def q_total_debris(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return debris.total_debris(r.wood, r.coarse_wood)
 
 
-def q_debris_box(spark, root):
-    r = _r(spark, root)
+def q_debris_box(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return debris.debris_box(r.wood, r.coarse_wood)
 
 
-def q_debris_mean_sem(spark, root):
-    r = _r(spark, root)
+def q_debris_mean_sem(spark, root, layout="survey"):
+    r = _r(spark, root, layout)
     return debris.debris_mean_sem(r.wood, r.coarse_wood)
 
 
-def q_debris_counts(spark, root):
-    return debris.debris_counts(_r(spark, root).wood)
+def q_debris_counts(spark, root, layout="survey"):
+    return debris.debris_counts(_r(spark, root, layout).wood)
 
 
-def q_site_island_conflicts(spark, root):
-    return debris.site_island_conflicts(_r(spark, root).wood)
+def q_site_island_conflicts(spark, root, layout="survey"):
+    return debris.site_island_conflicts(_r(spark, root, layout).wood)
 
 
 # -- generic operators on the same roles ---------------------------------------
 
-def q_natural_full_join(spark, root):
+def q_natural_full_join(spark, root, layout="survey"):
     """The four change tables merged by Site."""
-    r = _r(spark, root)
+    r = _r(spark, root, layout)
     return sites.site_changes(r.trees, r.heights, START, END)
 
 
-def q_left_join_zero_fill(spark, root):
+def q_left_join_zero_fill(spark, root, layout="survey"):
     """Every transect with its coarse diameter sums, 0 where none."""
-    r = _r(spark, root)
+    r = _r(spark, root, layout)
     return debris.coarse_merge(r.wood, r.coarse_wood)
 
 
-def q_global_minmax_rescale(spark, root):
+def q_global_minmax_rescale(spark, root, layout="survey"):
     """The seedling height on the density axis and back."""
-    r = _r(spark, root)
+    r = _r(spark, root, layout)
     return regeneration.seedling_axis(r.regeneration, r.densiometer, ISLAND_ORDER)
 
 
-def q_share_of_total(spark, root):
+def q_share_of_total(spark, root, layout="survey"):
     """Share of each mortality class in a site's stems per year."""
-    return trees.mortality_share(_r(spark, root).trees)
+    return trees.mortality_share(_r(spark, root, layout).trees)
 
 
-def q_unpivot_regex(spark, root):
+def q_unpivot_regex(spark, root, layout="survey"):
     """Every densiometer reading as a row (Direction, Type from the name)."""
-    return canopy.canopy_long(_r(spark, root).densiometer)
+    return canopy.canopy_long(_r(spark, root, layout).densiometer)
 
 
-def q_unpivot_multi(spark, root):
+def q_unpivot_multi(spark, root, layout="survey"):
     """Counts long by species with a column per stage."""
-    return regeneration.counts_by_species(_r(spark, root).regeneration)
+    return regeneration.counts_by_species(_r(spark, root, layout).regeneration)
 
 
-def q_pivot_fill_zero(spark, root):
+def q_pivot_fill_zero(spark, root, layout="survey"):
     """Living basal area per plot and species, 0 for an absent species."""
-    t = _r(spark, root).trees
+    t = _r(spark, root, layout).trees
     live = trees._species_status(t, trees.ALIVE)
     per = live.groupBy("SY", "Site", "Plot", "Species").agg(
         F.coalesce(F.sum(trees.basal_area("DBH_cm")), F.lit(0.0)).alias("basal_area_sum"))
@@ -226,10 +226,10 @@ def q_pivot_fill_zero(spark, root):
                       ["basal_area_sum"], fill=0.0)
 
 
-def q_bin_labels(spark, root):
+def q_bin_labels(spark, root, layout="survey"):
     """M4: the label of every bin of the all-sites histogram
     (``labeler(length(unique(Bin)), bin_size)[index]``)."""
-    h = q_size_freq_sites(spark, root)
+    h = q_size_freq_sites(spark, root, layout)
     bins = h.select("bin", "bin_lo", "bin_hi").distinct()
     g = with_global_stats(bins, [F.count(F.lit(1)).alias("__bin_num")])
     # bin_num is data-dependent, so it is a column of the one-row aggregate.
@@ -238,16 +238,16 @@ def q_bin_labels(spark, root):
                     label.alias("label"))
 
 
-def q_island_sites(spark, root):
-    return regeneration.island_sites(_r(spark, root).densiometer)
+def q_island_sites(spark, root, layout="survey"):
+    return regeneration.island_sites(_r(spark, root, layout).densiometer)
 
 
-def q_recode_map(spark, root):
-    return debris.decay_recoded(_r(spark, root).coarse_wood)
+def q_recode_map(spark, root, layout="survey"):
+    return debris.decay_recoded(_r(spark, root, layout).coarse_wood)
 
 
-def q_category_order(spark, root):
-    s = regeneration.island_sites(_r(spark, root).densiometer)
+def q_category_order(spark, root, layout="survey"):
+    s = regeneration.island_sites(_r(spark, root, layout).densiometer)
     return s.withColumn("Island_rank", category_rank("Island", ISLAND_ORDER))
 
 
@@ -298,3 +298,22 @@ QUERIES: dict[str, Query] = {
     "recode_map": q_recode_map,
     "category_order": q_category_order,
 }
+
+# The rule-heavy analyses again on the sparse layout of the same whole tables
+# (Site = part, Plot = order): species absent from plots (zero fill), sites
+# without one of the change years, single-plot sites (SE missing), sites on
+# several islands.
+SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contribution_dead",
+          "mean_stem_density", "pct_basal_change", "basal_change", "basal_change_dead",
+          "height_change", "density_change", "natural_full_join", "canopy_table",
+          "seedling_table", "sapling_table", "site_island_conflicts")
+
+
+def _on_sparse(fn: Query) -> Query:
+    def q(spark: SparkSession, root: str) -> DataFrame:
+        return fn(spark, root, "sparse")
+    q.__doc__ = f"{fn.__name__} on the sparse layout (Site = part, Plot = order)."
+    return q
+
+
+QUERIES.update({f"{k}_sparse": _on_sparse(QUERIES[k]) for k in SPARSE})

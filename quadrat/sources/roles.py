@@ -67,6 +67,11 @@ class DriverRoles:
 
     spark: SparkSession
     root: str
+    # "survey": Site = nation, Plot = supplier (dense: 25 sites, 1-10 plots).
+    # "sparse": Site = part, Plot = order - the same whole table cut so that
+    # plots hold one or two stems, sites miss years and sit on several
+    # islands, which exercises the zero-fill, absent-year and fan-out rules.
+    layout: str = "survey"
 
     def _t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.root, f"{name}.parquet"))
@@ -75,7 +80,7 @@ class DriverRoles:
     def obs(self) -> DataFrame:
         """lineitem joined to its supplier's nation and region (one row per line)."""
         li = self._t("lineitem").select(
-            "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
         # Star-join order: fact to supplier first, then the tiny nation and
         # region. (Joining the dimensions to each other first makes the
@@ -89,11 +94,16 @@ class DriverRoles:
              .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
              .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
         line = F.col("l_linenumber")
+        if self.layout == "sparse":
+            site = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+            plot = F.col("l_orderkey")
+        else:
+            site, plot = F.col("n_name"), F.col("l_suppkey")
         return o.select(
             F.year("l_shipdate").alias("SY"),
             F.col("r_name").alias("Island"),
-            F.col("n_name").alias("Site"),
-            F.col("l_suppkey").alias("Plot"),
+            site.alias("Site"),
+            plot.alias("Plot"),
             line.alias("Line"),
             _species(F.col("l_returnflag"), line).alias("Species"),
             _mortality(F.col("l_linestatus"), line).alias("Mortality"),
@@ -208,5 +218,5 @@ class DriverRoles:
                         (F.lit(7.5) + o.disc * F.lit(100.0)).alias("DBH_cm")))
 
 
-def roles(spark: SparkSession, root: str) -> DriverRoles:
-    return DriverRoles(spark, root)
+def roles(spark: SparkSession, root: str, layout: str = "survey") -> DriverRoles:
+    return DriverRoles(spark, root, layout)
