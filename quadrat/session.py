@@ -22,6 +22,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Survey years come from timestamp_ntz or ints; keep any timestamp logic UTC.
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints (exact quantiles, report inputs) are removed from the shared
+    # folder once nothing references them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

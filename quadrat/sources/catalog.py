@@ -28,9 +28,15 @@ CSV_OPTIONS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Scan a delimited file with a header, trimmed cells and declared types."""
+    """Scan a delimited file with a header, trimmed cells and declared types.
+
+    Without a schema the column types are inferred, as R's reader does; that
+    costs an extra pass over the file, so the survey tables declare theirs.
+    """
     reader = spark.read.options(**CSV_OPTIONS)
-    if schema is not None:
+    if schema is None:
+        reader = reader.option("inferSchema", "true")
+    else:
         reader = reader.schema(schema)
         # Columns are matched by header name, so a sheet with extra or
         # reordered columns still reads correctly.

@@ -77,3 +77,12 @@ def test_debris_counts(wood):
     assert b["meanMedium"] == pytest.approx(7.11111, rel=1e-5)
     assert b["SEMCourse"] == pytest.approx(0.333333, rel=1e-5)
     assert b["sumSurveyed"] == pytest.approx(76.97)
+
+
+def test_csv_inference_without_schema(spark, wood):
+    from tests.conftest import WOOD_CSV
+    from quadrat.sources.catalog import read_csv
+    df = read_csv(spark, WOOD_CSV)
+    types = dict(df.dtypes)
+    assert types["SY"] == "int" and types["Transect_m"] == "double" and types["Site"] == "string"
+    assert df.select("Site").distinct().count() == 19
