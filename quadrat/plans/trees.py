@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.forestry import PLOT_AREA_HA, basal_area
-from ..functions.nulls import fill_zero, isin_or_null, mean_strict, sum0
+from ..functions.nulls import fill_zero, isin_or_null, mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
 from ..operators.aggregate import nested_mean_se, share_of_total
 from ..operators.change import period_change, size_histogram
@@ -188,9 +188,9 @@ def tree_metrics(trees: DataFrame, heights: DataFrame) -> DataFrame:
     site = plot.groupBy("SY", "Site").agg(
         F.count(F.when(has_a, F.lit(1))).alias("__plots_a"),
         F.avg(basal).alias("mean_basal_area"),
-        (F.stddev_samp(basal) / F.sqrt(F.count(basal))).alias("mean_basal_area_SE"),
+        std_error(basal).alias("mean_basal_area_SE"),
         F.avg(dens).alias("mean_stem_density"),
-        (F.stddev_samp(dens) / F.sqrt(F.count(dens))).alias("mean_stem_density_SE"),
+        std_error(dens).alias("mean_stem_density_SE"),
         *[F.avg(F.when(has_a, F.col(f"{sp}_a"))).alias(f"__{sp}_a") for sp in SPECIES],
         *[F.avg(F.when(has_d, F.col(f"{sp}_d"))).alias(f"__{sp}_d") for sp in SPECIES])
 
