@@ -144,7 +144,7 @@ def R1(x: str, d: int = 1) -> str:
 
 
 def TXT(x: str) -> str:
-    return (f"coalesce(regexp_replace(CAST(CAST({x} AS DECIMAL(20,1)) AS VARCHAR), '\\.0$', ''),"
+    return (f"coalesce(regexp_replace(CAST(CAST({x} AS DECIMAL(38,1)) AS VARCHAR), '\\.0$', ''),"
             f" 'NA')")
 
 
@@ -484,7 +484,7 @@ FROM pc, pg"""
     q["natural_full_join"] = _with(*CH_ALL, CH_JOIN) + "SELECT * FROM chg"
 
     def num2(x: str) -> str:
-        t = (f"regexp_replace(regexp_replace(CAST(CAST({R1(x, 2)} AS DECIMAL(20,2))"
+        t = (f"regexp_replace(regexp_replace(CAST(CAST({R1(x, 2)} AS DECIMAL(38,2))"
              f" AS VARCHAR), '0+$', ''), '\\.$', '')")
         return f"coalesce(CASE WHEN {t} = '-0' THEN '0' ELSE {t} END, 'NA')"
 
@@ -579,7 +579,7 @@ FROM (SELECT SY, Site, Plot, Species, coalesce(sum({BA('DBH_cm')}), 0.0::DOUBLE)
       FROM trees WHERE {ALIVE} GROUP BY SY, Site, Plot, Species)
 GROUP BY SY, Site, Plot"""
 
-    lab = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(20,6)) AS VARCHAR), '\\.?0+$', '')"
+    lab = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', '')"
     q["bin_labels"] = _with(lf, """b AS (
   SELECT DISTINCT CAST(floor(DBH_cm / 3.0::DOUBLE) AS INTEGER) AS bin FROM lf WHERE DBH_cm >= 0.0)""") + f"""
 SELECT bin, bin * 3.0::DOUBLE AS bin_lo, bin * 3.0::DOUBLE + 3.0::DOUBLE AS bin_hi, bin_num,

@@ -27,10 +27,10 @@ def round_half_even(x: ColumnOrName, digits: int = 1) -> Column:
 def number_text(x: ColumnOrName) -> Column:
     """How R's ``paste`` prints an already-rounded number; NULL prints ``NA``.
 
-    Going through ``decimal(20,1)`` avoids scientific notation for large doubles
+    Going through ``decimal(38,1)`` avoids scientific notation for large doubles
     (``1.2345678E7``); a trailing ``.0`` is dropped as R drops it (``12``).
     """
-    txt = F.regexp_replace(_c(x).cast("decimal(20,1)").cast("string"), r"\.0$", "")
+    txt = F.regexp_replace(_c(x).cast("decimal(38,1)").cast("string"), r"\.0$", "")
     return F.coalesce(txt, F.lit("NA"))
 
 
@@ -58,7 +58,7 @@ def bin_label(index: ColumnOrName, bin_num: int | Column, bin_size: float) -> Co
 
 def _plain(x: Column) -> Column:
     """A number as R's ``paste`` prints it: no trailing zeros, no exponent."""
-    return F.regexp_replace(x.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
 
 
 def sign_label(x: ColumnOrName) -> Column:

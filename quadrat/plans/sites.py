@@ -79,7 +79,7 @@ def site_changes(trees: DataFrame, heights: DataFrame, start=T.START_YEAR,
 
 def _num2(x: Column) -> Column:
     """``round(x, 2)`` as R's ``paste0`` prints it (12, 1.5, -0.25, NA)."""
-    t = round_half_even(x, 2).cast("decimal(20,2)").cast("string")
+    t = round_half_even(x, 2).cast("decimal(38,2)").cast("string")
     t = F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")
     t = F.when(t == "-0", F.lit("0")).otherwise(t)
     return F.coalesce(t, F.lit("NA"))

@@ -85,3 +85,13 @@ def test_report_run_writes_every_dataset(spark, tmp_path):
     assert len(site_dirs) == r.trees.select("Site").distinct().count()
     back = spark.read.parquet(paths["tree_measurements_table"])
     assert back.count() == QUERIES["tree_measurement_table"](spark, SF).count()
+
+
+def test_report_run_with_checkpointed_inputs(spark, tmp_path):
+    from quadrat.plans.report import export_report
+    from quadrat.sources.roles import DriverRoles
+    r = DriverRoles(spark, SF)
+    paths = export_report({"wood": r.wood, "coarse_wood": r.coarse_wood}, str(tmp_path),
+                          checkpoint_inputs=True)
+    assert sorted(paths) == ["woody_debris", "woody_debris_counts", "woody_debris_mean_sem"]
+    assert spark.read.parquet(paths["woody_debris"]).count() == r.wood.count()
