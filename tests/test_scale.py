@@ -1,5 +1,7 @@
 """Plan shape and skew behaviour: the properties that matter at cluster scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,41 @@ def test_report_run_with_checkpointed_inputs(spark, tmp_path):
                           checkpoint_inputs=True)
     assert sorted(paths) == ["woody_debris", "woody_debris_counts", "woody_debris_mean_sem"]
     assert spark.read.parquet(paths["woody_debris"]).count() == r.wood.count()
+
+
+def _raw_shuffles(df) -> list[str]:
+    """Hash exchanges not fed by a partial aggregate (nor by a projection or
+    filter of one, nor belonging to a join of aggregated sides)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    lines = buf.getvalue().split("\n\n(")[0].splitlines()
+    bad = []
+    for i, ln in enumerate(lines):
+        if not re.search(r"[-:\s]Exchange \(\d+\)", ln):
+            continue
+        below = "\n".join(lines[i + 1:i + 4])
+        above = "\n".join(lines[max(0, i - 3):i])
+        if "HashAggregate" not in below and "SortMergeJoin" not in above:
+            bad.append(ln.strip())
+    return bad
+
+
+@pytest.mark.parametrize("key", ["mean_basal_area", "mean_basal_area_dead", "mean_stem_density",
+                                 "mean_tree_height", "mean_water_quality", "species_contribution_alive",
+                                 "canopy_table", "seedling_table", "coarse_counts_class",
+                                 "debris_counts", "tree_measurement_table", "size_freq_site_year"])
+def test_shuffles_carry_partial_aggregates(spark, key):
+    """Pre-aggregate before shuffling: every hash exchange of these queries is
+    fed by a partial HashAggregate (or is a join input of aggregated sides),
+    so a hot site or plot is combined in each map task, never shuffled raw."""
+    assert _raw_shuffles(QUERIES[key](spark, SF)) == []
+
+
+def test_raw_shuffle_is_detected(spark):
+    from quadrat.sources.roles import DriverRoles
+    t = DriverRoles(spark, SF).trees
+    bad = t.repartition(8, "Site").groupBy("Site").agg(F.count(F.lit(1)))
+    assert _raw_shuffles(bad)
