@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import mean_strict, std_error
+from .join import natural_join
 
 
 def mean_se(x: str, strict: bool = False) -> tuple[Column, Column]:
@@ -55,18 +56,6 @@ def outer_mean_se(df: DataFrame, outer: Sequence[str],
     return df.groupBy(*outer).agg(*out)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where NULL matches NULL (N9); keys appear once."""
-    ren = {k: f"__r_{k}" for k in keys}
-    r = right.withColumnsRenamed(ren)
-    cond = [left[k].eqNullSafe(r[ren[k]]) for k in keys]
-    j = left.join(r, cond, how)
-    if how in ("full", "full_outer", "outer", "right", "right_outer"):
-        j = j.withColumns({k: F.coalesce(left[k], r[ren[k]]) for k in keys})
-    return j.drop(*ren.values())
-
-
 def share_of_total(df: DataFrame, by: Sequence[str], value: str, out: str,
                    scale: float = 1.0) -> DataFrame:
     """``value / sum(value)`` within ``by`` (times ``scale``, e.g. 100).
@@ -78,7 +67,7 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str, out: str,
     skew-split sort-merge join otherwise.
     """
     tot = df.groupBy(*by).agg(F.sum(value).alias("__total"))
-    j = _null_safe_join(df, tot, by) if by else df.join(tot)
+    j = natural_join(df, tot, "inner", on=by) if by else df.join(tot)
     share = F.try_divide(F.col(value).cast("double"), F.col("__total").cast("double"))
     if scale != 1.0:
         share = share * F.lit(float(scale))
