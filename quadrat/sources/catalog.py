@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import SCHEMAS
+from .schemas import REQUIRED, SCHEMAS
 
 CSV_OPTIONS = {
     "header": "true",
@@ -58,14 +58,16 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str | None = None
 
 
 def conform(df: DataFrame, schema: T.StructType, name: str = "table") -> DataFrame:
-    """Fail fast when a declared column is missing; cast the declared columns
-    to their types (text that does not parse becomes NULL, as R's readers
-    give NA). Extra columns are kept after the declared ones."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    """Fail fast when a column the analyses need is missing; cast the declared
+    columns that are present to their types (text that does not parse becomes
+    NULL, as R's readers give NA). Other columns are kept after them."""
+    required = REQUIRED.get(name, tuple(f.name for f in schema.fields))
+    missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{name}: missing column(s) {missing}")
-    declared = {f.name for f in schema.fields}
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+    present = [f for f in schema.fields if f.name in df.columns]
+    declared = {f.name for f in present}
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in present],
                      *[c for c in df.columns if c not in declared])
 
 

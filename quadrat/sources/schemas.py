@@ -44,3 +44,18 @@ SCHEMAS: dict[str, T.StructType] = {
     "coarse_wood": _struct(("SY", _I), ("Site", _S), ("Plot", _S), ("Transect_num", _I),
                            ("Decay_class", _S), ("DBH_cm", _D)),
 }
+
+# Columns the analyses read; a table lacking one of these is rejected on read.
+# Other declared columns (dates, notes, empty volume fields) are optional.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "tree_measurements": ("SY", "Site", "Plot", "Species", "Mortality", "DBH_cm"),
+    "tree_heights": ("SY", "Site", "Plot", "Species", "Tree_Height_m"),
+    "coordinates": ("Island", "Site", "Forest_type", "Latitude", "Longitude"),
+    "densiometer": ("Island", "Site", "Plot", "SY"),
+    "regeneration": ("SY", "Site", "Plot", "Quadrat", "Tall_seedling_cm"),
+    "sapling": ("SY", "Site", "Plot", "Quadrat", "Species", "Height_cm"),
+    "ysi": ("SY", "Site", "Plot", "Water_depth", "Temp", "DO_mg_L", "Salinity_ppt", "TDS"),
+    "wood": ("SY", "Island", "Site", "Plot", "Transect_num", "Transect_m", "Wood_fine_num",
+             "Wood_med_num", "Wood_coarse_num"),
+    "coarse_wood": ("SY", "Site", "Plot", "Transect_num", "Decay_class", "DBH_cm"),
+}
