@@ -306,7 +306,8 @@ QUERIES: dict[str, Query] = {
 SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contribution_dead",
           "mean_stem_density", "pct_basal_change", "basal_change", "basal_change_dead",
           "height_change", "density_change", "natural_full_join", "canopy_table",
-          "seedling_table", "sapling_table", "site_island_conflicts")
+          "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
+          "sapling_density", "left_join_zero_fill", "debris_box")
 
 
 def _on_sparse(fn: Query) -> Query:
