@@ -30,12 +30,21 @@ from ..session import ensure_checkpoint_dir
 _PID_SHIFT = 33  # monotonically_increasing_id = partition_id << 33 | row index
 
 
+def _shuffle_partitions(spark) -> int:
+    """The session's shuffle partition count (some platforms set "auto")."""
+    v = spark.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(1, int(v))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
+
+
 def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
                        num_partitions: int | None) -> DataFrame:
     """Non-missing values range-partitioned and sorted on (keys, value,
     tiebreak), with partition id and row id, materialised once."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _shuffle_partitions(spark)
     v = (df.select(*keys, F.col(value).cast("double").alias("__v"))
          .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
          # Hashed tiebreak so equal values can still be split across
