@@ -72,11 +72,17 @@ def unpivot_multi(df: DataFrame, ids: Sequence[str], pattern: str,
         if v not in names:
             names.append(v)
         rows.setdefault(o, {})[v] = c
+    # A combination absent from the columns is a typed NULL (pivot_longer
+    # fills it with NA).
+    types = {}
+    for mapping in rows.values():
+        for v, c in mapping.items():
+            types.setdefault(v, df.schema[c].dataType)
     structs = []
     for o, mapping in rows.items():
         fields = [F.lit(o).alias(name_to)]
         for v in names:
-            src = F.col(mapping[v]) if v in mapping else F.lit(None)
+            src = F.col(mapping[v]) if v in mapping else F.lit(None).cast(types[v])
             fields.append(src.alias(v))
         structs.append(F.struct(*fields))
     return df.select(*ids, F.inline(F.array(*structs)))

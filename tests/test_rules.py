@@ -223,3 +223,10 @@ def test_read_table_conforms_and_fails_fast(spark, tmp_path):
     assert dict(df.dtypes)["SY"] == "int" and dict(df.dtypes)["Tree_Height_m"] == "double"
     assert sorted([tuple(r) for r in df.select("SY", "Tree_Height_m").collect()], key=str) == \
         sorted([(2022, 3.5), (None, None)], key=str)
+
+
+def test_unpivot_multi_missing_combination(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "id int, MeanCoarse double, MeanFine double, "
+                                                     "SEMCoarse double")
+    m = unpivot_multi(df, ["id"], r"(Mean|SEM)(Coarse|Fine)", 1, "type")
+    assert sorted(tuple(r) for r in m.collect()) == [(1, "Coarse", 1.0, 3.0), (1, "Fine", 2.0, None)]
