@@ -9,20 +9,9 @@ from pyspark.sql import functions as F
 
 from .nulls import ColumnOrName, _c
 
-# Fixed values that must equal the reference's for identical results:
-# plot area 0.01 ha (basal area and stem density are per hectare of a 10 m x 10 m
-# plot), m^2 per ha = 10,000, and the wood densities in tonnes per m^3 for the
-# decay classes: sound (I) 0.35, intermediate (S) 0.5, rotten (R) 0.2; fine and
-# medium pieces 0.5. Assumed diameters: fine 0.005 m, medium 0.0425 m.
-# Sampled lengths: fine debris on metres 2-4, medium on metres 2-6.
-PLOT_AREA_HA = 0.01
-M2_PER_HA = 10000.0
-DECAY_DENSITY = {"I": 0.35, "S": 0.5, "R": 0.2}
-SMALL_DENSITY = 0.5
-FINE_DIAMETER_M = 0.005
-MEDIUM_DIAMETER_M = 0.0425
-FINE_START_M, FINE_END_M = 2.0, 4.0
-MEDIUM_START_M, MEDIUM_END_M = 2.0, 6.0
+from ..fixed import (DECAY_DENSITY, FINE_DIAMETER_M, FINE_END_M,  # noqa: F401 (re-exported)
+                     FINE_START_M, M2_PER_HA, MEDIUM_DIAMETER_M, MEDIUM_END_M, MEDIUM_START_M,
+                     PLOT_AREA_HA, SMALL_DENSITY)
 
 
 def basal_area(dbh_cm: ColumnOrName) -> Column:

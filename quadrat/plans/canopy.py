@@ -12,15 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import CALC_PATTERN, COVER_TYPES
 from ..functions.nulls import std_error, to_number
 from ..functions.text import pm_text, round_half_even
 from ..operators.aggregate import nested_mean_se
 from ..operators.reshape import columns_with_prefix, unpivot_regex
 
-# The cover types and the pattern of the reading columns.
-COVER_TYPES = ("Veg", "Wood", "Open")
-CALC_PATTERN = r"Calc_([NSEW])_([A-Za-z]+)"
-
 
 def canopy_long(densio: DataFrame) -> DataFrame:
     """P2 + M11 + R1: one row per reading: Site, Plot, SY, Direction, Type, value."""

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.forestry import (DECAY_DENSITY, FINE_DIAMETER_M, FINE_END_M, FINE_START_M,
-                                  MEDIUM_DIAMETER_M, MEDIUM_END_M, MEDIUM_START_M, SMALL_DENSITY,
-                                  count_volume, line_intersect_volume, sampled_length)
+from ..fixed import (DECAY_CLASSES, DECAY_DENSITY, DECAY_RECODE, FINE_DIAMETER_M, FINE_END_M,
+                     FINE_START_M, INVALID_DECAY, MEDIUM_DIAMETER_M, MEDIUM_END_M,
+                     MEDIUM_START_M, SMALL_DENSITY, WHISKER_COEF)
+from ..functions.forestry import count_volume, line_intersect_volume, sampled_length
 from ..functions.nulls import mean_strict, std_error, sum0
 from ..functions.text import join_keys
 from ..operators.join import left_join_fill
@@ -22,11 +23,6 @@ from ..operators.quantiles import box_summary
 from ..operators.recode import recode
 from ..operators.reshape import pivot_wide, unpivot_multi
 
-# The invalid decay class, the recode of double entries (first
-# class wins), and the decay classes in report order.
-INVALID_DECAY = "T"
-DECAY_RECODE = {"R, T": "R", "I, T": "I", "I, R": "I"}
-DECAY_CLASSES = ("I", "S", "R")
 TRANSECT = ["SY", "Site", "Plot", "Transect_num"]
 
 
@@ -117,7 +113,7 @@ def debris_box(wood: DataFrame, coarse: DataFrame) -> DataFrame:
     long = t.select("SY", "Site", F.inline(F.array(
         F.struct(F.lit("TotalMass").alias("measure"), F.col("TotalMass").alias("v")),
         F.struct(F.lit("TotalVolume").alias("measure"), F.col("TotalVolume").alias("v")))))
-    return box_summary(long, ["SY", "Site", "measure"], "v")
+    return box_summary(long, ["SY", "Site", "measure"], "v", coef=WHISKER_COEF)
 
 
 def debris_mean_sem(wood: DataFrame, coarse: DataFrame) -> DataFrame:

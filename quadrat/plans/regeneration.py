@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import COUNT_PATTERN, ISLAND_ORDER, SPECIES, SPECIES_NAMES
 from ..functions.forestry import inverse_rescale, rescale
 from ..functions.nulls import mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
@@ -21,13 +22,6 @@ from ..operators.recode import category_rank, distinct_pairs, label_of
 from ..operators.reshape import (columns_matching, pivot_wide, rename_with, unpivot_multi,
                                 unpivot_regex)
 
-# Species codes and report order, their display names (chart
-# titles), island order of the charts, and the pattern of the count columns.
-SPECIES = ("RHMA", "AVGE", "LARA")
-SPECIES_NAMES = {"RHMA": "R. mangle", "AVGE": "A. germinans", "LARA": "L. racemosa"}
-ISLAND_ORDER = ("St Thomas", "St John", "St Croix")
-COUNT_PATTERN = r"([A-Z]+)_(seedlings|saplings)"
-
 
 def counts_long(regen: DataFrame, stage: str, ids=("SY", "Site", "Plot", "Quadrat")) -> DataFrame:
     """One row per (quadrat, species) count of one stage.

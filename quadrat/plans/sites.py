@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import (DENSITY_RADIUS_DIVISOR, FOREST_TYPE_LAYER, FOREST_TYPE_RADIUS, LAYERS,
+                     RADIUS_OFFSET, RADIUS_SCALE)
 from ..functions.nulls import mean_strict
 from ..functions.text import round_half_even, sign_label
 from ..operators.join import natural_full_join, natural_join
@@ -89,13 +91,6 @@ def _txt(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("NA"))
 
 
-# Layer names and the circle radius rules of the change map.
-LAYERS = (
-    ("Living Basal Change", "total_change", "scaled"),
-    ("Dead Basal Change", "total_change_dead", "scaled"),
-    ("Tree Height Change", "height_change", "scaled"),
-    ("Stem Density Change", "stem_density_change", "third"),
-)
 
 
 def change_map_layers(trees: DataFrame, heights: DataFrame, coords: DataFrame,
@@ -112,14 +107,15 @@ def change_map_layers(trees: DataFrame, heights: DataFrame, coords: DataFrame,
     layers = []
     for name, col, rule in LAYERS:
         v = F.col(col)
-        radius = (F.abs(v) + F.lit(5.0)) * F.lit(75.0) if rule == "scaled" else F.abs(v) / F.lit(3.0)
+        radius = ((F.abs(v) + F.lit(RADIUS_OFFSET)) * F.lit(RADIUS_SCALE) if rule == "scaled"
+                  else F.abs(v) / F.lit(DENSITY_RADIUS_DIVISOR))
         layers.append(F.struct(
             F.lit(name).alias("layer"), v.cast("double").alias("value"),
             sign_label(v).alias("direction"), radius.alias("radius"),
             F.concat(site_txt, F.lit("<br><strong>Change:</strong> "), _num2(v)).alias("popup")))
     layers.append(F.struct(
-        F.lit("Forest Type").alias("layer"), F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("direction"), F.lit(10.0).alias("radius"),
+        F.lit(FOREST_TYPE_LAYER).alias("layer"), F.lit(None).cast("double").alias("value"),
+        F.lit(None).cast("string").alias("direction"), F.lit(FOREST_TYPE_RADIUS).alias("radius"),
         F.concat(site_txt, F.lit("<br><strong>Forest Type:</strong> "),
                  _txt(F.col("Typology"))).alias("popup")))
     return data.select("Island", "Site", "Typology", "Latitude", "Longitude",

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import (ALIVE, ALL_SITES_BIN_ORIGIN, BIN_SIZE, DEAD, END_YEAR, HEIGHT_SPECIES,
+                     MORTALITY_MISSING, SITE_BIN_ORIGIN, SPECIES, START_YEAR)
 from ..functions.forestry import PLOT_AREA_HA, basal_area
 from ..functions.nulls import fill_zero, isin_or_null, mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
@@ -22,22 +24,15 @@ from ..operators.change import period_change, size_histogram
 from ..operators.join import natural_full_join
 from ..operators.recode import recode
 
-# Fixed values of the survey: species codes and mortality classes.
-SPECIES = ("RHMA", "AVGE", "LARA")
-ALIVE = ("Alive", "Dying")
-DEAD = ("Dead",)
-HEIGHT_SPECIES = ("RHMA", "AVGE", "LARA", "UNK")  # plus missing species (N8)
-START_YEAR, END_YEAR = 2022, 2024
-
 
 def _lf_rows(trees: DataFrame) -> DataFrame:
     """F1 + M5: measured, classified stems; 'Dying' counts as 'Alive'."""
-    return (trees.where((F.col("DBH_cm") >= 0) & (F.col("Mortality") != "NA"))
+    return (trees.where((F.col("DBH_cm") >= 0) & (F.col("Mortality") != MORTALITY_MISSING))
             .withColumn("Mortality", recode("Mortality", {"Dying": "Alive"})))
 
 
-def size_freq_site_year(trees: DataFrame, site: str, bin_size: float = 3.0,
-                        origin: float = 2.5) -> DataFrame:
+def size_freq_site_year(trees: DataFrame, site: str, bin_size: float = BIN_SIZE,
+                        origin: float = SITE_BIN_ORIGIN) -> DataFrame:
     """D1 ``site_LF``: DBH size frequency of one site, per year and mortality.
 
     ``total_freq`` sums to 1 within each SY (over both mortality classes).
@@ -46,14 +41,15 @@ def size_freq_site_year(trees: DataFrame, site: str, bin_size: float = 3.0,
     return size_histogram(rows, ["SY"], ["Mortality"], "DBH_cm", bin_size, origin)
 
 
-def size_freq_sites(trees: DataFrame, year: int, bin_size: float = 3.0,
-                    origin: float = 0.0) -> DataFrame:
+def size_freq_sites(trees: DataFrame, year: int, bin_size: float = BIN_SIZE,
+                    origin: float = ALL_SITES_BIN_ORIGIN) -> DataFrame:
     """D2 ``all_sites_LF``: DBH size frequency of every site in one year."""
     rows = _lf_rows(trees.where(F.col("SY") == F.lit(year)))
     return size_histogram(rows, ["Site"], ["Mortality"], "DBH_cm", bin_size, origin)
 
 
-def size_freq_all(trees: DataFrame, bin_size: float = 3.0, origin: float = 2.5) -> DataFrame:
+def size_freq_all(trees: DataFrame, bin_size: float = BIN_SIZE,
+                  origin: float = SITE_BIN_ORIGIN) -> DataFrame:
     """D1 for every site at once (the reference's per-site export loop, S4):
     one job grouped by (SY, Site) instead of one job per site."""
     return size_histogram(_lf_rows(trees), ["SY", "Site"], ["Mortality"], "DBH_cm",

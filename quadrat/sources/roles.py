@@ -21,11 +21,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed species codes of the survey, and the flag each one is drawn from.
-SPECIES = ("RHMA", "AVGE", "LARA")
-COVER_TYPES = ("Veg", "Wood", "Open")
+from ..fixed import COVER_TYPES
+
+# Densiometer directions of the mapped readings.
 DIRECTIONS = ("N", "S", "E", "W")
-STAGES = ("seedlings", "saplings")
 
 
 def _species(flag: Column, line: Column) -> Column:
