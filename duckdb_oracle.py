@@ -361,13 +361,16 @@ def _sql() -> dict[str, str]:
     def hist(origin: float) -> str:
         return _with(lf, f"""cnt AS (
   SELECT SY, Site, Mortality,
-         CASE WHEN DBH_cm >= {origin}::DOUBLE
-              THEN CAST(floor((DBH_cm - {origin}::DOUBLE) / 3.0::DOUBLE) AS INTEGER) END AS bin,
+         CASE WHEN DBH_cm >= {origin}::DOUBLE THEN CAST(
+           CASE WHEN DBH_cm < {origin}::DOUBLE + k * 3.0::DOUBLE THEN k - 1
+                WHEN DBH_cm >= {origin}::DOUBLE + (k + 1) * 3.0::DOUBLE THEN k + 1
+                ELSE k END AS INTEGER) END AS bin,
          count(*) AS n
-  FROM lf GROUP BY ALL)""", """tot AS (SELECT SY, Site, sum(n) AS total FROM cnt GROUP BY SY, Site)""") + f"""
+  FROM (SELECT *, floor((DBH_cm - {origin}::DOUBLE) / 3.0::DOUBLE) AS k FROM lf)
+  GROUP BY SY, Site, Mortality, bin)""", """tot AS (SELECT SY, Site, sum(n) AS total FROM cnt GROUP BY SY, Site)""") + f"""
 SELECT c.SY, c.Site, c.Mortality, c.bin,
        {origin}::DOUBLE + c.bin * 3.0::DOUBLE AS bin_lo,
-       {origin}::DOUBLE + c.bin * 3.0::DOUBLE + 3.0::DOUBLE AS bin_hi,
+       {origin}::DOUBLE + (c.bin + 1) * 3.0::DOUBLE AS bin_hi,
        CAST(c.n AS DOUBLE) / CAST(t.total AS DOUBLE) AS total_freq
 FROM cnt c JOIN tot t USING (SY, Site)"""
 
@@ -583,7 +586,7 @@ GROUP BY SY, Site, Plot"""
     lab = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', '')"
     q["bin_labels"] = _with(lf, """b AS (
   SELECT DISTINCT CAST(floor(DBH_cm / 3.0::DOUBLE) AS INTEGER) AS bin FROM lf WHERE DBH_cm >= 0.0)""") + f"""
-SELECT bin, bin * 3.0::DOUBLE AS bin_lo, bin * 3.0::DOUBLE + 3.0::DOUBLE AS bin_hi, bin_num,
+SELECT bin, 0.0::DOUBLE + bin * 3.0::DOUBLE AS bin_lo, 0.0::DOUBLE + (bin + 1) * 3.0::DOUBLE AS bin_hi, bin_num,
   CASE WHEN bin + 1 >= 1 AND bin + 1 <= bin_num + 1
        THEN {lab('bin * 3.0::DOUBLE')} || '-' || {lab('(bin + 1) * 3.0::DOUBLE')} END AS label
 FROM b, (SELECT count(*) AS bin_num FROM b)"""

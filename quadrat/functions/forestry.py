@@ -21,20 +21,29 @@ def basal_area(dbh_cm: ColumnOrName) -> Column:
 
 
 def bin_index(x: ColumnOrName, width: float, origin: float) -> Column:
-    """M3: left-closed bin number ``floor((x - origin) / width)``; x < origin -> NULL.
-
-    Same bins as ``cut(x, seq(origin, max + width, width), right = FALSE)``; the
-    upper bound is implied by the data, so no extra job computes the maximum.
+    """M3: left-closed bin number k with ``origin + k*width <= x < origin + (k+1)*width``;
+    x < origin -> NULL.
+
+    Same bins as ``cut(x, seq(origin, max + width, width), right = FALSE)``:
+    the estimate ``floor((x - origin) / width)`` is corrected by one where
+    float division lands on the other side of the break value ``seq`` computes
+    (``origin + k * width``), e.g. for a width of 0.1. The upper bound is
+    implied by the data, so no extra job computes the maximum.
     """
     c = _c(x)
-    return F.when(c >= F.lit(origin), F.floor((c - F.lit(origin)) / F.lit(width)))
+    o, w = F.lit(origin), F.lit(width)
+    k = F.floor((c - o) / w)
+    k = (F.when(c < o + k * w, k - 1)
+         .when(c >= o + (k + 1) * w, k + 1)
+         .otherwise(k))
+    return F.when(c >= o, k)
 
 
 def bin_bounds(index: ColumnOrName, width: float, origin: float) -> tuple[Column, Column]:
-    """Lower and upper edge of bin ``index`` (both NULL for a NULL index)."""
+    """Break values below and above bin ``index``: ``origin + k*width`` and
+    ``origin + (k+1)*width``, as ``seq`` computes them (NULL for a NULL index)."""
     i = _c(index)
-    lo = F.lit(origin) + i * F.lit(width)
-    return lo, lo + F.lit(width)
+    return F.lit(origin) + i * F.lit(width), F.lit(origin) + (i + 1) * F.lit(width)
 
 
 def rescale(y: ColumnOrName, from_min: Column, from_max: Column,

@@ -138,3 +138,29 @@ def test_total_debris_vs_pandas(spark):
         r = got[key]
         assert _close(r.CoarseVol, vol) and _close(r.CoarseMass, mass), key
         assert _close(r.FVol, fv) and _close(r.MVol, mv) and _close(r.TotalVolume, total), key
+
+
+def test_bins_match_r_cut_for_inexact_width(spark):
+    """M3: with a width of 0.1 the bins are those of
+    cut(x, seq(o, max + w, w), right = FALSE), break values o + k*w."""
+    from pyspark.sql import functions as F
+
+    from quadrat.functions import bin_bounds, bin_index
+    rnd = random.Random(9)
+    xs = [round(rnd.uniform(0, 5), rnd.choice([1, 2, 3])) for _ in range(2000)] + \
+         [i / 10 for i in range(50)] + [0.3, 0.7, 1.1, 2.9]
+    for o, w in ((0.0, 0.1), (0.05, 0.1), (2.5, 0.3)):
+        # R: seq(from, to, by) = pmin(from + (0:n) * by, to), n = floor((to - from)/by + 1e-10)
+        to = max(xs) + w
+        n = int((to - o) / w + 1e-10)
+        breaks = [min(o + i * w, to) for i in range(n + 1)]
+        codes = pd.cut(pd.Series(xs), breaks, right=False).cat.codes   # -1 = no bin
+        want = [None if c < 0 else int(c) for c in codes]
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        k = bin_index("x", w, o)
+        lo, hi = bin_bounds(k, w, o)
+        got = df.select(k.cast("int"), lo, hi).collect()
+        assert [r[0] for r in got] == want, (o, w)
+        # the edges are seq's break values (R clamps only the last one to `to`)
+        assert all(r[0] is None or (r[1] == breaks[r[0]] and math.isclose(r[2], breaks[r[0] + 1]))
+                   for r in got)
