@@ -27,21 +27,21 @@ CSV_OPTIONS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             name: str = "table") -> DataFrame:
     """Scan a delimited file with a header, trimmed cells and declared types.
 
-    Without a schema the column types are inferred, as R's reader does; that
-    costs an extra pass over the file, so the survey tables declare theirs.
+    With a schema, cells are read as text and the declared columns are picked
+    by header name and cast (:func:`conform`): sheets with reordered or extra
+    columns read correctly, and a cell that does not parse becomes NULL, as
+    R's readers give NA. (Spark's own CSV schema maps columns by position.)
+    Without a schema the types are inferred, as R's reader does; that costs an
+    extra pass over the file, so the survey tables declare theirs.
     """
     reader = spark.read.options(**CSV_OPTIONS)
     if schema is None:
-        reader = reader.option("inferSchema", "true")
-    else:
-        reader = reader.schema(schema)
-        # Columns are matched by header name, so a sheet with extra or
-        # reordered columns still reads correctly.
-        reader = reader.option("enforceSchema", "false")
-    return reader.csv(path)
+        return reader.option("inferSchema", "true").csv(path)
+    return conform(reader.csv(path), schema, name)
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str | None = None
     if fmt == "parquet" or (fmt is None and os.path.exists(pq)):
         df = spark.read.parquet(pq)
         return conform(df, schema, name) if schema is not None else df
-    return read_csv(spark, os.path.join(root, f"{name}.csv"), schema)
+    return read_csv(spark, os.path.join(root, f"{name}.csv"), schema, name)
 
 
 def conform(df: DataFrame, schema: T.StructType, name: str = "table") -> DataFrame:

@@ -230,3 +230,13 @@ def test_unpivot_multi_missing_combination(spark):
                                                      "SEMCoarse double")
     m = unpivot_multi(df, ["id"], r"(Mean|SEM)(Coarse|Fine)", 1, "type")
     assert sorted(tuple(r) for r in m.collect()) == [(1, "Coarse", 1.0, 3.0), (1, "Fine", 2.0, None)]
+
+
+def test_csv_columns_matched_by_name(spark, tmp_path):
+    """A sheet with reordered and extra columns reads by header name."""
+    from quadrat.sources.catalog import read_table
+    (tmp_path / "ysi.csv").write_text(
+        "Site,SY,Plot,Extra,Water_depth,Temp,DO_mg_L,Salinity_ppt,TDS\n"
+        " A ,2022,P1,x,1.5,25,6,30,n/a\n")
+    r = read_table(spark, str(tmp_path), "ysi").first()
+    assert (r["SY"], r["Site"], r["Water_depth"], r["TDS"], r["Extra"]) == (2022, "A", 1.5, None, "x")
