@@ -14,6 +14,7 @@ HEIGHT_SPECIES = ("RHMA", "AVGE", "LARA", "UNK")
 # Mortality classes: living (dying counts as alive), dead, and the text "NA".
 ALIVE = ("Alive", "Dying")
 DEAD = ("Dead",)
+MORTALITY_RECODE = {"Dying": "Alive"}
 MORTALITY_MISSING = "NA"
 
 # Default change years and the island display order of the charts.

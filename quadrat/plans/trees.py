@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (ALIVE, ALL_SITES_BIN_ORIGIN, BIN_SIZE, DEAD, END_YEAR, HEIGHT_SPECIES,
-                     MORTALITY_MISSING, SITE_BIN_ORIGIN, SPECIES, START_YEAR)
+                     MORTALITY_MISSING, MORTALITY_RECODE, SITE_BIN_ORIGIN, SPECIES,
+                     START_YEAR)
 from ..functions.forestry import PLOT_AREA_HA, basal_area
 from ..functions.nulls import fill_zero, isin_or_null, mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
@@ -28,7 +29,7 @@ from ..operators.recode import recode
 def _lf_rows(trees: DataFrame) -> DataFrame:
     """F1 + M5: measured, classified stems; 'Dying' counts as 'Alive'."""
     return (trees.where((F.col("DBH_cm") >= 0) & (F.col("Mortality") != MORTALITY_MISSING))
-            .withColumn("Mortality", recode("Mortality", {"Dying": "Alive"})))
+            .withColumn("Mortality", recode("Mortality", MORTALITY_RECODE)))
 
 
 def size_freq_site_year(trees: DataFrame, site: str, bin_size: float = BIN_SIZE,

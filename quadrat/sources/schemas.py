@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from ..fixed import COVER_TYPES
+
 _S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
 
 
@@ -17,7 +19,8 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 _DIRS = ("N", "S", "E", "W")
-_COVER = ("Veg", "Wood", "Open")
+_COVER = COVER_TYPES
+# Count columns in the order of the field sheet.
 _SPECIES = ("RHMA", "LARA", "AVGE")
 
 SCHEMAS: dict[str, T.StructType] = {
