@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, license_scan, ngram_join, packing, quality_classifier, quality_rules,
-               substring_dedup, token_files)
+from . import (decontamination, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules,
+               substring_dedup, token_files, warc)
 from .shared import stored
 
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "anomaly")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_license_scan, op7_substring_dedup,
-        op8_token_files, op9_quality_classifier, op10_ngram_join)}
+        op1_warc, op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_license_scan, op6_pii,
+        op7_substring_dedup, op8_token_files, op9_quality_classifier, op10_ngram_join)}
 #: DuckDB SQL where it can express an operator.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN strlen(h) >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(h) >= 100 AND page_id > low THEN low END AS refers_to
+        FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS low
+              FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+    """,
+}
