@@ -1,19 +1,19 @@
 """Command line: ``python -m quadrat report TABLES_DIR OUT_DIR [options]``.
 
 Reads the survey tables (``<name>.parquet`` or ``<name>.csv`` under
-TABLES_DIR; missing tables skip the outputs that need them) and writes every
-report dataset under OUT_DIR - the report run (S5).
+TABLES_DIR, on any file system) and writes every report dataset under OUT_DIR -
+the report run (S5). Outputs whose tables are missing are listed; a folder
+without any table is an error.
 """
 
 from __future__ import annotations
 
 import argparse
-import os
 
 from .plans import regeneration, trees
-from .plans.report import INPUTS, export_report
+from .plans.report import INPUTS, NEEDS, export_report
 from .session import build_session
-from .sources.catalog import read_table
+from .sources.catalog import find_table
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:
@@ -34,13 +34,19 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     spark = build_session("quadrat-report")
     tables = {}
     for name in INPUTS:
-        if any(os.path.exists(os.path.join(a.tables, f"{name}.{ext}")) for ext in ("parquet", "csv")):
-            tables[name] = read_table(spark, a.tables, name)
+        df = find_table(spark, a.tables, name)
+        if df is not None:
+            tables[name] = df
+    if not tables:
+        raise SystemExit(f"no survey table under {a.tables}: expected {', '.join(INPUTS)} as .parquet or .csv")
     paths = export_report(tables, a.out, fmt=a.format, checkpoint_inputs=a.checkpoint_inputs,
                           start=a.start, end=a.end, bin_size=a.bin_size,
                           island_order=tuple(s.strip() for s in a.islands.split(",")))
     for k, v in sorted(paths.items()):
         print(f"{k}\t{v}")
+    for k, need in sorted(NEEDS.items()):
+        if k not in paths:
+            print(f"skipped {k}: no table {', '.join(n for n in need if n not in tables)}")
     return paths
 
 

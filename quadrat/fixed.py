@@ -66,3 +66,18 @@ LAYERS = (
 )
 RADIUS_OFFSET, RADIUS_SCALE, DENSITY_RADIUS_DIVISOR = 5.0, 75.0, 3.0
 FOREST_TYPE_LAYER, FOREST_TYPE_RADIUS = "Forest Type", 10.0
+
+# Cell texts that mean "missing": in exported CSV sheets, in worksheets.
+MISSING_CSV = ("", "NA")
+MISSING_SHEET = ("",)
+
+# Sheet headers and the column names used here.
+SHEET_HEADERS = {"coordinates": {"Forest type": "Forest_type"}}
+
+# Text of the map popups.
+POPUP_SITE = "<strong>Site:</strong> "
+POPUP_CHANGE = "<br><strong>Change:</strong> "
+POPUP_FOREST = "<br><strong>Forest Type:</strong> "
+
+# Column names of the debris means and their errors.
+MEAN_SEM_PATTERN = r"(Mean|SEM)(Coarse|Fine)"

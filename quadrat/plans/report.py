@@ -9,75 +9,112 @@ typography are out of scope (see README).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from ..fixed import ALL_SITES_BIN_ORIGIN, SITE_BIN_ORIGIN
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import write_table
 from . import canopy, debris, regeneration, sites, trees, water
 
-# Role tables the run reads; missing roles skip the outputs that need them.
+# Role tables the run reads.
 INPUTS = ("tree_measurements", "tree_heights", "coordinates", "densiometer", "regeneration",
           "sapling", "ysi", "wood", "coarse_wood")
 
+# The tables each output needs; without them it is left out.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "tree_measurements_table": ("tree_measurements", "tree_heights"),
+    "site_size_frequency": ("tree_measurements",),
+    "year_size_frequency": ("tree_measurements",),
+    "basal_area_change": ("tree_measurements",),
+    "change_map": ("tree_measurements", "tree_heights", "coordinates"),
+    "site_coordinates": ("coordinates",),
+    "densiometer_table": ("densiometer",),
+    "densiometer_figure": ("densiometer",),
+    "seedling_figure": ("regeneration", "densiometer"),
+    "sapling_figures": ("regeneration", "sapling", "densiometer"),
+    "seedling_density_table": ("regeneration",),
+    "sapling_density_table": ("regeneration",),
+    "water_quality_table": ("ysi",),
+    "woody_debris": ("wood", "coarse_wood"),
+    "woody_debris_mean_sem": ("wood", "coarse_wood"),
+    "woody_debris_box": ("wood", "coarse_wood"),
+    "woody_debris_counts": ("wood",),
+    "coarse_counts_class": ("coarse_wood",),
+    "coarse_counts_plot": ("coarse_wood",),
+    "check_site_islands": ("wood",),
+    "check_decay_classes": ("coarse_wood",),
+}
+
+# Outputs in one folder per value of a column.
+PARTITIONS = {"site_size_frequency": ["Site"], "year_size_frequency": ["SY"],
+              "sapling_figures": ["Species"], "woody_debris": ["SY"]}
+
 
 def report_datasets(t: Mapping[str, DataFrame], start=trees.START_YEAR, end=trees.END_YEAR,
                     bin_size: float = 3.0,
                     island_order=regeneration.ISLAND_ORDER) -> dict[str, tuple[DataFrame, list[str]]]:
-    """The report's datasets as lazy plans: name -> (DataFrame, partition columns)."""
-    out: dict[str, tuple[DataFrame, list[str]]] = {}
-    tm, th = t.get("tree_measurements"), t.get("tree_heights")
-    if tm is not None and th is not None:
-        out["tree_measurements_table"] = (trees.tree_measurement_table(tm, th), [])
-    if tm is not None:
-        out["site_size_frequency"] = (trees.size_freq_all(tm, bin_size, 2.5), ["Site"])
-        out["year_size_frequency"] = (trees.size_histogram(trees._lf_rows(tm), ["SY", "Site"],
-                                                           ["Mortality"], "DBH_cm", bin_size, 0.0),
-                                      ["SY"])
-    if tm is not None and th is not None and t.get("coordinates") is not None:
-        out["change_map"] = (sites.change_map_layers(tm, th, t["coordinates"], start, end), [])
-    d = t.get("densiometer")
-    if d is not None:
-        out["densiometer_table"] = (canopy.canopy_table(d), [])
-        out["densiometer_figure"] = (canopy.canopy_series(d), [])
-    rg = t.get("regeneration")
-    if rg is not None and d is not None:
-        out["seedling_figure"] = (regeneration.seedling_density(rg, d, island_order), [])
-        if t.get("sapling") is not None:
-            out["sapling_figures"] = (regeneration.sapling_site_stats(
-                rg, t["sapling"], d, island_order), ["Species"])
-    if rg is not None:
-        out["seedling_density_table"] = (regeneration.seedling_table(rg), [])
-        out["sapling_density_table"] = (regeneration.sapling_table(rg), [])
-    if t.get("ysi") is not None:
-        out["water_quality_table"] = (water.water_table(t["ysi"]), [])
-    w, c = t.get("wood"), t.get("coarse_wood")
-    if w is not None and c is not None:
-        out["woody_debris"] = (debris.total_debris(w, c), ["SY"])
-        out["woody_debris_mean_sem"] = (debris.debris_mean_sem(w, c), [])
-    if w is not None:
-        out["woody_debris_counts"] = (debris.debris_counts(w), [])
-    return out
+    """The report's datasets: name -> (DataFrame, partition columns). The plot
+    level of the trees, which several of them read, is computed once into the
+    shared checkpoint folder."""
+    plots = None
+    if "tree_measurements" in t:
+        plots = trees.tree_plots(t["tree_measurements"])
+        ensure_checkpoint_dir(plots.sparkSession)
+        plots = plots.checkpoint(eager=True)
+    make = {
+        "tree_measurements_table": lambda a, b: trees.tree_measurement_table(a, b, plots),
+        "site_size_frequency": lambda a: trees.size_freq_all(a, bin_size, SITE_BIN_ORIGIN),
+        "year_size_frequency": lambda a: trees.size_histogram(
+            trees._lf_rows(a), ["SY", "Site"], ["Mortality"], "DBH_cm", bin_size, ALL_SITES_BIN_ORIGIN),
+        "basal_area_change": lambda a: trees.pct_basal_change(a, start, end),
+        "change_map": lambda a, b, c: sites.change_map_layers(a, b, c, start, end, plots),
+        "site_coordinates": sites.site_coordinates,
+        "densiometer_table": canopy.canopy_table,
+        "densiometer_figure": canopy.canopy_series,
+        "seedling_figure": lambda a, b: regeneration.seedling_density(a, b, island_order),
+        "sapling_figures": lambda a, b, c: regeneration.sapling_site_stats(a, b, c, island_order),
+        "seedling_density_table": regeneration.seedling_table,
+        "sapling_density_table": regeneration.sapling_table,
+        "water_quality_table": water.water_table,
+        "woody_debris": debris.total_debris,
+        "woody_debris_mean_sem": debris.debris_mean_sem,
+        "woody_debris_box": debris.debris_box,
+        "woody_debris_counts": debris.debris_counts,
+        "coarse_counts_class": debris.coarse_counts_class,
+        "coarse_counts_plot": debris.coarse_counts_plot,
+        "check_site_islands": debris.site_island_conflicts,
+        "check_decay_classes": debris.decay_invalid,
+    }
+    return {name: (make[name](*[t[n] for n in need]), PARTITIONS.get(name, []))
+            for name, need in NEEDS.items() if all(n in t for n in need)}
 
 
 def export_report(tables: Mapping[str, DataFrame], output_dir: str, fmt: str = "parquet",
                   checkpoint_inputs: bool = False, **params) -> dict[str, str]:
-    """Write every report dataset under ``output_dir``; returns name -> path.
+    """Write every report dataset whose tables (:data:`NEEDS`) are given under
+    ``output_dir``; returns name -> path. An unknown table name, or tables for
+    no output at all, is an error.
 
     ``checkpoint_inputs`` materialises each input role once in the session's
     shared checkpoint folder before the outputs are computed - worth it when
     the roles are themselves expensive derivations read by several outputs.
     """
-    t = dict(tables)
+    t = {k: df for k, df in tables.items() if df is not None}
+    unknown = sorted(set(t) - set(INPUTS))
+    if unknown:
+        raise ValueError(f"unknown table(s) {unknown}; the report reads {list(INPUTS)}")
     if checkpoint_inputs:
         for k, df in list(t.items()):
             ensure_checkpoint_dir(df.sparkSession)
             t[k] = df.checkpoint(eager=True)
+    datasets = report_datasets(t, **params)
+    if not datasets:
+        raise ValueError(f"no output can be made from the tables {sorted(t)}")
     paths = {}
-    for name, (df, parts) in report_datasets(t, **params).items():
-        path = os.path.join(output_dir, name)
+    for name, (df, parts) in datasets.items():
+        path = f"{output_dir.rstrip('/')}/{name}"
         write_table(df, path, fmt=fmt, partition_by=parts or None)
         paths[name] = path
     return paths

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (DENSITY_RADIUS_DIVISOR, FOREST_TYPE_LAYER, FOREST_TYPE_RADIUS, LAYERS,
-                     RADIUS_OFFSET, RADIUS_SCALE)
+                     POPUP_CHANGE, POPUP_FOREST, POPUP_SITE, RADIUS_OFFSET, RADIUS_SCALE)
 from ..functions.nulls import mean_strict
 from ..functions.text import round_half_even, sign_label
 from ..operators.join import natural_full_join, natural_join
@@ -25,7 +25,8 @@ def site_coordinates(coords: DataFrame) -> DataFrame:
         mean_strict("Longitude").alias("Longitude"))
 
 
-def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR) -> DataFrame:
+def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR,
+                 plots: DataFrame | None = None) -> DataFrame:
     """D17 (alive, dead) and D19 by Site from ONE scan of the tree table.
 
     Same rows and values as full-joining the three change tables: a site gets
@@ -34,22 +35,14 @@ def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR) -> DataFr
     known year; an absent year counts 0 (B8). Three levels of partial
     aggregates (plot, site-year, site); no join.
     """
-    ba = T.basal_area("DBH_cm")
-    is_sp = F.col("Species").isin(list(T.SPECIES))
-    alive = is_sp & F.col("Mortality").isin(list(T.ALIVE))
-    dead = is_sp & F.col("Mortality").isin(list(T.DEAD))
-    plot = trees.where(alive | dead).groupBy("SY", "Site", "Plot").agg(
-        F.count(F.when(alive, F.lit(1))).alias("n_a"),
-        F.count(F.when(dead, F.lit(1))).alias("n_d"),
-        T.sum0(F.when(alive, ba)).alias("ba_a"),
-        T.sum0(F.when(dead, ba)).alias("ba_d"))
-    has_a, has_d = F.col("n_a") > 0, (F.col("n_d") > 0) & F.col("SY").isNotNull()
+    plot = T.tree_plots(trees) if plots is None else plots
+    has_a, has_d = F.col("n_alive") > 0, (F.col("n_dead") > 0) & F.col("SY").isNotNull()
     sy = plot.groupBy("SY", "Site").agg(
         F.count(F.when(has_a, F.lit(1))).alias("p_a"),
         F.count(F.when(has_d, F.lit(1))).alias("p_d"),
-        F.coalesce(F.avg(F.when(has_a, F.col("ba_a"))), F.lit(0.0)).alias("m_a"),
-        F.coalesce(F.avg(F.when(has_d, F.col("ba_d"))), F.lit(0.0)).alias("m_d"),
-        F.avg(F.when(has_a, F.col("n_a") / F.lit(T.PLOT_AREA_HA))).alias("dens"))
+        F.coalesce(F.avg(F.when(has_a, F.col("basal_alive"))), F.lit(0.0)).alias("m_a"),
+        F.coalesce(F.avg(F.when(has_d, F.col("basal_dead"))), F.lit(0.0)).alias("m_d"),
+        F.avg(F.when(has_a, F.col("n_alive") / F.lit(T.PLOT_AREA_HA))).alias("dens"))
 
     def at(year, present: str, value: str):
         return F.coalesce(F.max(F.when((F.col("SY") == F.lit(year)) & (F.col(present) > 0),
@@ -66,13 +59,13 @@ def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR) -> DataFr
 
 
 def site_changes(trees: DataFrame, heights: DataFrame, start=T.START_YEAR,
-                 end=T.END_YEAR) -> DataFrame:
+                 end=T.END_YEAR, plots: DataFrame | None = None) -> DataFrame:
     """``Reduce(merge(all = TRUE))`` of the four change tables by Site.
 
     The three tree-based changes come from one scan (:func:`tree_changes`);
     only the height change (another table) is joined, null-safe on Site.
     """
-    t = tree_changes(trees, start, end)
+    t = tree_changes(trees, start, end, plots)
     h = T.height_change(heights, start, end)
     j = natural_full_join([t, h])
     return j.select("Site", "total_change", "total_change_dead", "height_change",
@@ -92,18 +85,18 @@ def _txt(x: Column) -> Column:
 
 
 
-
 def change_map_layers(trees: DataFrame, heights: DataFrame, coords: DataFrame,
-                      start=T.START_YEAR, end=T.END_YEAR) -> DataFrame:
+                      start=T.START_YEAR, end=T.END_YEAR,
+                      plots: DataFrame | None = None) -> DataFrame:
     """One row per (layer, site): position, value, direction, radius, popup.
 
     Radius ``(|change| + 5) * 75`` m; density ``|change| / 3``; the forest type
     layer a fixed 10. Direction 'pos' for change > 0, else 'neg' (0 is 'neg').
     The five layers come from one ``inline`` over the joined site table.
     """
-    data = natural_join(site_changes(trees, heights, start, end),
+    data = natural_join(site_changes(trees, heights, start, end, plots),
                         site_coordinates(coords), "left", on=["Site"])
-    site_txt = F.concat(F.lit("<strong>Site:</strong> "), _txt(F.col("Site")))
+    site_txt = F.concat(F.lit(POPUP_SITE), _txt(F.col("Site")))
     layers = []
     for name, col, rule in LAYERS:
         v = F.col(col)
@@ -112,11 +105,11 @@ def change_map_layers(trees: DataFrame, heights: DataFrame, coords: DataFrame,
         layers.append(F.struct(
             F.lit(name).alias("layer"), v.cast("double").alias("value"),
             sign_label(v).alias("direction"), radius.alias("radius"),
-            F.concat(site_txt, F.lit("<br><strong>Change:</strong> "), _num2(v)).alias("popup")))
+            F.concat(site_txt, F.lit(POPUP_CHANGE), _num2(v)).alias("popup")))
     layers.append(F.struct(
         F.lit(FOREST_TYPE_LAYER).alias("layer"), F.lit(None).cast("double").alias("value"),
         F.lit(None).cast("string").alias("direction"), F.lit(FOREST_TYPE_RADIUS).alias("radius"),
-        F.concat(site_txt, F.lit("<br><strong>Forest Type:</strong> "),
+        F.concat(site_txt, F.lit(POPUP_FOREST),
                  _txt(F.col("Typology"))).alias("popup")))
     return data.select("Island", "Site", "Typology", "Latitude", "Longitude",
                        F.inline(F.array(*layers)))

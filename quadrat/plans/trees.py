@@ -157,28 +157,35 @@ def density_change(trees: DataFrame, start=START_YEAR, end=END_YEAR) -> DataFram
                          start, end, "stem_density_change")
 
 
-def tree_metrics(trees: DataFrame, heights: DataFrame) -> DataFrame:
-    """Raw numbers of the tree report: D11, D13 (alive, dead), D14 and D15 by
-    (SY, Site), with the row set and values of their natural full join (J1).
-
-    Instead of five aggregates of the same table and four full outer joins,
-    the tree table is scanned once: one plot-level aggregate with conditional
-    sums per status and species, then one site-level aggregate. A plot counts
-    for a status only if it has stems of that status (``has_*``), which keeps
-    D11/D14's "absent plot" and D13's "zero inside a present plot" rules. Only
-    the heights (another table) are joined.
-    """
+def tree_plots(trees: DataFrame) -> DataFrame:
+    """Stems and basal area per (SY, Site, Plot) and status, and per species: the
+    plot level that the tree report and the change map share."""
     ba = basal_area("DBH_cm")
     is_sp = F.col("Species").isin(list(SPECIES))
     alive = is_sp & F.col("Mortality").isin(list(ALIVE))
     dead = is_sp & F.col("Mortality").isin(list(DEAD))
-    rows = trees.where(alive | dead)
-    plot = rows.groupBy("SY", "Site", "Plot").agg(
+    return trees.where(alive | dead).groupBy("SY", "Site", "Plot").agg(
         F.count(F.when(alive, F.lit(1))).alias("n_alive"),
         F.count(F.when(dead, F.lit(1))).alias("n_dead"),
         sum0(F.when(alive, ba)).alias("basal_alive"),
+        sum0(F.when(dead, ba)).alias("basal_dead"),
         *[sum0(F.when(alive & (F.col("Species") == sp), ba)).alias(f"{sp}_a") for sp in SPECIES],
         *[sum0(F.when(dead & (F.col("Species") == sp), ba)).alias(f"{sp}_d") for sp in SPECIES])
+
+
+def tree_metrics(trees: DataFrame, heights: DataFrame, plots: DataFrame | None = None) -> DataFrame:
+    """Raw numbers of the tree report: D11, D13 (alive, dead), D14 and D15 by
+    (SY, Site), with the row set and values of their natural full join (J1).
+
+    Instead of five aggregates of the same table and four full outer joins,
+    the tree table is scanned once: one plot-level aggregate with conditional
+    sums per status and species, then one site-level aggregate. A plot counts
+    for a status only if it has stems of that status (``has_*``), which keeps
+    D11/D14's "absent plot" and D13's "zero inside a present plot" rules. Only
+    the heights (another table) are joined. ``plots`` passes the plot level
+    (:func:`tree_plots`) where it has been computed already.
+    """
+    plot = tree_plots(trees) if plots is None else plots
     has_a, has_d = F.col("n_alive") > 0, F.col("n_dead") > 0
     basal = F.when(has_a, F.col("basal_alive"))
     dens = F.when(has_a, F.col("n_alive") / F.lit(PLOT_AREA_HA))
@@ -208,13 +215,14 @@ def tree_metrics(trees: DataFrame, heights: DataFrame) -> DataFrame:
     return natural_full_join([trees_site, mean_tree_height(heights)])
 
 
-def tree_measurement_table(trees: DataFrame, heights: DataFrame) -> DataFrame:
+def tree_measurement_table(trees: DataFrame, heights: DataFrame,
+                           plots: DataFrame | None = None) -> DataFrame:
     """D3: the tree report - rounded numbers and ``mean ± SE`` text.
 
     Every number is rounded to 1 digit; stem density then again to 0 digits
     (the reference rounds twice). Species shares are percent with 1 digit.
     """
-    x = tree_metrics(trees, heights)
+    x = tree_metrics(trees, heights, plots)
     num = [c for c, t in x.dtypes if t in ("double", "float") or t.startswith("decimal")]
     x = x.withColumns({c: round_half_even(c, 1) for c in num})
     x = x.withColumns({c: round_half_even(c, 0) for c in

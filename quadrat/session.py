@@ -7,6 +7,7 @@ the caller's DataFrames. These helpers exist for tests, the bench and scripts.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the checkpoint folder, setting one only where none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) is a scratch folder created.
+    is; a cluster without one is an error, since executors cannot read what
+    others write to their own disks. In local mode a scratch folder is created.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -64,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="quadrat-ckpt-")
     os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)

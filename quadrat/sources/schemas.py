@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from ..fixed import COVER_TYPES
+from ..fixed import COVER_TYPES, SHEET_HEADERS
 
 _S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
 
@@ -48,6 +48,9 @@ SCHEMAS: dict[str, T.StructType] = {
                            ("Decay_class", _S), ("DBH_cm", _D)),
 }
 
+# Sheet headers that differ from the declared names, by table.
+ALIASES: dict[str, dict[str, str]] = SHEET_HEADERS
+
 # Columns the analyses read; a table lacking one of these is rejected on read.
 # Other declared columns (dates, notes, empty volume fields) are optional.
 REQUIRED: dict[str, tuple[str, ...]] = {
