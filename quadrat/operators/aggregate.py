@@ -86,8 +86,3 @@ def with_global_stats(df: DataFrame, stats: Sequence[Column]) -> DataFrame:
     """
     one = df.agg(*stats)
     return df.join(F.broadcast(one), how="inner")
-
-
-def count_rows() -> Column:
-    """A1: ``n()`` - rows in the group, missing values included."""
-    return F.count(F.lit(1))

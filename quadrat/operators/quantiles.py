@@ -4,18 +4,19 @@
 task, so a hot group with many distinct values would sit whole in one task.
 Here the exact order statistics come from a global sort instead:
 
-1. range-partition all values on ``(group, value, tiebreak)`` - a hot group is
-   spread over many partitions, ties included;
-2. the sorted layout is checkpointed once; the position of every row = rows
-   in earlier partitions + index in its partition (per-partition counts are one
-   small aggregate, one row per partition);
-3. per group: first position and size (partial aggregates);
-4. the ranks needed for the quantiles (two per probability, R type 7 /
-   ``quantile_cont``) are looked up by one equi-join on the unique position;
-5. box-plot whiskers read the checkpointed values, not the input plan again.
-
-Every step is a shuffle on a well-spread key or a partial aggregate; nothing
-collects a group.
+1. range-partition all values on ``(group, value, row key)`` - a hot group is
+   spread over many partitions, ties included where a row key is given;
+2. that layout is checkpointed once, with the partition of each row;
+3. per (group, partition): number of rows, and from these the rows of the group
+   in earlier partitions and in all (one row per group and partition);
+4. rows get their place in (group, partition) by a window on just that, and with
+   the numbers of step 3, joined on the same key, their place in the group; the
+   few places that the quantiles need (two per probability, R type 7 /
+   ``quantile_cont``) are kept;
+5. box-plot whiskers join the fences to the values on (group, partition) too.
+
+The values move twice, to their range and to their (group, partition), and the
+largest bucket of either is one range: no group is hot. Nothing collects a group.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-_PID_SHIFT = 33  # monotonically_increasing_id = partition_id << 33 | row index
-
 
 def _shuffle_partitions(spark) -> int:
     """The session's shuffle partition count (some platforms set "auto")."""
@@ -40,76 +39,65 @@ def _shuffle_partitions(spark) -> int:
 
 
 def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
-                       num_partitions: int | None) -> DataFrame:
-    """Non-missing values range-partitioned and sorted on (keys, value,
-    tiebreak), with partition id and row id, materialised once."""
+                       num_partitions: int | None, row_key: Sequence[str]) -> DataFrame:
+    """Non-missing values with their range partition on (keys, value, row key),
+    materialised once. The group is a struct: it is never NULL, and structs with
+    equal fields, NULL ones included, are equal in joins."""
     spark = df.sparkSession
     n = num_partitions or _shuffle_partitions(spark)
-    v = (df.select(*keys, F.col(value).cast("double").alias("__v"))
-         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-         # Hashed tiebreak so equal values can still be split across
-         # partitions (a hot group of ties is not one task).
-         .withColumn("__tie", F.xxhash64(*keys, "__v", F.monotonically_increasing_id())))
-    order = [*keys, "__v", "__tie"]
-    ranked = (v.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id()))
-    # The counts and the rows must come from one and the same sorted layout;
-    # materialise it once in the shared checkpoint folder (also cuts lineage,
-    # so a lost executor does not re-sample the range bounds).
+    v = (df.select(F.struct(*keys).alias("__g"), F.col(value).cast("double").alias("__v"),
+                   F.xxhash64(*keys, value, *row_key).alias("__tie"))
+         .where(F.col("__v").isNotNull() & ~F.isnan("__v")))
+    ranged = v.repartitionByRange(n, "__g", "__v", "__tie").withColumn("__pid", F.spark_partition_id())
+    # The numbers per partition and the rows must come from one and the same
+    # layout: checkpoint it in the shared folder (that also cuts the lineage, so
+    # a lost executor does not draw the range bounds again).
     ensure_checkpoint_dir(spark)
-    return ranked.checkpoint(eager=True)
-
-
-def _positions(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Global 0-based position of every sorted row."""
-    # One row per partition: the cumulative offset of each partition.
-    counts = ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), _PID_SHIFT)
-    return (ranked.join(F.broadcast(offsets), "__pid")   # <= n rows, bounded by design
-            .select(*keys, "__v", (F.col("__off") + local).alias("__pos")))
-
-
-def _quantiles(pos: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    grp = pos.groupBy(*keys).agg(F.min("__pos").alias("__start"),
-                                 F.count(F.lit(1)).alias("n"))
-    targets = []
-    for name, p in probs.items():
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        frac = h - F.floor(h)
-        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            targets.append(F.struct(F.lit(name).alias("__q"), F.lit(side).alias("__side"),
-                                    (F.col("__start") + r).alias("__pos"), frac.alias("__frac")))
-    t = (grp.select(*keys, "n", F.explode(F.array(*targets)).alias("t"))
-         .select(*keys, "n", "t.*"))
-    # One equi-join on the unique position fetches both order statistics of
-    # every probability: no key is hot.
-    got = t.join(pos.select("__pos", "__v"), "__pos")
-    lo = F.max(F.when(F.col("__side") == "lo", F.col("__v")))
-    hi = F.max(F.when(F.col("__side") == "hi", F.col("__v")))
-    q = got.groupBy(*keys, "n", "__q").agg((lo + F.max("__frac") * (hi - lo)).alias("__val"))
-    return (q.groupBy(*keys, "n")
-            .agg(*[F.max(F.when(F.col("__q") == name, F.col("__val"))).alias(name)
-                   for name in probs]))
+    return ranged.checkpoint(eager=True)
+
+
+def _starts(ranked: DataFrame) -> DataFrame:
+    """Per (group, partition): rows of the group before it, and in all."""
+    counts = ranked.groupBy("__g", "__pid").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy("__g")
+    before = w.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per partition in each window.
+    return counts.select("__g", "__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"),
+                         F.sum("__c").over(w).alias("n"))
+
+
+def _quantiles(ranked: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """__g, n and a column per probability."""
+    w = Window.partitionBy("__g", "__pid").orderBy("__v", "__tie")
+    placed = ranked.withColumn("__row", F.row_number().over(w))
+    at = placed.join(_starts(ranked), ["__g", "__pid"]).select(
+        "__g", "n", "__v", (F.col("__before") + F.col("__row") - 1).alias("__at"))
+    h = {q: (F.col("n") - 1).cast("double") * F.lit(float(p)) for q, p in probs.items()}
+    sides = [f(x) for x in h.values() for f in (F.floor, F.ceil)]
+    few = at.where(F.col("__at").isin(*sides))       # two rows per probability and group
+    lo = {q: F.max(F.when(F.col("__at") == F.floor(x), F.col("__v"))) for q, x in h.items()}
+    hi = {q: F.max(F.when(F.col("__at") == F.ceil(x), F.col("__v"))) for q, x in h.items()}
+    return few.groupBy("__g", "n").agg(*[
+        (lo[q] + (x - F.floor(x)) * (hi[q] - lo[q])).alias(q) for q, x in h.items()])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float],
-                    num_partitions: int | None = None) -> DataFrame:
+                    probs: dict[str, float], num_partitions: int | None = None,
+                    row_key: Sequence[str] = ()) -> DataFrame:
     """Per-group quantiles with linear interpolation (R type 7, DuckDB
     ``quantile_cont``, Spark ``percentile``). Missing values are ignored.
 
     Returns ``keys + [n] + list(probs)``; groups with no non-missing value are
-    absent.
+    absent. ``row_key`` names columns that tell rows of a group apart, so that
+    equal values can lie in several ranges. The layout is computed when this is
+    called; the rest is lazy.
     """
-    ranked = _sorted_checkpoint(df, keys, value, num_partitions)
-    return _quantiles(_positions(ranked, keys), keys, probs)
+    ranked = _sorted_checkpoint(df, keys, value, num_partitions, row_key)
+    return _quantiles(ranked, probs).select(*[F.col("__g")[k].alias(k) for k in keys], "n", *probs)
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.5,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, row_key: Sequence[str] = ()) -> DataFrame:
     """Box-plot statistics per group, as a box plot computes them.
 
     Quartiles by R type 7; whiskers reach the most extreme values within
@@ -117,25 +105,20 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.
     Columns: keys, n, ymin, lower, middle, upper, ymax, n_outliers. The input
     is computed once: the whisker pass reads the checkpointed values.
     """
-    ranked = _sorted_checkpoint(df, keys, value, num_partitions)
-    qs = _quantiles(_positions(ranked, keys), keys,
-                    {"lower": 0.25, "middle": 0.5, "upper": 0.75})
-    iqr = F.col("upper") - F.col("lower")
-    fences = qs.select(*keys, "n", "lower", "middle", "upper",
-                       (F.col("lower") - F.lit(coef) * iqr).alias("__flo"),
-                       (F.col("upper") + F.lit(coef) * iqr).alias("__fhi"))
-    v = ranked.select(*keys, "__v")
-    # One row per group on the right: AQE broadcasts it when small, otherwise a
-    # sort-merge join whose skewed partitions AQE splits.
-    j = v.join(fences, [v[k].eqNullSafe(fences[k]) for k in keys]).select(
-        *[v[k] for k in keys], "__v", "__flo", "__fhi")
+    ranked = _sorted_checkpoint(df, keys, value, num_partitions, row_key)
+    qs = _quantiles(ranked, {"lower": 0.25, "middle": 0.5, "upper": 0.75})
+    reach = F.lit(coef) * (F.col("upper") - F.col("lower"))
+    fences = qs.select("__g", "n", "lower", "middle", "upper",
+                       (F.col("lower") - reach).alias("__flo"), (F.col("upper") + reach).alias("__fhi"))
+    near = _starts(ranked).select("__g", "__pid").join(fences.select("__g", "__flo", "__fhi"), "__g")
+    j = ranked.join(near, ["__g", "__pid"])
     inside = (F.col("__v") >= F.col("__flo")) & (F.col("__v") <= F.col("__fhi"))
-    w = j.groupBy(*keys).agg(
+    w = j.groupBy("__g").agg(
         F.min(F.when(inside, F.col("__v"))).alias("__wlo"),
         F.max(F.when(inside, F.col("__v"))).alias("__whi"),
         F.count(F.when(~inside, F.lit(1))).alias("n_outliers"))
-    return fences.join(w, [fences[k].eqNullSafe(w[k]) for k in keys]).select(
-        *[fences[k] for k in keys], "n",
+    return fences.join(w, "__g").select(
+        *[F.col("__g")[k].alias(k) for k in keys], "n",
         F.least(F.col("lower"), F.col("__wlo")).alias("ymin"),
         "lower", "middle", "upper",
         F.greatest(F.col("upper"), F.col("__whi")).alias("ymax"),

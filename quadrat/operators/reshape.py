@@ -51,6 +51,13 @@ def unpivot_regex(df: DataFrame, ids: Sequence[str], cols: Sequence[str], patter
     return df.select(*ids, F.inline(F.array(*structs)))
 
 
+def unpivot_list(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name_to: str,
+                 values_to: str = "value") -> DataFrame:
+    """R2: ``pivot_longer(c(a, b, ...))`` - listed columns, the name in one column.
+    Missing values are kept."""
+    return df.unpivot(list(ids), list(cols), name_to, values_to)
+
+
 def unpivot_multi(df: DataFrame, ids: Sequence[str], pattern: str,
                   value_group: int, name_to: str, cols: Sequence[str] | None = None) -> DataFrame:
     """``pivot_longer(names_to = c(".value", name_to), names_pattern = ...)``.

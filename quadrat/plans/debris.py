@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (DECAY_CLASSES, DECAY_DENSITY, DECAY_RECODE, FINE_DIAMETER_M, FINE_END_M,
-                     FINE_START_M, INVALID_DECAY, MEDIUM_DIAMETER_M, MEDIUM_END_M,
+                     FINE_START_M, INVALID_DECAY, MEAN_SEM_PATTERN, MEDIUM_DIAMETER_M, MEDIUM_END_M,
                      MEDIUM_START_M, SMALL_DENSITY, WHISKER_COEF)
 from ..functions.forestry import count_volume, line_intersect_volume, sampled_length
-from ..functions.nulls import mean_strict, std_error, sum0
+from ..functions.nulls import mean_strict, std_error
 from ..functions.text import join_keys
 from ..operators.join import left_join_fill
 from ..operators.quantiles import box_summary
 from ..operators.recode import recode
-from ..operators.reshape import pivot_wide, unpivot_multi
+from ..operators.reshape import unpivot_multi
 
 TRANSECT = ["SY", "Site", "Plot", "Transect_num"]
 
@@ -59,9 +59,12 @@ def coarse_counts_plot(coarse: DataFrame) -> DataFrame:
 
 def coarse_d2(coarse: DataFrame) -> DataFrame:
     """A8 + R5: sum of squared diameters (m^2) per transect, one column per class."""
-    sq = decay_clean(coarse).withColumn("__d", F.col("DBH_cm") / F.lit(100.0))
-    per = sq.groupBy(*TRANSECT, "Decay_class").agg(sum0(F.col("__d") * F.col("__d")).alias("sumd2"))
-    return pivot_wide(per, TRANSECT, "Decay_class", DECAY_CLASSES, ["sumd2"])
+    d = F.col("DBH_cm") / F.lit(100.0)
+    square = F.coalesce(d * d, F.lit(0.0))
+    # One aggregate per transect, a conditional sum per class: NULL where the
+    # transect has no piece of the class, 0 where none of its diameters is known.
+    return decay_clean(coarse).groupBy(*TRANSECT).agg(
+        *[F.sum(F.when(F.col("Decay_class") == c, square)).alias(c) for c in DECAY_CLASSES])
 
 
 def coarse_merge(wood: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -110,10 +113,10 @@ def debris_box(wood: DataFrame, coarse: DataFrame) -> DataFrame:
     """Box-plot statistics of TotalMass and TotalVolume per (SY, Site),
     long by ``measure``."""
     t = total_debris(wood, coarse)
-    long = t.select("SY", "Site", F.inline(F.array(
+    long = t.select(*TRANSECT, F.inline(F.array(
         F.struct(F.lit("TotalMass").alias("measure"), F.col("TotalMass").alias("v")),
         F.struct(F.lit("TotalVolume").alias("measure"), F.col("TotalVolume").alias("v")))))
-    return box_summary(long, ["SY", "Site", "measure"], "v", coef=WHISKER_COEF)
+    return box_summary(long, ["SY", "Site", "measure"], "v", coef=WHISKER_COEF, row_key=["Plot", "Transect_num"])
 
 
 def debris_mean_sem(wood: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def debris_mean_sem(wood: DataFrame, coarse: DataFrame) -> DataFrame:
         (-mean_strict("SmallVol")).alias("MeanFine"),
         std_error("CoarseVol").alias("SEMCoarse"),
         std_error("SmallVol").alias("SEMFine"))
-    return unpivot_multi(s, ["SY", "Site"], r"(Mean|SEM)(Coarse|Fine)", value_group=1,
+    return unpivot_multi(s, ["SY", "Site"], MEAN_SEM_PATTERN, value_group=1,
                          name_to="type")
 
 

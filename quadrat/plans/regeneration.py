@@ -16,11 +16,10 @@ from ..fixed import COUNT_PATTERN, ISLAND_ORDER, SPECIES, SPECIES_NAMES
 from ..functions.forestry import inverse_rescale, rescale
 from ..functions.nulls import mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
-from ..operators.aggregate import nested_mean_se, outer_mean_se, with_global_stats
+from ..operators.aggregate import with_global_stats
 from ..operators.join import natural_join
 from ..operators.recode import category_rank, distinct_pairs, label_of
-from ..operators.reshape import (columns_matching, pivot_wide, rename_with, unpivot_multi,
-                                unpivot_regex)
+from ..operators.reshape import columns_matching, unpivot_multi, unpivot_regex
 
 
 def counts_long(regen: DataFrame, stage: str, ids=("SY", "Site", "Plot", "Quadrat")) -> DataFrame:
@@ -115,12 +114,27 @@ def seedling_axis(regen: DataFrame, densio: DataFrame,
                     r.alias("height_rescaled"), inverse_rescale(r, *_axis(g)).alias("height_axis"))
 
 
+def _stage_columns(regen: DataFrame, stage: str) -> dict[str, str]:
+    """Species and its count column of one stage, as far as the table has them."""
+    return {sp: f"{sp}_{stage}" for sp in SPECIES if f"{sp}_{stage}" in regen.columns}
+
+
+def sapling_plots(regen: DataFrame) -> DataFrame:
+    """A11 levels 1-2 on wide rows: quadrat sums, then the plot mean of each
+    species (a column each) - no row per species before the aggregates."""
+    cols = _stage_columns(regen, "saplings")
+    q = regen.groupBy("SY", "Site", "Plot", "Quadrat").agg(
+        F.count(F.lit(1)).alias("rows"), *[sum0(F.col(c).cast("double")).alias(sp) for sp, c in cols.items()])
+    return q.groupBy("SY", "Site", "Plot").agg(
+        F.count(F.lit(1)).alias("quadrats"), *[F.avg(sp).alias(f"{sp}_dens") for sp in cols], *[std_error(sp).alias(f"{sp}_se") for sp in cols])
+
+
 def sapling_plot_density(regen: DataFrame) -> DataFrame:
-    """A11 levels 1-2: quadrat sums per species, then plot mean and SE."""
-    a = counts_long(regen, "saplings")
-    q = a.groupBy("SY", "Site", "Plot", "Quadrat", "Species").agg(sum0("Count").alias("regen_sum"))
-    return q.groupBy("SY", "Site", "Plot", "Species").agg(
-        F.avg("regen_sum").alias("plot_dens"), std_error("regen_sum").alias("plot_dens_SE"))
+    """Sapling density per plot and species, long (from the few plot rows)."""
+    cols = _stage_columns(regen, "saplings")
+    return sapling_plots(regen).select("SY", "Site", "Plot", F.inline(F.array(*[F.struct(
+        F.lit(sp).alias("Species"), F.col(f"{sp}_dens").alias("plot_dens"), F.col(f"{sp}_se").alias("plot_dens_SE"))
+        for sp in cols])))
 
 
 def sapling_site_stats(regen: DataFrame, sapling: DataFrame, densio: DataFrame,
@@ -155,35 +169,35 @@ def sapling_density(regen: DataFrame, sapling: DataFrame, species: str,
             .where(F.col("Species") == F.lit(species)))
 
 
-def _species_report(site: DataFrame, mean: str, se: str) -> DataFrame:
-    w = pivot_wide(site, ["SY", "Site"], "Species", SPECIES, [mean, se], glue="{name}_{value}")
-    num = [f"{sp}_{v}" for sp in SPECIES for v in (mean, se)]
+def _species_report(plots: DataFrame, value: dict[str, str]) -> DataFrame:
+    """``mean ± SE`` over plots, one column per species; a species without a
+    column prints as missing."""
+    out = []
+    for sp in SPECIES:
+        if sp in value:
+            out += [F.avg(value[sp]).alias(f"{sp}_mean"), std_error(value[sp]).alias(f"{sp}_SE")]
+        else:
+            out += [F.lit(None).cast("double").alias(f"{sp}_{x}") for x in ("mean", "SE")]
+    w = plots.groupBy("SY", "Site").agg(*out)
+    num = [f"{sp}_{x}" for sp in SPECIES for x in ("mean", "SE")]
     w = w.withColumns({c: round_half_even(c, 1) for c in num})
-    return w.select("SY", "Site", *[pm_text(f"{sp}_{mean}", f"{sp}_{se}").alias(sp)
-                                    for sp in SPECIES])
+    # O1: presentation order of the report (a small, final sort).
+    return w.select("SY", "Site", *[pm_text(f"{sp}_mean", f"{sp}_SE").alias(sp)
+                                    for sp in SPECIES]).orderBy("Site", "SY")
 
 
 def sapling_table(regen: DataFrame) -> DataFrame:
     """Sapling density ``mean ± SE`` per species (absent species -> NA)."""
-    site = outer_mean_se(sapling_plot_density(regen), ["SY", "Site", "Species"],
-                         {"plot_dens": ("mean_dens", "mean_dens_SE")})
-    # O1: presentation order of the report (a small, final sort).
-    return _species_report(site, "mean_dens", "mean_dens_SE").orderBy("Site", "SY")
+    return _species_report(sapling_plots(regen),
+                           {sp: f"{sp}_dens" for sp in _stage_columns(regen, "saplings")})
 
 
 def seedling_table(regen: DataFrame) -> DataFrame:
     """Seedling density ``mean ± SE`` per species; missing counts ignored."""
-    a = counts_long(regen, "seedlings", ("SY", "Site", "Plot"))
-    site = nested_mean_se(a, ["SY", "Site", "Species"], ["Plot"],
-                          {"plot_mean": F.avg("Count")},
-                          {"plot_mean": ("site_mean", "site_SE")})
-    wide = pivot_wide(site, ["SY", "Site"], "Species", SPECIES, ["site_mean", "site_SE"],
-                      glue="{name}_{value}")
-    wide = rename_with(wide, lambda c: c.replace("site_", ""))     # P4
-    num = [f"{sp}_{v}" for sp in SPECIES for v in ("mean", "SE")]
-    wide = wide.withColumns({c: round_half_even(c, 1) for c in num})
-    return wide.select("SY", "Site", *[pm_text(f"{sp}_mean", f"{sp}_SE").alias(sp)
-                                       for sp in SPECIES]).orderBy("Site", "SY")   # O1
+    cols = _stage_columns(regen, "seedlings")
+    plots = regen.groupBy("SY", "Site", "Plot").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.avg(F.col(c).cast("double")).alias(sp) for sp, c in cols.items()])
+    return _species_report(plots, {sp: sp for sp in cols})
 
 
 def counts_by_species(regen: DataFrame) -> DataFrame:
