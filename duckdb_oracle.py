@@ -121,7 +121,8 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "mean_stem_density", "pct_basal_change", "basal_change", "basal_change_dead",
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
-          "sapling_density", "left_join_zero_fill", "debris_box")
+          "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
+          "coarse_volume", "total_debris", "natural_full_join_n")
 
 
 def BA(x: str) -> str:
@@ -594,6 +595,38 @@ FROM b, (SELECT count(*) AS bin_num FROM b)"""
     q["island_sites"] = _with() + "SELECT DISTINCT Island, Site FROM densiometer"
     q["category_order"] = _with() + f"""SELECT Island, Site, {RANK('Island')} AS Island_rank
 FROM (SELECT DISTINCT Island, Site FROM densiometer)"""
+
+    # The analyses of coarse pieces alone read a piece per line.
+    every, large = "FROM obs\n)", "FROM obs WHERE qty > 45.0\n)"
+    for k in ("decay_clean", "decay_invalid", "recode_map", "coarse_counts_class", "coarse_counts_plot"):
+        assert large in q[k]
+        q[k] = q[k].replace(large, every)
+
+    # One site, one year, one species.
+    q["size_freq_one_site"] = (f"SELECT SY, Mortality, bin, bin_lo, bin_hi, total_freq "
+                               f"FROM ({q['size_freq_site_year']}) WHERE Site = 'CANADA'")
+    q["size_freq_one_year"] = (f"SELECT Site, Mortality, bin, bin_lo, bin_hi, total_freq "
+                               f"FROM ({q['size_freq_sites']}) WHERE SY = 1997")
+    q["sapling_density_one_species"] = f"SELECT * FROM ({q['sapling_density']}) WHERE Species = 'AVGE'"
+
+    # Four tables merged on (SY, Site), missing keys alike.
+    q["natural_full_join_n"] = _with("""keyed AS (
+  SELECT SY, CASE WHEN Plot % 7 <> 0 THEN Site END AS Site, Mortality, DBH_cm FROM trees)""", """tall AS (
+  SELECT SY, CASE WHEN Plot % 7 <> 0 THEN Site END AS Site, Tree_Height_m FROM heights WHERE SY % 2 = 0)""") + """
+SELECT SY, Site, max(d) AS n_dead, max(u) AS n_unknown, max(m) AS max_height, max(l) AS n_large FROM (
+  SELECT SY, Site, count(*) AS d, CAST(NULL AS BIGINT) AS u, CAST(NULL AS DOUBLE) AS m, CAST(NULL AS BIGINT) AS l
+  FROM keyed WHERE Mortality = 'Dead' GROUP BY SY, Site
+  UNION ALL SELECT SY, Site, NULL, count(*), NULL, NULL FROM keyed WHERE Mortality = 'NA' GROUP BY SY, Site
+  UNION ALL SELECT SY, Site, NULL, NULL, max(Tree_Height_m), NULL FROM tall GROUP BY SY, Site
+  UNION ALL SELECT SY, Site, NULL, NULL, NULL, count(*) FROM keyed WHERE DBH_cm >= 50 GROUP BY SY, Site)
+GROUP BY SY, Site"""
+
+    q["unpivot_list"] = _with() + """SELECT SY, Site, Plot, 'Water_depth' AS measure, Water_depth AS value FROM ysi
+UNION ALL SELECT SY, Site, Plot, 'Salinity_ppt', Salinity_ppt FROM ysi
+UNION ALL SELECT SY, Site, Plot, 'TDS', TDS FROM ysi"""
+
+    q["report_order"] = _with() + """SELECT SY, Site, CAST(row_number() OVER (ORDER BY Site, SY) AS INTEGER) AS place
+FROM (SELECT DISTINCT SY, Site FROM regeneration)"""
     return q
 
 

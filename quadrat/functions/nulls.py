@@ -42,11 +42,6 @@ def std_error(x: ColumnOrName) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(c))
 
 
-def safe_div(num: ColumnOrName, den: ColumnOrName) -> Column:
-    """Division that yields NULL for x/0 (R gives Inf/NaN, ANSI Spark raises)."""
-    return F.try_divide(_c(num), _c(den))
-
-
 def to_number(x: ColumnOrName) -> Column:
     """Text to double; junk such as ``'n/a'`` becomes NULL."""
     return F.trim(_c(x).cast("string")).try_cast("double")

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fixed import ALL_SITES_BIN_ORIGIN, SITE_BIN_ORIGIN
 from .functions.text import bin_label
 from .operators.aggregate import with_global_stats
+from .operators.join import natural_full_join
 from .operators.recode import category_rank
-from .operators.reshape import pivot_wide
+from .operators.reshape import pivot_wide, unpivot_list
 from .plans import canopy, debris, regeneration, sites, trees, water
 from .sources.roles import DriverRoles
 
@@ -35,13 +37,13 @@ def _r(spark: SparkSession, root: str, layout: str = "survey") -> DriverRoles:
 
 def q_size_freq_site_year(spark, root, layout="survey"):
     """D1 for every site (the reference's per-site loop as one job)."""
-    return trees.size_freq_all(_r(spark, root, layout).trees, BIN_SIZE, 2.5)
+    return trees.size_freq_all(_r(spark, root, layout).trees, BIN_SIZE, SITE_BIN_ORIGIN)
 
 
 def q_size_freq_sites(spark, root, layout="survey"):
     """D2 for every year: relative frequency per site, bins from 0."""
     return trees.size_histogram(trees._lf_rows(_r(spark, root, layout).trees), ["SY", "Site"],
-                                ["Mortality"], "DBH_cm", BIN_SIZE, 0.0)
+                                ["Mortality"], "DBH_cm", BIN_SIZE, ALL_SITES_BIN_ORIGIN)
 
 
 def q_tree_measurement_table(spark, root, layout="survey"):
@@ -138,19 +140,19 @@ def q_change_map_layers(spark, root, layout="survey"):
 
 
 def q_decay_clean(spark, root, layout="survey"):
-    return debris.decay_clean(_r(spark, root, layout).coarse_wood)
+    return debris.decay_clean(_r(spark, root, layout).coarse_all)
 
 
 def q_decay_invalid(spark, root, layout="survey"):
-    return debris.decay_invalid(_r(spark, root, layout).coarse_wood)
+    return debris.decay_invalid(_r(spark, root, layout).coarse_all)
 
 
 def q_coarse_counts_class(spark, root, layout="survey"):
-    return debris.coarse_counts_class(_r(spark, root, layout).coarse_wood)
+    return debris.coarse_counts_class(_r(spark, root, layout).coarse_all)
 
 
 def q_coarse_counts_plot(spark, root, layout="survey"):
-    return debris.coarse_counts_plot(_r(spark, root, layout).coarse_wood)
+    return debris.coarse_counts_plot(_r(spark, root, layout).coarse_all)
 
 
 def q_coarse_volume(spark, root, layout="survey"):
@@ -243,7 +245,7 @@ def q_island_sites(spark, root, layout="survey"):
 
 
 def q_recode_map(spark, root, layout="survey"):
-    return debris.decay_recoded(_r(spark, root, layout).coarse_wood)
+    return debris.decay_recoded(_r(spark, root, layout).coarse_all)
 
 
 def q_category_order(spark, root, layout="survey"):
@@ -251,6 +253,58 @@ def q_category_order(spark, root, layout="survey"):
     return s.withColumn("Island_rank", category_rank("Island", ISLAND_ORDER))
 
 
+# -- parameters and rules that the keys above do not show ------------------------
+
+ONE_SITE, ONE_YEAR, ONE_SPECIES = "CANADA", 1997, "AVGE"
+
+
+def q_size_freq_one_site(spark, root, layout="survey"):
+    """One site."""
+    return trees.size_freq_site_year(_r(spark, root, layout).trees, ONE_SITE, BIN_SIZE)
+
+
+def q_size_freq_one_year(spark, root, layout="survey"):
+    """One year."""
+    return trees.size_freq_sites(_r(spark, root, layout).trees, ONE_YEAR, BIN_SIZE)
+
+
+def q_sapling_density_one_species(spark, root, layout="survey"):
+    """One species, on axes over all species."""
+    r = _r(spark, root, layout)
+    return regeneration.sapling_density(r.regeneration, r.sapling, ONE_SPECIES, r.densiometer, ISLAND_ORDER)
+
+
+def q_natural_full_join_n(spark, root, layout="survey"):
+    """Four tables computed apart, none with all keys, some keys missing
+    (Site is NULL for every seventh plot; missing keys match)."""
+    r = _r(spark, root, layout)
+    site = F.when(F.col("Plot") % 7 != 0, F.col("Site")).alias("Site")
+    t = r.trees.select("SY", site, "Species", "Mortality", "DBH_cm")
+    h = r.heights.select("SY", site, "Tree_Height_m")
+
+    def count(df, name):
+        return df.groupBy("SY", "Site").agg(F.count(F.lit(1)).alias(name))
+
+    return natural_full_join([
+        count(t.where(F.col("Mortality") == "Dead"), "n_dead"),
+        count(t.where(F.col("Mortality") == "NA"), "n_unknown"),
+        h.where(F.col("SY") % 2 == 0).groupBy("SY", "Site").agg(F.max("Tree_Height_m").alias("max_height")),
+        count(t.where(F.col("DBH_cm") >= 50), "n_large")])
+
+
+def q_unpivot_list(spark, root, layout="survey"):
+    """R2: listed water measures as rows."""
+    return unpivot_list(_r(spark, root, layout).ysi, ["SY", "Site", "Plot"],
+                        ["Water_depth", "Salinity_ppt", "TDS"], "measure")
+
+
+def q_report_order(spark, root, layout="survey"):
+    """O1: the place of every row in the sorted seedling report."""
+    table = regeneration.seedling_table(_r(spark, root, layout).regeneration)
+    at = table.withColumn("__at", F.monotonically_increasing_id())   # ascending along the sorted rows
+    return at.select("SY", "Site", F.row_number().over(Window.orderBy("__at")).alias("place"))
+
+
 QUERIES: dict[str, Query] = {
     "size_freq_site_year": q_size_freq_site_year,
     "size_freq_sites": q_size_freq_sites,
@@ -297,6 +351,12 @@ QUERIES: dict[str, Query] = {
     "island_sites": q_island_sites,
     "recode_map": q_recode_map,
     "category_order": q_category_order,
+    "size_freq_one_site": q_size_freq_one_site,
+    "size_freq_one_year": q_size_freq_one_year,
+    "sapling_density_one_species": q_sapling_density_one_species,
+    "natural_full_join_n": q_natural_full_join_n,
+    "unpivot_list": q_unpivot_list,
+    "report_order": q_report_order,
 }
 
 # The rule-heavy analyses again on the sparse layout of the same whole tables
@@ -307,7 +367,8 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "mean_stem_density", "pct_basal_change", "basal_change", "basal_change_dead",
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
-          "sapling_density", "left_join_zero_fill", "debris_box")
+          "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
+          "coarse_volume", "total_debris", "natural_full_join_n")
 
 
 def _on_sparse(fn: Query) -> Query:

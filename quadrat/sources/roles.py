@@ -209,13 +209,18 @@ class DriverRoles:
 
     @property
     def coarse_wood(self) -> DataFrame:
-        """Coarse pieces: one row per line with l_quantity > 45."""
+        """Coarse pieces: one row per line with l_quantity > 45, so that some
+        transects have none (the joins with ``wood`` need such)."""
+        return self._pieces(F.col("qty") > 45.0)
+
+    @property
+    def coarse_all(self) -> DataFrame:
+        """Coarse pieces: one row per line, for what reads only this table."""
+        return self._pieces(F.lit(True))
+
+    def _pieces(self, which: Column) -> DataFrame:
         o = self.obs
-        return (o.where(o.qty > 45.0)
+        return (o.where(which)
                 .select("SY", "Site", "Plot", F.col("Line").alias("Transect_num"),
                         _decay(o.flag, o.Line).alias("Decay_class"),
                         (F.lit(7.5) + o.disc * F.lit(100.0)).alias("DBH_cm")))
-
-
-def roles(spark: SparkSession, root: str, layout: str = "survey") -> DriverRoles:
-    return DriverRoles(spark, root, layout)
