@@ -625,6 +625,14 @@ GROUP BY SY, Site"""
 UNION ALL SELECT SY, Site, Plot, 'Salinity_ppt', Salinity_ppt FROM ysi
 UNION ALL SELECT SY, Site, Plot, 'TDS', TDS FROM ysi"""
 
+    q["pivot_no_fill"] = (_with(*td[:2]) + "SELECT * FROM d2").replace(large, every)
+    cells = ", ".join(f"max(CASE WHEN Species = '{sp}' THEN {v} END) AS {sp}_{n}"
+                      for sp in ("RHMA", "AVGE", "LARA") for v, n in (("site_mean", "mean"), ("site_SE", "SE")))
+    q["pivot_several_values"] = _with(SEED_LONG, f"""st AS (
+  SELECT SY, Site, Species, avg(pm) AS site_mean, {SE('pm')} AS site_SE
+  FROM (SELECT SY, Site, Plot, Species, avg(Count) AS pm FROM sl GROUP BY SY, Site, Plot, Species)
+  GROUP BY SY, Site, Species)""") + f"SELECT SY, Site, {cells} FROM st GROUP BY SY, Site"
+
     q["report_order"] = _with() + """SELECT SY, Site, CAST(row_number() OVER (ORDER BY Site, SY) AS INTEGER) AS place
 FROM (SELECT DISTINCT SY, Site FROM regeneration)"""
     return q

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixed import ALL_SITES_BIN_ORIGIN, SITE_BIN_ORIGIN
+from .functions.nulls import sum0
 from .functions.text import bin_label
-from .operators.aggregate import with_global_stats
+from .operators.aggregate import nested_mean_se, with_global_stats
 from .operators.join import natural_full_join
 from .operators.recode import category_rank
-from .operators.reshape import pivot_wide, unpivot_list
+from .operators.reshape import pivot_wide, rename_with, unpivot_list
 from .plans import canopy, debris, regeneration, sites, trees, water
 from .sources.roles import DriverRoles
 
@@ -292,6 +293,26 @@ def q_natural_full_join_n(spark, root, layout="survey"):
         count(t.where(F.col("DBH_cm") >= 50), "n_large")])
 
 
+def q_pivot_no_fill(spark, root, layout="survey"):
+    """Squared diameters per transect and class, a column per class, NULL
+    where a transect has no piece of it."""
+    clean = debris.decay_clean(_r(spark, root, layout).coarse_all)
+    d = F.col("DBH_cm") / F.lit(100.0)
+    per = clean.groupBy(*debris.TRANSECT, "Decay_class").agg(sum0(d * d).alias("sumd2"))
+    return pivot_wide(per, debris.TRANSECT, "Decay_class", debris.DECAY_CLASSES, ["sumd2"])
+
+
+def q_pivot_several_values(spark, root, layout="survey"):
+    """Seedling means and errors per species, a column for each, by
+    the long form (rows per species first), columns renamed."""
+    long = regeneration.counts_long(_r(spark, root, layout).regeneration, "seedlings", ("SY", "Site", "Plot"))
+    site = nested_mean_se(long, ["SY", "Site", "Species"], ["Plot"], {"plot_mean": F.avg("Count")},
+                          {"plot_mean": ("site_mean", "site_SE")})
+    wide = pivot_wide(site, ["SY", "Site"], "Species", regeneration.SPECIES, ["site_mean", "site_SE"],
+                      glue="{name}_{value}")
+    return rename_with(wide, lambda c: c.replace("site_", ""))
+
+
 def q_unpivot_list(spark, root, layout="survey"):
     """R2: listed water measures as rows."""
     return unpivot_list(_r(spark, root, layout).ysi, ["SY", "Site", "Plot"],
@@ -355,6 +376,8 @@ QUERIES: dict[str, Query] = {
     "size_freq_one_year": q_size_freq_one_year,
     "sapling_density_one_species": q_sapling_density_one_species,
     "natural_full_join_n": q_natural_full_join_n,
+    "pivot_no_fill": q_pivot_no_fill,
+    "pivot_several_values": q_pivot_several_values,
     "unpivot_list": q_unpivot_list,
     "report_order": q_report_order,
 }

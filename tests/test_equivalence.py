@@ -116,3 +116,42 @@ def test_seedling_stats_equals_long_form(spark):
     assert sorted(fast.columns) == cols
     assert rows_equal(_rows(fast, cols), _rows(slow, cols)) is None
     assert any(r["mean_site"] is None for r in fast.collect())   # N3 exercised
+
+
+def test_wide_regeneration_tables_equal_the_long_form(spark):
+    """D8/D9/D7 on wide rows give what the long form (a row per species first)
+    gives, also for a species without a column and for missing counts."""
+    from pyspark.sql import functions as F
+
+    from quadrat.functions import std_error, sum0
+    from quadrat.operators.aggregate import nested_mean_se, outer_mean_se
+    from quadrat.plans import regeneration as R
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice([2022, 2024, None]), f"S{rnd.randint(0, 3)}", f"P{rnd.randint(0, 2)}", f"Q{rnd.randint(0, 2)}",
+             *[None if rnd.random() < 0.2 else float(rnd.randint(0, 9)) for _ in range(5)]) for _ in range(120)]
+    df = spark.createDataFrame(rows, "SY int, Site string, Plot string, Quadrat string, RHMA_seedlings double, "
+                                     "RHMA_saplings double, LARA_seedlings double, LARA_saplings double, AVGE_saplings double")
+    q = R.counts_long(df, "saplings").groupBy("SY", "Site", "Plot", "Quadrat", "Species").agg(sum0("Count").alias("n"))
+    plot = q.groupBy("SY", "Site", "Plot", "Species").agg(F.avg("n").alias("plot_dens"), std_error("n").alias("plot_dens_SE"))
+    cols = ["SY", "Site", "Plot", "Species", "plot_dens", "plot_dens_SE"]
+    assert rows_equal(_rows(R.sapling_plot_density(df), cols), _rows(plot, cols)) is None
+
+    def report(site):
+        got = {}
+        for r in site.collect():
+            got.setdefault((r["SY"], r["Site"]), {})[r["Species"]] = r
+        return got
+
+    saplings = report(outer_mean_se(plot, ["SY", "Site", "Species"], {"plot_dens": ("m", "s")}))
+    seedlings = report(nested_mean_se(R.counts_long(df, "seedlings", ("SY", "Site", "Plot")), ["SY", "Site", "Species"],
+                                      ["Plot"], {"p": F.avg("Count")}, {"p": ("m", "s")}))
+    from quadrat.functions.text import pm_text, round_half_even
+    for table, want in ((R.sapling_table(df), saplings), (R.seedling_table(df), seedlings)):
+        rows = table.collect()
+        assert {(r["SY"], r["Site"]) for r in rows} == set(want)
+        flat = [(*k, sp, *((w[sp]["m"], w[sp]["s"]) if sp in w else (None, None))) for k, w in want.items() for sp in R.SPECIES]
+        texts = {(r["SY"], r["Site"], r["sp"]): r["t"] for r in spark.createDataFrame(
+            flat, "SY int, Site string, sp string, m double, s double").select(
+            "SY", "Site", "sp", pm_text(round_half_even("m", 1), round_half_even("s", 1)).alias("t")).collect()}
+        assert all(r[sp] == texts[r["SY"], r["Site"], sp] for r in rows for sp in R.SPECIES)
