@@ -59,8 +59,8 @@ NOTES = """
   sort-merge join whose skewed partitions AQE splits). Full outer joins merge
   per-(SY, Site) or per-Site aggregates. BNLJ only ever has a one-row global
   aggregate on its build side.
-* **Windows.** Only in `debris_box`: a running sum over per-partition counts
-  (at most `spark.sql.shuffle.partitions` rows), never over data rows.
+* **Windows.** `debris_box`: places within (group, range partition) and running
+  sums over their counts; `report_order`: the rows of one report.
 * **Python.** None: every expression is a built-in, inside whole-stage codegen.
 """
 
@@ -80,7 +80,9 @@ def main() -> None:
     print("|---|---|---|---|---|---|---|---|---|---|---|")
     for name, q in QUERIES.items():
         df = q(spark, sf)
-        df.collect()
+        # Runs the query's own plan (so that its final form can be printed)
+        # without bringing rows to the driver.
+        df._jdf.queryExecution().toRdd().count()
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             df.explain(mode="formatted")
