@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import ship
-from .token_files import groups_of
+from .shared import ship, slices
 
 TOKENS = 2048
 PACK_ROWS = 16_384
@@ -47,25 +46,21 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, size: int = TOK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in groups_of(texts):
-                ids, off = enc.encode([t or "" for t in texts[a:z]])
-                ids = ids.astype("<u4")
-                n = np.diff(off)
-                pieces = -(-n // size)
-                doc = np.repeat(np.arange(z - a), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                short = n - (pieces - 1) * size                 # length of the first piece
-                length = np.where(piece == 0, short[doc], size)
-                start = np.where(piece == 0, 0, short[doc] + (piece - 1) * size)
-                at = (off[:-1][doc] + start) * 4
-                raw = ids.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)),
-                     pa.array(start), pa.array(length),
-                     pa.array([raw[s:s + 4 * k] for s, k in zip(at.tolist(), length.tolist())], pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids"])
+        for b, data, off in slices(batches, limit=4 << 20):
+            ids, off = enc.encode(data, off)
+            n = np.diff(off)
+            pieces = -(-n // size)
+            doc = np.repeat(np.arange(b.num_rows), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            short = n - (pieces - 1) * size                 # length of the first piece
+            length = np.where(piece == 0, short[doc], size)
+            start = np.where(piece == 0, 0, short[doc] + (piece - 1) * size)
+            at = (off[:-1][doc] + start) * 4
+            raw = ids.astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                 pa.array([raw[s:s + 4 * k] for s, k in zip(at.tolist(), length.tolist())], pa.binary())],
+                ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary")

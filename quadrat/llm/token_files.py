@@ -36,11 +36,10 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .bytewords import mix
-from .shared import shared_path, ship, shuffle_parts, stored, text_bytes
+from .shared import shared_path, ship, shuffle_parts, slices, stored, text_bytes
 
 MAGIC = b"QTOKENS1"
 SHARD_IDS = 2 << 20               # ids after which a shard is closed
-ROWS_AT_ONCE = 1 << 20            # text characters encoded together
 PART_BYTES = 24 << 20
 
 
@@ -153,16 +152,6 @@ class Shard:
         return [self.row(r) for r in range(int(first[0]), int(first[0] + n[0]))]
 
 
-def groups_of(texts: list[str | None], limit: int = ROWS_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters."""
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit or i + 1 == len(texts):
-            yield a, i + 1
-            a, size = i + 1, 0
-
-
 def _shard_writer(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
@@ -177,17 +166,14 @@ def _shard_writer(vocabulary: str):
             keys, pieces, sizes, total, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["value"])
 
-        for b in batches:
-            own = b.column(0).to_pylist()
-            texts = b.column(1).to_pylist()
-            for a, z in groups_of(texts):
-                ids, off = enc.encode([t or "" for t in texts[a:z]])
-                keys += own[a:z]
-                pieces.append(ids.astype(f"<u{width}"))
-                sizes.append(np.diff(off))
-                total += len(ids)
-                if total >= SHARD_IDS:
-                    yield close()
+        for b, data, off in slices(batches, limit=4 << 20):
+            ids, at = enc.encode(data, off)
+            keys += b.column(0).to_pylist()
+            pieces.append(ids.astype(f"<u{width}"))
+            sizes.append(np.diff(at))
+            total += len(ids)
+            if total >= SHARD_IDS:
+                yield close()
         if keys:
             yield close()
     return run

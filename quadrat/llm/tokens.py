@@ -4,11 +4,11 @@ The byte-level BPE of the vocabulary splits a text into pieces before it merges
 bytes, and a space before a visible character always begins a new piece (the
 pattern takes a space into the piece that follows it). A text's ids are
 therefore the ids of the stretches between such spaces, one after the other.
-Texts repeat few different stretches very often, so each is encoded once and
-kept in a bounded cache of the worker. Stretches of Latin letters and ending
-marks, whose pieces are plain, go to the library's model directly; all others
-through its whole pipeline. Vocabularies with another pre-tokenizer are encoded
-text by text.
+Texts repeat many stretches, so all stretches of a batch are found and hashed
+with array operations, each different one is encoded once, and the worker keeps
+them in a bounded cache. Stretches of Latin letters and ending marks, whose
+pieces are plain, go to the library's model directly; all others through its
+whole pipeline. Vocabularies with another pre-tokenizer are encoded text by text.
 """
 
 from __future__ import annotations
@@ -19,13 +19,18 @@ from array import array
 
 import numpy as np
 
+from .bytewords import hash_spans
+
 END = 0                           # id after every document
-CACHE = 400_000                   # stretches kept per worker
+CACHE = 2_500_000                 # stretches kept per worker, about 30 bytes each
+RECENT = 200_000                  # newest ones, kept apart from the sorted table
 _ENCODERS: dict[str, "Encoder"] = {}
-_VISIBLE = "!-~¡-ɏ"
-_UNSAFE = re.compile(f" (?![{_VISIBLE}])")
-_CUT = re.compile(f" (?=[{_VISIBLE}])")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]*)\Z")
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]*)\Z")
+# First bytes of the characters before which a space begins a piece: visible
+# ASCII, and U+00C0 to U+023F.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_VISIBLE[0xC3:0xC9] = True
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,67 +61,110 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {"": 0}         # the empty stretch stands for the end of a text
-        self.pool, self.start = array("I", [END]), [0, 1]
+        self.pool, self.start = array("I", [END]), array("q", [0, 1])   # number 0: the end of a text
+        self.tables = [self._table(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))] * 2
+
+    @staticmethod
+    def _table(key: np.ndarray, tag: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        return key[order], tag[order], number[order]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Encode stretches that are not in the cache. One that follows a space is
-        given without it, any other after a NUL."""
-        other: list[str] = []
-        number, start, extend = self.number, self.start, self.pool.extend
-        merge, plain, space, size = self.merge, _PLAIN.match, self.letters[32], len(self.pool)
-        for s in fresh:
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """Encode stretches; their numbers in the pool."""
+        first, number = len(self.start) - 1, np.zeros(len(fresh), np.int64)
+        other: list[int] = []
+        extend, close, size = self.pool.extend, self.start.append, len(self.pool)
+        merge, plain, space = self.merge, _PLAIN.match, self.letters[32]
+        for i, s in enumerate(fresh):
             m = plain(s)
             if m is None:
-                other.append(s)
+                other.append(i)
                 continue
-            letters, marks = m.groups()
+            before, letters, marks = m.groups()
             if not letters.isascii():
                 letters = letters.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in merge(space + letters)]
+            ids = [t.id for t in merge(space + letters if before else letters)]
             if marks:
                 ids += [t.id for t in merge(marks)]
             extend(ids)
             size += len(ids)
-            number[s] = len(start) - 1
-            start.append(size)
-        for s, ids in zip(other, self._ids([s[1:] if s[0] == "\0" else " " + s for s in other])):
+            number[i] = first
+            first += 1
+            close(size)
+        for i, ids in zip(other, self._ids([fresh[i] for i in other])):
             extend(ids)
             size += len(ids)
-            number[s] = len(start) - 1
-            start.append(size)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts; each text's ids end with ``END``."""
+            number[i] = first
+            first += 1
+            close(size)
+        return number
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pool number of every stretch."""
+        h = hash_spans(data, start, end)
+        key, at, which = np.unique(h, return_index=True, return_inverse=True)
+        a, z = start[at], end[at]
+        tag = ((z - a).astype(np.uint32) << np.uint32(24)) | (data[(a + z) // 2].astype(np.uint32) << np.uint32(16)) \
+            | (data[z - 1].astype(np.uint32) << np.uint32(8)) | data[np.minimum(a + 1, z - 1)]
+        number = np.full(len(key), -1, np.int64)
+        clash = np.zeros(len(key), bool)       # equal hashes of unequal stretches: encoded, not kept
+        for k, t, n in self.tables:
+            if len(k):
+                i = np.minimum(np.searchsorted(k, key), len(k) - 1)
+                hit = k[i] == key
+                clash |= hit & (t[i] != tag)
+                number = np.where(hit & (t[i] == tag), n[i], number)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw = data.tobytes()
+            number[new] = self._learn([raw[x:y].decode("utf-8", "replace")
+                                       for x, y in zip(a[new].tolist(), z[new].tolist())])
+            keep = new[~clash[new]]
+            recent = self._table(*(np.concatenate([x, y[keep]]) for x, y in zip(self.tables[1], (key, tag, number))))
+            if len(recent[0]) > RECENT:
+                self.tables = [self._table(*(np.concatenate(x) for x in zip(self.tables[0], recent))),
+                               tuple(x[:0] for x in recent)]
+            else:
+                self.tables = [self.tables[0], recent]
+        return number[which]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts whose UTF-8 bytes lie in ``data`` at ``off``;
+        each text's ids end with ``END``."""
+        docs = len(off) - 1
         if not self.split:
-            own = [np.array(x + [END], np.uint32) for x in self._ids(texts)]
+            raw = data.tobytes()
+            own = [np.array(x + [END], np.uint32) for x in self._ids(
+                [raw[a:z].decode("utf-8", "replace") for a, z in zip(off[:-1].tolist(), off[1:].tolist())])]
             return (np.concatenate(own) if own else np.zeros(0, np.uint32),
-                    np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64))
-        if len(self.number) > CACHE:
+                    np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64))
+        if len(self.start) > CACHE:
             self._forget()
-        stretches: list[str] = []
-        counts = []
-        for t in texts:
-            before = len(stretches)
-            if t:
-                cut = t.split(" ") if _UNSAFE.search(t) is None else _CUT.split(t)
-                if cut[0]:
-                    stretches.append("\0" + cut[0])
-                stretches.extend(cut[1:])
-            stretches.append("")
-            counts.append(len(stretches) - before)
-        fresh = set(stretches).difference(self.number)
-        if fresh:
-            self._learn(fresh)
-        which = np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
-        start = np.array(self.start, np.int64)
-        n = start[which + 1] - start[which]
+        size = np.diff(off)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[:-2] = (data[:-1] == 0x20) & _VISIBLE[data[1:]] if len(data) > 1 else False
+        begins[off[1:][size > 0] - 1] = False      # a space that ends a text begins nothing
+        begins[off[:-1][size > 0]] = True
+        start = np.flatnonzero(begins[:-1])
+        first = np.searchsorted(start, off)
+        end = np.append(start[1:], len(data))[:len(start)]
+        which = np.zeros(len(start) + docs, np.int64)   # a stretch's place is moved by the texts that ended before it
+        if len(start):
+            which[np.arange(len(start)) + np.repeat(np.arange(docs), np.diff(first))] = self._numbers(data, start, end)
+        at = np.frombuffer(self.start, np.int64)
+        n = at[which + 1] - at[which]
         place = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(start[which] - place[:-1], n) + np.arange(place[-1])]
-        return ids, place[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(at[which] - place[:-1], n) + np.arange(place[-1])]
+        return ids, place[first + np.arange(docs + 1)]
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for a list of texts."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return self.encode(np.frombuffer(b"".join(raw), np.uint8),
+                           np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64))
 
 
 def encoder(path: str) -> Encoder:
