@@ -1,29 +1,33 @@
 """N-gram Jaccard join by a blocked sparse matrix product (operator 10).
 
 The document by n-gram incidence matrix is never multiplied whole. Its n-gram
-columns are cut into hash ranges; how many is derived from a document's size so
-that two documents whose similarity reaches the bound must agree completely in
-at least one range that is not empty (the sizes bound how many n-grams may
-differ, and there are more ranges than that). So:
-
-1. every different set emits one signature per range it touches (packed by
-   shuffle partition; equal sets of a task are emitted once), and sets that
-   agree in a range are joined into candidate clusters;
-2. inside a cluster the product is computed block by block: postings of a row's
-   columns are accumulated into overlap counts, pairs below the bound that
-   their sizes give are discarded, and only a spanning forest of the links is
-   kept. A cluster of more than one block is first linked inside each block and
-   to a few pivots; only what is not in its main component is then multiplied
-   with the rest;
+columns are cut into blocks (hash ranges); how many is derived from a document's
+size so that linked documents, which by their sizes can differ in few n-grams
+only, must agree completely in some blocks. So:
+
+1. every different set emits one signature per block of its n-grams (packed by
+   shuffle partition; equal sets of a task are emitted once). Sets that agree in
+   a block meet there, the numbers of agreeing blocks are accumulated over all
+   blocks, and pairs below the bound that follows from their sizes are
+   discarded. Blocks in which more than ``FEW`` sets agree are not paired: a set
+   whose other blocks suffice for the bound does without them, and the sets
+   that need them are linked through one of them only;
+2. these candidates form clusters, and inside a cluster the product is computed
+   on all n-grams: postings of a row's columns are accumulated into overlap
+   counts, pairs below the bound of their sizes are discarded, and only a
+   spanning forest of the links is kept. A cluster of more than one block of
+   rows is first linked inside each block and to a few pivots; only what is not
+   in its main component is then multiplied with the rest;
 3. connected components of these links give the groups.
 
-No pair list of a group is ever written. The size ranges: a set of size n
-takes part at level g = floor(log2 n) with ``ranges(g)`` ranges, and also at level
-g + 1 when a set of up to n / 0.8 n-grams lies there. Guarantee: linked sets of n
-and m n-grams differ in at most (n + m) / 9, so in at most a quarter of either;
-where one of them touches more ranges than that, one range is equal in both. A
-set that touches fewer also takes part with twice, four times ... as many
-ranges until it does, so the first of the two to stop has such a range.
+No pair list of a group is ever written. The bounds: linked sets of n and m
+n-grams differ in at most (n + m) / 9 of them, so in at most a quarter of
+either. A set of size n takes part at level floor(log2 n), and also at the next
+when a set of up to n / 0.8 n-grams lies there. Each n-gram that differs spoils at
+most one block, so a set with k blocks agrees with a linked one in at least
+k - (n + m) / 9 of them, if both emit these blocks. Blocks are made finer, up to one
+n-gram each, until k exceeds n / 4; a partner that refines further has also
+emitted the coarser blocks, so the bound holds for the one that stops first.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is its own component; equal sets are linked; a null id gives a row with
@@ -45,13 +49,15 @@ from .components import components
 from .shared import ship, slices, stored, text_buffers, text_bytes
 
 SIZE = 5
-LOAD = 3.0            # n-grams per range for the largest sets of a level
-SINGLES = 2           # from this refinement on, ranges with one n-gram count too
+LOAD, LOAD_SMALL = 3.0, 1.5   # n-grams per block for the largest sets of a level
+SMALL = 6             # levels up to this one (n < 128) use blocks of a single n-gram too
+FEW = 16              # sets that agree in a block and are paired
 PART_BYTES = 24 << 20  # text bytes whose signatures meet in one task
 BLOCK_ROWS = 512      # rows of a block of the product
 BLOCK_GRAMS = 400_000
 PIVOTS = 4
 KEY_BYTES = 5         # bytes of a signature that travel, beside its partition
+INFO = np.dtype([("owner", "<u8"), ("n", "<i8"), ("k", "<i4"), ("fine", "<i4")])
 
 
 def sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,33 +81,35 @@ def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def ranges(level: int) -> int:
-    """Hash ranges at a level."""
-    return max(1, int(np.ceil((2 << level) / LOAD)))
+    """Blocks at a level."""
+    return max(1, int(np.ceil((2 << level) / (LOAD_SMALL if level <= SMALL else LOAD))))
 
 
-def signatures(own: np.ndarray) -> list[np.ndarray]:
-    """Signatures of one sorted set of n-gram hashes: at its own level and, where
-    larger partners lie there, at the next (else an empty array)."""
+def signatures(own: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """Signatures of one sorted set of n-gram hashes at its own level and, where
+    larger partners lie there, at the next: (signatures, blocks of the last
+    refinement, number of refinements)."""
     n = len(own)
     level = n.bit_length() - 1
     mixed = B.mix(own ^ np.uint64(0xD6E8FEB86659FD93))
-    spot = own >> np.uint64(32)                 # upper half: its place among the ranges
-    out = [np.zeros(0, np.uint64)] * 2
-    for i, g in enumerate((level, level + 1)):
-        if i and 5 * n < 4 * (2 << level):
+    spot = own >> np.uint64(32)                 # upper half: its place among the blocks
+    out = []
+    for g in (level, level + 1):
+        if g > level and 5 * n < 4 * (2 << level):
             break
         k, fine, got = ranges(g), 0, []
         while True:
             r = (spot * np.uint64(k)) >> np.uint64(32)
             at = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-            size = np.diff(np.concatenate([at, [n]]))
-            strong = size > 1 if fine < SINGLES else size > 0
             tag = B.mix(r[at] * np.uint64(64) + np.uint64(g) + (np.uint64(fine) << np.uint64(48)))
-            got.append(B.mix(np.add.reduceat(mixed, at) ^ tag)[strong])
-            if 4 * strong.sum() > n or k >= 1 << 31:
-                break                           # more ranges than n-grams that may differ
-            k, fine = k + (k >> 1) + 1 if fine < SINGLES - 1 else 4 * k, fine + 1
-        out[i] = np.concatenate(got)
+            sig = B.mix(np.add.reduceat(mixed, at) ^ tag)
+            if g > SMALL and fine < 2:          # blocks of one n-gram agree too easily
+                sig = sig[np.diff(np.concatenate([at, [n]])) > 1]
+            got.append(sig)
+            if 4 * len(sig) > n or k >= 1 << 31:
+                break
+            k, fine = k + (k >> 1) + 1 if fine < 1 else 4 * k, fine + 1
+        out.append((np.concatenate(got), len(sig), fine))
     return out
 
 
@@ -114,80 +122,119 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signature_rows(parts: int):
+    """Packed rows: per partition the keys of its signatures, whose they are (a
+    set's id with the low bit telling the level), and about each owner once its
+    size and numbers of blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b, data, off in slices(batches):
             h, first = sets(data, off)
             cls = digests(h, first)
-            sig, who = [], []
+            sig, who, info = [], [], []
             for i in range(len(cls)):
                 c = int(cls[i])
                 if c and c not in seen:
-                    if len(seen) < 200_000:   # only saves repeats; the match is the same without
+                    if len(seen) < 200_000:     # only saves repeats; the match is the same without
                         seen.add(c)
-                    s = np.concatenate(signatures(h[first[i]:first[i + 1]]))
-                    sig.append(s)
-                    who.append(np.full(len(s), cls[i]))
+                    for up, (s, k, fine) in enumerate(signatures(h[first[i]:first[i + 1]])):
+                        owner = c - 1 + up
+                        sig.append(s)
+                        who.append(np.full(len(s), owner, np.uint64))
+                        info.append((owner, first[i + 1] - first[i], k, fine))
             if not sig:
                 continue
-            sig, who = np.concatenate(sig), np.concatenate(who)
+            sig, who, info = np.concatenate(sig), np.concatenate(who), np.array(info, INFO)
             part = (sig % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((who, part))
             sig, who, part = (sig // np.uint64(parts))[order], who[order], part[order]
             raw = np.ascontiguousarray(sig.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            keys, owners, counts = [], [], []
-            for a, z in zip(cut[:-1], cut[1:]):
+            home = (info["owner"] % np.uint64(parts)).astype(np.int64)
+            rows = []
+            for p in np.union1d(part, home).tolist():
+                a, z = np.searchsorted(part, [p, p + 1])
                 own, n = np.unique(who[a:z], return_counts=True)
-                keys.append(raw[a:z].tobytes())
-                owners.append(own.tobytes())
-                counts.append(n.astype("<u2" if n.max() < 1 << 16 else "<u4").tobytes())
+                wide = len(n) and n.max() >= 1 << 16
+                rows.append((p, raw[a:z].tobytes(), own.tobytes(), n.astype("<u4" if wide else "<u2").tobytes(),
+                             info[home == p].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cut[:-1]].astype(np.int32)), pa.array(keys, pa.binary()),
-                 pa.array(owners, pa.binary()), pa.array(counts, pa.binary())],
-                ["part", "keys", "owners", "counts"])
+                [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)],
+                ["part", "keys", "owners", "counts", "info"])
     return run
 
 
-def _union(root: dict[int, int], a: int, b: int) -> bool:
-    while root.setdefault(a, a) != a:
-        root[a] = root[root[a]]
-        a = root[a]
-    while root.setdefault(b, b) != b:
-        root[b] = root[root[b]]
-        b = root[b]
-    if a == b:
-        return False
-    root[max(a, b)] = min(a, b)
-    return True
-
-
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the sets that share a signature. The task holds the
-    packed signatures of its partition, whose size the number of partitions bounds."""
-    parts, keys, owners = [], [], []
-    for b in batches:
-        for p, k, o, n in zip(*(c.to_pylist() for c in b.columns)):
-            raw = np.zeros((len(k) // KEY_BYTES, 8), np.uint8)
-            raw[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
-            key = raw.view("<u8").ravel().astype(np.uint64)
-            keys.append(B.mix(key ^ (np.uint64(p) << np.uint64(40))))
-            owners.append(np.repeat(np.frombuffer(o, np.uint64),
-                                    np.frombuffer(n, "<u2" if 4 * len(n) == len(o) else "<u4")))
-    root: dict[int, int] = {}
-    u, v = [], []
-    if keys:
-        key, who = np.concatenate(keys), np.concatenate(owners)
+PAIR, MANY, OWNER = 0, 1, 2       # kinds of rows that a match gives
+
+
+def _matcher(few: int):
+    """(kind, u, v, n): pairs of sets and the number of blocks in which they agree
+    here; sets in blocks where more than ``few`` agree (v: the block); sizes and
+    numbers of blocks. The task holds the packed signatures of its partition,
+    which the number of partitions bounds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, info = [], [], []
+        for b in batches:
+            for p, k, o, n, x in zip(*(c.to_pylist() for c in b.columns)):
+                raw = np.zeros((len(k) // KEY_BYTES, 8), np.uint8)
+                raw[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
+                keys.append(raw.view("<u8").ravel().astype(np.uint64) | (np.uint64(p) << np.uint64(40)))
+                owners.append(np.repeat(np.frombuffer(o, np.uint64),
+                                        np.frombuffer(n, "<u2" if 4 * len(n) == len(o) else "<u4")))
+                info.append(np.frombuffer(x, INFO))
+        if not keys:
+            return
+        key, who, info = np.concatenate(keys), np.concatenate(owners), np.unique(np.concatenate(info))
         del keys, owners
-        order = np.argsort(key, kind="stable")
+        yield _kind(OWNER, info["owner"], info["n"], info["k"] * np.int64(64) + info["fine"])
+        order = np.lexsort((who, key))
         key, who = key[order], who[order]
-        twin = np.flatnonzero((key[1:] == key[:-1]) & (who[1:] != who[:-1]))
-        pair = np.unique(np.stack([who[twin], who[twin + 1]], 1), axis=0) if len(twin) else np.zeros((0, 2), np.uint64)
-        for a, b in pair.tolist():
-            if _union(root, a, b):
-                u.append(a)
-                v.append(b)
-    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], ["u", "v"])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+        key, who = key[new], who[new]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(cut, len(key)))
+        size = np.repeat(length, length)
+        yield _kind(MANY, who[size > few], B.mix(key[size > few]), None)
+        some = (size > 1) & (size <= few)
+        key, who = key[some], who[some]
+        u, v = [who[:0]], [who[:0]]
+        for d in range(1, few):
+            same = np.flatnonzero(key[d:] == key[:-d])
+            u.append(who[same])
+            v.append(who[same + d])
+        u, v = np.concatenate(u), np.concatenate(v)
+        _, at, n = np.unique(B.mix(u) * np.uint64(3) + v, return_index=True, return_counts=True)
+        yield _kind(PAIR, u[at], v[at], n)
+    return run
+
+
+def _kind(kind: int, u, v, n) -> pa.RecordBatch:
+    u, v = (np.ascontiguousarray(x).view(np.int64) for x in (u, v))
+    n = np.zeros(len(u), np.int64) if n is None else n.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v), pa.array(n)],
+                                      ["kind", "u", "v", "n"])
+
+
+def _candidates(match: DataFrame) -> DataFrame:
+    """Edges (u, v) between set ids that the bounds do not rule out."""
+    many = match.where(F.col("kind") == MANY)
+    owner = (match.where(F.col("kind") == OWNER).groupBy("u").agg(F.max("v").alias("n"), F.max("n").alias("k"))
+             .join(many.groupBy("u").agg(F.count(F.lit(1)).alias("h")), "u", "left")
+             .select("u", "n", (F.col("k") % 64).alias("fine"),
+                     (F.floor(F.col("k") / 64) - F.coalesce("h", F.lit(0))).alias("k")))
+    owner = stored(owner, "owners")
+    a = owner.select("u", F.col("n").alias("na"), F.col("fine").alias("fa"), F.col("k").alias("ka"))
+    b = owner.select(F.col("u").alias("v"), F.col("n").alias("nb"), F.col("fine").alias("fb"), F.col("k").alias("kb"))
+    differ = F.floor((F.col("na") + F.col("nb")) / 9)
+    bound = F.greatest(F.lit(1), F.when(F.col("fa") <= F.col("fb"), F.col("ka") - differ),
+                       F.when(F.col("fb") <= F.col("fa"), F.col("kb") - differ))
+    pairs = (match.where(F.col("kind") == PAIR).groupBy("u", "v").agg(F.sum("n").alias("agree"))
+             .join(a, "u").join(b, "v")
+             .where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
+                    & (F.col("agree") >= bound)).select("u", "v"))
+    needy = owner.where(4 * F.col("k") <= F.col("n")).select("u")
+    still = stored(many.join(needy, "u").select("u", "v"), "many")
+    stars = (still.join(still.groupBy("v").agg(F.min("u").alias("m")), "v").select("u", F.col("m").alias("v")))
+    return pairs.union(stars).select(F.col("u").bitwiseOR(F.lit(1)).alias("u"), F.col("v").bitwiseOR(F.lit(1)).alias("v"))
 
 
 def linked(n: np.ndarray, m: int, overlap: np.ndarray) -> np.ndarray:
@@ -270,9 +317,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # 1. candidate clusters of different sets
     parts = max(6, -(-text_bytes(own) // PART_BYTES))
     packed = own.select("text").mapInArrow(
-        _signature_rows(parts), "part int, keys binary, owners binary, counts binary")
-    cluster = stored(components(packed.repartition(parts, "part").mapInArrow(_match, "u long, v long"))
-                     .select(F.col("vertex").alias("cls"), F.col("component").alias("cluster")), "clusters")
+        _signature_rows(parts), "part int, keys binary, owners binary, counts binary, info binary")
+    match = stored(packed.repartition(parts, "part").mapInArrow(
+        _matcher(FEW), "kind int, u long, v long, n long"), "matches")
+    cluster = stored(components(_candidates(match)).select(
+        F.col("vertex").alias("cls"), F.col("component").alias("cluster")), "clusters")
     # 2. product inside the clusters, on one document of each set
     rep = cluster.join(known, "cls")
     blocks = (rep.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"))
