@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import shuffle_parts, stored
 
 
 def _minimum(both: DataFrame) -> DataFrame:
@@ -18,34 +18,35 @@ def _minimum(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
 
 
-def _state(e: DataFrame) -> tuple:
-    """Number and checksum of the edges."""
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars: every vertex has one edge to a smaller one, or
+    only edges from larger ones."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select("v", F.lit(0), F.lit(1)))
+    return (ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty())
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(vertex, component) for every vertex of ``edges(u, v)`` (long ids); the
     component is the smallest vertex reachable. Self edges and repeats do no
     harm; an empty table gives an empty result."""
-    e = stored(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-               .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    vertices = e.select("u").union(e.select(F.col("v"))).distinct()
-    state = _state(e)
+    few = max(1, shuffle_parts(edges.sparkSession) // 4)     # links are small beside the data
+    e = stored(edges.where(F.col("u") != F.col("v"))
+               .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(few), "edges")
     for _ in range(max_rounds):
+        if _settled(e):
+            break
         # Large star: every larger neighbour goes to the smallest neighbour.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         big = (both.join(_minimum(both), "u").where(F.col("v") > F.col("u"))
-               .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+               .select(F.col("v").alias("u"), F.col("m").alias("v")))
         # Small star: a vertex and its smaller neighbours go to the smallest.
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        e = stored(big.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                   .union(least.select("u", F.col("m").alias("v")))
-                   .where(F.col("u") != F.col("v")).distinct(), "edges")
-        before, state = state, _state(e)
-        if state == before:
-            break
+        e = stored(big.join(least, "u").select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+            .select("e.*").where(F.col("u") != F.col("v")).distinct().coalesce(few), "edges")
     else:
         raise RuntimeError("components did not settle")
-    root = e.groupBy("u").agg(F.min("v").alias("component"))
-    return vertices.join(root, "u", "left").select(
-        F.col("u").alias("vertex"), F.coalesce("component", "u").alias("component"))
+    return (e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+            .union(e.select("v", "v").distinct()))

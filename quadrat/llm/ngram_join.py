@@ -55,7 +55,7 @@ FEW = 16              # sets that agree in a block and are paired
 PART_BYTES = 24 << 20  # text bytes whose signatures meet in one task
 BLOCK_ROWS = 512      # rows of a block of the product
 BLOCK_GRAMS = 400_000
-PIVOTS = 4
+PIVOTS = 8            # expected, per cluster of more than one block
 KEY_BYTES = 5         # bytes of a signature that travel, beside its partition
 INFO = np.dtype([("owner", "<u8"), ("n", "<i8"), ("k", "<i4"), ("fine", "<i4")])
 
@@ -219,7 +219,7 @@ def _candidates(match: DataFrame) -> DataFrame:
     many = match.where(F.col("kind") == MANY)
     owner = (match.where(F.col("kind") == OWNER).groupBy("u").agg(F.max("v").alias("n"), F.max("n").alias("k"))
              .join(many.groupBy("u").agg(F.count(F.lit(1)).alias("h")), "u", "left")
-             .select("u", "n", (F.col("k") % 64).alias("fine"),
+             .select("u", "n", (F.col("k") % 64).alias("fine"), F.coalesce("h", F.lit(0)).alias("h"),
                      (F.floor(F.col("k") / 64) - F.coalesce("h", F.lit(0))).alias("k")))
     owner = stored(owner, "owners")
     a = owner.select("u", F.col("n").alias("na"), F.col("fine").alias("fa"), F.col("k").alias("ka"))
@@ -231,7 +231,9 @@ def _candidates(match: DataFrame) -> DataFrame:
              .join(a, "u").join(b, "v")
              .where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
                     & (F.col("agree") >= bound)).select("u", "v"))
-    needy = owner.where(4 * F.col("k") <= F.col("n")).select("u")
+    # Without the crowded blocks too few are left - or the partner may have
+    # stopped at an earlier refinement, where only its own number counts.
+    needy = owner.where((4 * F.col("k") <= F.col("n")) | ((F.col("fine") > 0) & (F.col("h") > 0))).select("u")
     still = stored(many.join(needy, "u").select("u", "v"), "many")
     stars = (still.join(still.groupBy("v").agg(F.min("u").alias("m")), "v").select("u", F.col("m").alias("v")))
     return pairs.union(stars).select(F.col("u").bitwiseOR(F.lit(1)).alias("u"), F.col("v").bitwiseOR(F.lit(1)).alias("v"))
@@ -242,10 +244,10 @@ def linked(n: np.ndarray, m: int, overlap: np.ndarray) -> np.ndarray:
     return (overlap > 0) & (5 * overlap >= 4 * (n + m - overlap))
 
 
-def forest(own: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning forest (row numbers) of the links between the given sets, by
-    accumulated overlap counts. Rows marked in ``left`` are multiplied with all
-    rows and the others not with each other."""
+def linked_rows(own: list[np.ndarray], left: np.ndarray | None = None) -> np.ndarray:
+    """Group of each row under the links between the given sets, by accumulated
+    overlap counts. Rows marked in ``left`` are multiplied with all rows and the
+    others not with each other."""
     n = np.array([len(x) for x in own])
     row = np.repeat(np.arange(len(own)), n)
     col = np.unique(np.concatenate(own), return_inverse=True)[1] if len(row) else np.zeros(0, int)
@@ -254,16 +256,10 @@ def forest(own: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[
     start = np.searchsorted(col[order], np.arange(col.max() + 2 if len(col) else 1))
     first = np.concatenate([[0], np.cumsum(n)])
     comp = np.arange(len(own))
-    edges = []
     rows = np.arange(len(own)) if left is None else np.flatnonzero(left)
     for x in rows.tolist():
-        other = comp != comp[x]
-        if not other.any():
-            if (comp == comp[0]).all():
-                break
-            continue
         # bound from the sizes: 0.8 n <= m <= n / 0.8
-        other &= (5 * n >= 4 * n[x]) & (4 * n <= 5 * n[x])
+        other = (comp != comp[x]) & (5 * n >= 4 * n[x]) & (4 * n <= 5 * n[x])
         if not other.any():
             continue
         c = col[first[x]:first[x + 1]]
@@ -272,29 +268,31 @@ def forest(own: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[
         overlap = np.bincount(postings[at], minlength=len(own))
         for y in np.flatnonzero(other & linked(n, int(n[x]), overlap)).tolist():
             if comp[y] != comp[x]:
-                edges.append((x, y))
-                a, b = comp[x], comp[y]
-                comp[comp == b] = a
-    return edges
+                comp[comp == comp[y]] = comp[x]
+    return comp
+
+
+MEMBER, ODD, PIVOT = 0, 1, 2      # roles of the rows of a group
 
 
 def _product(t: pa.Table) -> pa.Table:
-    """Links inside one group of rows (cluster, block): cls, side, text."""
+    """Links inside one group of rows (cls, role, text), as stars: u is linked
+    to v directly or through others; v is a pivot where there is one."""
     data, off = text_buffers(t.column("text"))
     h, first = sets(data, off)
-    own = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-    cls = t.column("cls").to_numpy()
-    side = t.column("side").to_numpy()
-    left = None if (side == 0).all() else side == 1
-    e = forest(own, left)
-    u = cls[[a for a, _ in e]] if e else np.zeros(0, np.int64)
-    v = cls[[b for _, b in e]] if e else np.zeros(0, np.int64)
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    cls, role = t.column("cls").to_numpy(), t.column("role").to_numpy()
+    comp = linked_rows([h[a:b] for a, b in zip(first[:-1], first[1:])], role == ODD if (role == ODD).any() else None)
+    order = np.lexsort((cls, role != PIVOT, comp))
+    head = np.ones(len(order), bool)
+    head[1:] = comp[order][1:] != comp[order][:-1]
+    v = cls[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    u = cls[order]
+    return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
 
 
 def _multiply(rows: DataFrame, *keys: str) -> DataFrame:
-    """Forest edges of every group of rows (cls, side, text) under ``keys``."""
-    return rows.select(*keys, "cls", "side", "text").groupBy(*keys).applyInArrow(
+    """Links of every group of rows (cls, role, text) under ``keys``."""
+    return rows.select(*keys, "cls", "role", "text").groupBy(*keys).applyInArrow(
         _product, "u long, v long")
 
 
@@ -325,15 +323,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # 2. product inside the clusters, on one document of each set
     rep = cluster.join(known, "cls")
     blocks = (rep.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"))
-              .select("cluster", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("grams") / BLOCK_GRAMS))
+              .select("cluster", "rows", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("grams") / BLOCK_GRAMS))
                       .cast("int").alias("blocks")))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rows")) < PIVOTS)
     placed = (rep.join(blocks, "cluster").select(
         F.col("low").alias("doc_id"), "cluster", "cls", "blocks",
-        F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")))
-    texts = stored(own.join(placed, "doc_id").select("cluster", "cls", "blocks", "block", "text")
-                   .mapInArrow(_of_class, "cluster long, cls long, blocks int, block int, text string")
+        F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"),
+        F.when(pivot, PIVOT).otherwise(MEMBER).alias("role")))
+    texts = stored(own.join(placed, "doc_id").select("cluster", "cls", "blocks", "block", "role", "text")
+                   .mapInArrow(_of_class, "cluster long, cls long, blocks int, block int, role int, text string")
                    .dropDuplicates(["cls"]), "cluster-texts")
-    links = stored(_multiply(_blocks_and_pivots(texts), "cluster", "block"), "links")
+    everywhere = texts.where(F.col("role") == PIVOT).select(
+        "cluster", "cls", F.col("block").alias("home"), "role", "text",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where(F.col("block") != F.col("home"))
+    links = stored(_multiply(texts.select("cluster", "block", "cls", "role", "text").union(
+        everywhere.select("cluster", "block", "cls", "role", "text")), "cluster", "block"), "links")
     large = texts.where(F.col("blocks") > 1)
     if not large.isEmpty():
         links = links.union(_rest(large, links))
@@ -349,35 +353,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
             .union(member.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
-def _blocks_and_pivots(texts: DataFrame) -> DataFrame:
-    """Each cluster's rows by block, and its pivots in each of its blocks."""
-    odds = F.col("blocks") * BLOCK_ROWS
-    pivots = (texts.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), odds) < 4 * PIVOTS))
-              .groupBy("cluster").agg(F.sort_array(F.collect_set("cls")).alias("few"))
-              .select(F.explode(F.slice("few", 1, PIVOTS)).alias("cls")))
-    everywhere = texts.join(pivots, "cls").select(
-        "cluster", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text", "blocks",
-        F.col("block").alias("home")).where(F.col("block") != F.col("home"))
-    return (texts.select("cluster", "cls", "block", "text")
-            .union(everywhere.select("cluster", "cls", "block", "text")).withColumn("side", F.lit(0)))
-
-
 def _rest(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between the rows outside a large cluster's main component and
-    everything that is not in their own component."""
-    group = components(links).select(F.col("vertex").alias("cls"), F.col("component").alias("root"))
-    rows = large.join(group, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    count = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("cluster").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
-    rows = stored(rows.join(main, "cluster"), "large")
-    odd = rows.where(F.col("root") != F.col("main")).withColumn(
-        "strip", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int"))
+    """Links of the rows of large clusters that are not linked to the cluster's
+    main pivot (the one with most rows) with all rows of the cluster."""
+    pivots = large.where(F.col("role") == PIVOT).select("cluster", F.col("cls").alias("v"))
+    main = (links.join(pivots, "v").groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("cluster").agg(F.max(F.struct("n", "v")).getField("v").alias("v")))
+    done = links.join(main, "v").select(F.col("u").alias("cls")).union(main.select(F.col("v").alias("cls"))).distinct()
+    odd = large.join(done, "cls", "left_anti").select(
+        "cluster", "cls", "blocks", "text", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("strip"))
+    odd = stored(odd, "odd")
     strips = odd.select("cluster", "strip").distinct()
     return _multiply(
-        odd.select("cluster", "cls", "text", "strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        .withColumn("side", F.lit(1))
-        .union(rows.select("cluster", "cls", "text", "block").join(strips, "cluster")
-               .select("cluster", "cls", "text", "strip", "block").withColumn("side", F.lit(0))),
+        odd.select("cluster", "strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                   "cls", F.lit(ODD).alias("role"), "text")
+        .union(large.join(strips, "cluster").select("cluster", "strip", "block", "cls", F.lit(MEMBER).alias("role"), "text")),
         "cluster", "strip", "block")
 
 

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: Text bytes worked on at once inside a task (one longer text is one slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once per application, so
-    that tasks can import it where it is not installed."""
+    """In local mode, let the Python workers import this package wherever they were
+    started. On a cluster it is installed or passed with ``--py-files``."""
     sc = spark.sparkContext
-    if getattr(sc, "_quadrat_shipped", False):
+    if not (sc.master or "").startswith("local[") or getattr(sc, "_quadrat_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     target = os.path.join(tempfile.mkdtemp(prefix="quadrat-src-"), "quadrat_src.zip")
@@ -97,3 +97,14 @@ def slices(batches: Iterator[pa.RecordBatch], col: str = "text",
             j = min(max(j, i + 1), n)
             yield b.slice(i, j - i), raw[off[i]:off[j]], off[i:j + 1] - off[i]
             i = j
+
+
+def bounded_sample(df: DataFrame, n: int, *key: str) -> list:
+    """At most ``n`` rows, those with the smallest hash of ``key``, as a list.
+    A cut on the hash, drawn from the number of rows, keeps what every task sends
+    near its share of ``n``."""
+    total = df.count()
+    h = F.xxhash64(*key, F.lit(11))
+    if total > 2 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.2 * n + 200) / total)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), *key).limit(n).collect()
