@@ -39,7 +39,7 @@ from .bytewords import mix
 from .shared import shared_path, ship, shuffle_parts, slices, stored, text_bytes
 
 MAGIC = b"QTOKENS1"
-SHARD_IDS = 2 << 20               # ids after which a shard is closed
+SHARD_IDS = 1 << 20               # ids after which a shard is closed
 PART_BYTES = 24 << 20
 
 
@@ -166,7 +166,7 @@ def _shard_writer(vocabulary: str):
             keys, pieces, sizes, total, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["value"])
 
-        for b, data, off in slices(batches, limit=4 << 20):
+        for b, data, off in slices(batches):
             ids, at = enc.encode(data, off)
             keys += b.column(0).to_pylist()
             pieces.append(ids.astype(f"<u{width}"))

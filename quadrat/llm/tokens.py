@@ -22,8 +22,8 @@ import numpy as np
 from .bytewords import hash_spans
 
 END = 0                           # id after every document
-CACHE = 2_500_000                 # stretches kept per worker, about 30 bytes each
-RECENT = 200_000                  # newest ones, kept apart from the sorted table
+CACHE = 1_000_000                 # stretches kept per worker, about 30 bytes each
+RECENT = 100_000                  # newest ones, kept apart from the sorted table
 _ENCODERS: dict[str, "Encoder"] = {}
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]*)\Z")
 # First bytes of the characters before which a space begins a piece: visible
