@@ -31,7 +31,7 @@ WINDOW = 8                     # bytes that the low bits of the gear hash see
 MASK = np.uint8(0xF0)          # the highest bits of a byte: one place in 16
 QUIET = 11
 MAX_CHUNK = 500
-MIN_WORDS = 20
+MIN_WORDS = 25
 GEAR = (B.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
