@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .shared import ship, shuffle_parts, slices, stored
+from .shared import bounded_sample, ship, shuffle_parts, slices, stored
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
 BLOCK = 128                       # buckets whose sums travel in one row
@@ -202,12 +202,11 @@ def train(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ne
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where(F.col("quality").isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    rows = marks.join(feats, "doc_id")
+    rows = stored(marks.join(feats, "doc_id"), "labelled")
     count = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     x, y, w = [], [], []
     for q in sorted(count):
-        took = (rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(3)), "features")
-                .limit(max_train).select("features").collect())
+        took = bounded_sample(rows.where(F.col("quality") == q), max_train, "doc_id", "features")
         x += [np.frombuffer(r.features, np.float32) for r in took]
         y += [q] * len(took)
         w += [count[q] / max(1, len(took))] * len(took)
