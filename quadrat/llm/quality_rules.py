@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .shared import ship, slices, stored
+from .shared import bounded_sample, ship, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -177,9 +177,9 @@ def average_path(n: int) -> float:
 
 def grow_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> Forest:
     """A forest from at most ``trees * sample`` rows, taken by hash of the id."""
-    rows = (stats.orderBy(F.xxhash64("doc_id", F.lit(11)), *FEATURES)
-            .select(*FEATURES).limit(trees * sample).toPandas().to_numpy())
-    return Forest(rows.astype(float), trees, sample)
+    rows = bounded_sample(stats.select("doc_id", *FEATURES), trees * sample, "doc_id", *FEATURES)
+    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
+    return Forest(x, trees, sample)
 
 
 def calibrate(hist: list[tuple[int, int, int]], max_loss: float) -> float:
