@@ -604,7 +604,7 @@ FROM (SELECT DISTINCT Island, Site FROM densiometer)"""
 
     # One site, one year, one species.
     q["size_freq_one_site"] = (f"SELECT SY, Mortality, bin, bin_lo, bin_hi, total_freq "
-                               f"FROM ({q['size_freq_site_year']}) WHERE Site = 'CANADA'")
+                               f"FROM ({q['size_freq_site_year']}) WHERE Site = 'NATION_3'")
     q["size_freq_one_year"] = (f"SELECT Site, Mortality, bin, bin_lo, bin_hi, total_freq "
                                f"FROM ({q['size_freq_sites']}) WHERE SY = 1997")
     q["sapling_density_one_species"] = f"SELECT * FROM ({q['sapling_density']}) WHERE Species = 'AVGE'"

@@ -256,7 +256,7 @@ def q_category_order(spark, root, layout="survey"):
 
 # -- parameters and rules that the keys above do not show ------------------------
 
-ONE_SITE, ONE_YEAR, ONE_SPECIES = "CANADA", 1997, "AVGE"
+ONE_SITE, ONE_YEAR, ONE_SPECIES = "NATION_3", 1997, "AVGE"
 
 
 def q_size_freq_one_site(spark, root, layout="survey"):
