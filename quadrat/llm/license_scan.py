@@ -1,12 +1,13 @@
 """License scan with a positional index of rare words (operator 5).
 
 Templates (short passages of known licences) are indexed by word and position.
-The words' document frequencies are counted over all documents; a file looks up
-the rarest licence words it has, every posting votes for a relative position
-(place in the file minus place in the template), and templates with enough votes
-are compared word by word there. A label needs the template's mandatory phrase,
-its words consecutive, near that place. The score is the share of the
-template's weight (inverse document frequencies) found.
+The words' document frequencies are counted over all documents; every indexed
+word of a file is looked up at each of its places, every posting votes for a
+relative position (place in the file minus place in the template), and templates
+with two words there are compared word by word. So many words of a template are
+indexed that it cannot reach the least score with fewer than two of them. A label
+needs the template's mandatory phrase, its words consecutive, near that place. The
+score is the share of the template's weight (inverse document frequencies) found.
 
 Defined results: a null or empty text has no words and no labels, score 0; a
 null id keeps its row; repeated rows are scanned each; an empty table gives an
@@ -63,8 +64,7 @@ TEMPLATES = (
     ("cc0", "cc0 1 0", "released under cc0 1 0 universal public domain dedication"),
 )
 
-RARE = 6            # words of a template that are indexed: its rarest, at most over half of them
-LOOKUP = 8          # words of a file that are looked up: its rarest licence words
+RARE = 6            # words of a template that are indexed at least: its rarest, or over half of them
 SLACK = 2           # words by which a relative position may be off
 MIN_SCORE = 0.75
 
@@ -114,50 +114,94 @@ def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
 
 
 class RareWordIndex:
-    """Postings (template, position) of the rarest words of each template."""
+    """Postings (word, position) of the rarest words of each template."""
 
     def __init__(self, idf: dict[str, float]):
         self.idf = [idf[w] for w in VOCABULARY]
         number = {w: i for i, w in enumerate(VOCABULARY)}
-        self.templates, self.postings = [], {}
-        for k, (label, phrase, text) in enumerate(TEMPLATES):
+        self.templates, self.postings = [], []
+        for label, phrase, text in TEMPLATES:
             words = [number[w] for w in _split(text)]
             self.templates.append((label, [number[w] for w in _split(phrase)], words))
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:min(RARE, len(set(words)) // 2 + 1)]
-            for p, w in enumerate(words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((k, p))
-
-    def scan(self, place: dict[int, int], where: dict[int, list[int]]) -> tuple[set[str], float]:
-        """Labels and score of a file from its licence words: word at each place
-        and places of each word."""
-        rare = sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf[w], w))[:LOOKUP]
-        votes: dict[tuple[int, int], set[int]] = {}
-        for w in rare:
-            for k, p in self.postings[w]:
-                for at in where[w]:
-                    votes.setdefault((k, at - p), set()).add(w)
-        labels, best = set(), 0.0
-        for (k, shift), voted in votes.items():
-            label, phrase, words = self.templates[k]
-            near = set().union(*(votes.get((k, shift + s), ()) for s in range(-SLACK, SLACK + 1)))
-            if len(near) < min(2, len(set(words))):
+            rare = self._rare(words)
+            self.postings.append([(w, p, rare.index(w)) for p, w in enumerate(words) if w in rare])
+
+    def _rare(self, words: list[int]) -> list[int]:
+        """The rarest words, so many that all but one of them weigh more than a
+        file may lack."""
+        order = sorted(set(words), key=lambda w: (-self.idf[w], w))
+        weight = [self.idf[w] * words.count(w) for w in order]
+        n = min(RARE, len(order) // 2 + 1)
+        while n < len(order) and sum(weight[:n]) - max(weight[:n]) <= (1 - MIN_SCORE + 1e-9) * sum(weight):
+            n += 1
+        return order[:n]
+
+    def scan(self, v: np.ndarray, w: B.Words) -> list[tuple[int, str, float]]:
+        """(text, label, score) of the templates found in the texts of a slice;
+        ``v`` has the vocabulary index of every word."""
+        hit = np.flatnonzero(v >= 0)
+        hit = hit[np.argsort(v[hit], kind="stable")]
+        cut = np.searchsorted(v[hit], np.arange(len(VOCABULARY) + 1))
+        out = []
+        for (label, phrase, words), postings in zip(self.templates, self.postings):
+            starts = _consecutive(v, w, phrase, hit[cut[phrase[0]]:cut[phrase[0] + 1]])
+            if not len(starts):
                 continue
-            total = sum(self.idf[w] for w in words)
-            found = sum(self.idf[w] for p, w in enumerate(words)
-                        if any(place.get(shift + p + s) == w for s in range(-SLACK, SLACK + 1)))
-            score = min(1.0, found / total) if total else 0.0
-            if score >= MIN_SCORE and self._phrase(phrase, place, where, shift, len(words)):
-                labels.add(label)
-                best = max(best, score)
-        return labels, best
+            gap = len(words) + 2 * SLACK + 1            # keeps the places of neighbouring texts apart
+            keys, bits = [], []
+            for x, p, bit in postings:
+                at = hit[cut[x]:cut[x + 1]]
+                keys.append(at - p + w.doc[at] * gap)
+                bits.append(np.full(len(at), np.uint64(1) << np.uint64(bit)))
+            doc, shift = self._voted(np.concatenate(keys), np.concatenate(bits), min(2, len(set(words))), w, gap)
+            low, high = w.first[doc], w.first[doc + 1]
+            # The mandatory phrase stands within the template's stretch of the file.
+            at = np.searchsorted(starts, np.maximum(shift - SLACK, low))
+            first = np.append(starts, len(v))[at]
+            near = (first <= shift + len(words) + SLACK) & (first < high)
+            doc, shift, low, high = doc[near], shift[near], low[near], high[near]
+            total, found = sum(self.idf[x] for x in words), np.zeros(len(doc))
+            for p, x in enumerate(words):
+                there = np.zeros(len(doc), bool)
+                for s in range(-SLACK, SLACK + 1):
+                    place = shift + p + s
+                    there |= (place >= low) & (place < high) & (v[np.clip(place, 0, len(v) - 1)] == x)
+                found += np.where(there, self.idf[x], 0.0)
+            score = np.minimum(1.0, found / total) if total else np.zeros(len(doc))
+            out += [(d, label, x) for d, x in zip(doc.tolist(), score.tolist()) if x >= MIN_SCORE]
+        return out
 
     @staticmethod
-    def _phrase(phrase, place, where, shift, size) -> bool:
-        """The mandatory phrase stands within the template's stretch of the file."""
-        return any(shift - SLACK <= at <= shift + size + SLACK
-                   and all(place.get(at + i) == w for i, w in enumerate(phrase))
-                   for at in where.get(phrase[0], ()))
+    def _voted(key, bit, least, w, gap) -> tuple[np.ndarray, np.ndarray]:
+        """(text, relative position) of the places voted for by at least ``least``
+        (1 or 2) different words that are off by at most the slack."""
+        order = np.argsort(key, kind="stable")
+        key, bit = key[order], bit[order]
+        new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        if not len(new):
+            return (np.zeros(0, np.int64),) * 2
+        place, voted = key[new], np.bitwise_or.reduceat(bit, new)
+        near = voted.copy()
+        for s in range(1, SLACK + 1):       # different places: one off by s is at most s further on
+            for k in range(1, s + 1):
+                both = np.flatnonzero(place[k:] - place[:-k] == s)
+                near[both] |= voted[both + k]
+                near[both + k] |= voted[both]
+        if least > 1:
+            place = place[(near & (near - np.uint64(1))) != 0]
+        # Places of text d begin at most a template's length before its first word.
+        texts = np.arange(len(w.first) - 1)
+        doc = np.searchsorted(w.first[:-1] + texts * gap - (gap - 2 * SLACK - 1), place, side="right") - 1
+        return doc, place - doc * gap
+
+
+def _consecutive(v: np.ndarray, w: B.Words, phrase: list[int], at: np.ndarray) -> np.ndarray:
+    """Those of the places where the words of a phrase follow each other inside a text."""
+    m = len(phrase)
+    at = at[at <= len(v) - m]
+    for i in range(1, m):
+        at = at[v[at + i] == phrase[i]]
+    return at[w.doc[at] == w.doc[at + m - 1]] if len(at) else at
 
 
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
@@ -174,8 +218,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
         known, word = _vocabulary_ids()
         number = {x: i for i, x in enumerate(VOCABULARY)}
         phrases = [([number[x] for x in _split(p)], label) for p, label in PHRASES.items()]
-        indexed = np.zeros(len(VOCABULARY), bool)
-        indexed[list(ix.postings)] = True
         for b, data, off in slices(batches):
             w = B.find_words(B.LOWER[data], off, B.ALNUM)
             v = _licence_words(w, known, word)
@@ -183,11 +225,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
             n_base, low, high = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
             base = [set() for _ in range(n)]
             for p, label in phrases:
-                m = len(p)
-                at = np.flatnonzero(v[:len(v) - m + 1] == p[0]) if len(v) >= m else np.zeros(0, np.int64)
-                for i in range(1, m):
-                    at = at[v[at + i] == p[i]]
-                at = at[w.doc[at] == w.doc[at + m - 1]] if len(at) else at
+                at = _consecutive(v, w, p, np.flatnonzero(v == p[0]))
                 for a in at.tolist():
                     d = int(w.doc[a])
                     s = a - int(w.first[d])
@@ -196,16 +234,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
                     high[d] = max(high[d], s)
                     base[d].add(label)
             labels, score = [set(x) for x in base], np.zeros(n)
-            start = np.flatnonzero((v >= 0) & indexed[v])
-            for d in np.unique(w.doc[start]).tolist():
-                a, z = int(w.first[d]), int(w.first[d + 1])
-                hit = np.flatnonzero(v[a:z] >= 0)
-                place = dict(zip(hit.tolist(), v[a + hit].tolist()))
-                where: dict[int, list[int]] = {}
-                for p, x in place.items():
-                    where.setdefault(x, []).append(p)
-                more, score[d] = ix.scan(place, where)
-                labels[d] |= more
+            for d, label, x in ix.scan(v, w):
+                labels[d].add(label)
+                score[d] = max(score[d], x)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(w.counts), pa.array(n_base),
                  pa.array(low, mask=n_base == 0), pa.array(high, mask=n_base == 0),

@@ -1,7 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
+
+from quadrat.llm import bytewords as B
 from quadrat.llm import license_scan, pii
+from quadrat.llm.shared import text_buffers
 
 from .common import frame, odd_rows
 
@@ -87,3 +91,50 @@ def test_license_scan(spark):
     assert by[501].labels == "" and by[502].labels == "mit"
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert license_scan.license_scan(frame(spark, [])).count() == 0
+
+
+def test_every_licence_of_a_file_is_found(spark):
+    r = random.Random(4)
+    texts = {}
+    for label, phrase, text in license_scan.TEMPLATES:
+        texts.setdefault(label, text if phrase in text else f"{text} {phrase}")
+    prose = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    notice = " ".join(f"{prose(50)} {t}" for t in texts.values())
+    rare = " mozilla affero unencumbered cc0 redistribution dedication fee lesser nc sa ".join(prose(300) for _ in range(4))
+    alone = [(100 + i, f"{rare} {t} {rare}") for i, t in enumerate(texts.values())]
+    got = {x.doc_id: x for x in license_scan.license_scan(frame(spark, [(1, notice), (2, prose(90)), *alone])).collect()}
+    assert set(got[1].labels.split(",")) == set(texts) and got[1].score > 0.99 and got[2].labels == ""
+    assert all(label in got[100 + i].labels.split(",") for i, label in enumerate(texts))
+
+
+def test_licence_votes_equal_trying_every_place():
+    r = random.Random(6)
+    idf = {w: r.choice([0.1, 1.0, 4.0, 9.0]) for w in license_scan.VOCABULARY}
+    ix = license_scan.RareWordIndex(idf)
+    texts = []
+    for _ in range(300):
+        w = []
+        for _, phrase, t in r.sample(license_scan.TEMPLATES, 3):
+            t = t.split() if r.random() < 0.7 else phrase.split() + t.split()
+            w += [r.choice(license_scan.VOCABULARY) if r.random() < 0.1 else x for x in t if r.random() > 0.03]
+        texts.append(w[r.randrange(4):])
+    data, off = text_buffers(pa.array([" ".join(w) for w in texts]))
+    words = B.find_words(data, off, B.ALNUM)
+    got = {}
+    for d, label, x in ix.scan(license_scan._licence_words(words, *license_scan._vocabulary_ids()), words):
+        got[d, label] = max(x, got.get((d, label), 0))
+    want = {}
+    for d, w in enumerate(texts):
+        for label, phrase, t in license_scan.TEMPLATES:
+            t, p = t.split(), phrase.split()
+            starts = [i for i in range(len(w) - len(p) + 1) if w[i:i + len(p)] == p]
+            rare = {license_scan.VOCABULARY[i] for i in ix._rare([license_scan.VOCABULARY.index(x) for x in t])}
+            for shift in {i - k for i, x in enumerate(w) for k, y in enumerate(t) if x == y and x in rare}:
+                if not any(shift - 2 <= i <= shift + len(t) + 2 for i in starts):
+                    continue
+                has = [y for k, y in enumerate(t) if y in w[max(0, shift + k - 2):max(0, shift + k + 3)]]
+                x = min(1.0, sum(idf[y] for y in has) / sum(idf[y] for y in t))
+                if x >= license_scan.MIN_SCORE and len(set(has)) >= 2:
+                    want[d, label] = max(x, want.get((d, label), 0))
+    assert set(got) == set(want) and len(want) > 300
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
