@@ -10,9 +10,9 @@ WAND: a passage whose term maxima cannot reach the threshold is dropped, then
 every block whose block maxima cannot, then the blocks left are scored exactly;
 the steps run over all passages of a batch at once instead of document at a
 time, so nothing above the threshold is missed. A retrieved item is verified:
-its question and its answer (the last quarter of its words where no answer
-column is given) must each have at least 80 % of their five-word shingles in
-the passage. Windows are twice the longest item and overlap by half, so an item
+its question and its answer must each have at least 80 % of their five-word
+shingles in the passage; an item without an answer is held as a whole against
+the 80 %, and has no answer share. Windows are twice the longest item and overlap by half, so an item
 that stands in a text lies whole in one of them.
 
 The index is broadcast in shards of bounded size (``SHARD_ITEMS`` items and
@@ -72,8 +72,8 @@ class ItemIndex:
         self.parts = []
         for i, (q, a) in enumerate(zip(questions, answers)):
             h = w.hash[w.first[i]:w.first[i + 1]]
-            given = len(B.find_words(*_lower([q or ""]), B.ALNUM).hash) if a else len(h) - max(1, len(h) // 4)
-            self.parts.append(_shingle_parts(h, given))
+            given = len(B.find_words(*_lower([q or ""]), B.ALNUM).hash) if a else len(h)
+            self.parts.append((*_shingle_parts(h, given), bool(a)))
 
     def search(self, term: np.ndarray, passage: np.ndarray, passages: int,
                threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +134,10 @@ def _share(part: np.ndarray, have: np.ndarray) -> float:
 
 
 def find_items(data: np.ndarray, off: np.ndarray, ix: ItemIndex, threshold: float,
-               overlap: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
+               overlap: float) -> dict[tuple[int, int], tuple[float, float, float | None, int]]:
     """(text, item) -> best (score, question share, answer share, first word of
-    the passage) of the verified pairs of a slice."""
+    the passage) of the verified pairs of a slice. Without an answer the first
+    share is the whole item's, the second null."""
     w = B.find_words(B.LOWER[data], off, B.ALNUM)
     if not len(w.hash) or not ix.count or not ix.longest:
         return {}
@@ -154,15 +155,15 @@ def find_items(data: np.ndarray, off: np.ndarray, ix: ItemIndex, threshold: floa
     term = np.concatenate([known[hit], known[hit][first < last]])
     key = np.unique(two * np.int64(len(ix.terms)) + term)
     passage, item, score = ix.search(key % len(ix.terms), key // len(ix.terms), int(base[-1]), threshold)
-    found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    found: dict[tuple[int, int], tuple[float, float, float | None, int]] = {}
     text = np.searchsorted(base, passage, side="right") - 1
     for d, p, i, s in zip(text.tolist(), passage.tolist(), item.tolist(), score.tolist()):
         a = int(w.first[d]) + (p - int(base[d])) * step
         z = min(a + width, int(w.first[d + 1]))
-        size, question, answer = ix.parts[i]
+        size, question, answer, answered = ix.parts[i]
         have = B.windows(_words_of(w.hash[a:z]), size)[0]
-        q, r = _share(question, have), _share(answer, have)
-        if q >= overlap and r >= overlap and (len(question) or len(answer)):
+        q, r = _share(question, have), _share(answer, have) if answered else None
+        if q >= overlap and (r is None or r >= overlap) and (len(question) or len(answer)):
             best = (s, q, r, a - int(w.first[d]))
             if (d, i) not in found or best[:3] > found[d, i][:3]:
                 found[d, i] = best

@@ -124,3 +124,22 @@ def test_question_and_answer_must_both_stand(spark):
     bench = spark.createDataFrame([(1, question, answer)], "item_id long, text string, answer string")
     docs = frame(spark, [(1, f"x {question} {answer} y"), (2, f"x {question} y"), (3, f"{answer}"), (4, f"{question}? {answer}!")])
     assert sorted(r.doc_id for r in D.contaminated_pairs(docs, bench).collect()) == [1, 4]
+
+
+def test_near_copies_of_items_without_answers(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(45))) for i in range(20)]
+    rows, want = [], set()
+    for i, t in items:
+        w = t.split()
+        for k, words in enumerate([w[:36] + ["other"] + w[37:], w[:8] + ["other"] + w[9:], w[:41], w[4:],
+                                   w[:20] + ["other"] + w[21:30] + ["other"] + w[31:]]):
+            rows.append((10 * i + k, f"{_prose(r, r.randint(0, 200))} {' '.join(words)} {_prose(r, 40)}"))
+            if k < 4:                              # the last has 31 of 41 shingles
+                want.add((10 * i + k, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated_pairs(frame(spark, rows), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    assert all(x.answer_overlap is None and 0.8 <= x.question_overlap < 1 for x in got)
+    left = D.clean(frame(spark, rows), bench).select("doc_id").collect()
+    assert {x.doc_id for x in left} == {10 * i + 4 for i, _ in items}
