@@ -6,7 +6,8 @@ for every stretch of output the source characters it came from: homoglyphs,
 digits of other scripts and invisible characters; runs of spelled-out digits;
 at/dot disguises of addresses. The detectors run again on the rewritten text
 and their spans are carried back through the transducers to source characters;
-those that touch no base span of their kind are added.
+those that lie in no base span of their kind are added. An added span may thus
+hold or overlap base spans, fragments of what was disguised.
 
 Defined results: a null or empty text has no spans; a null id keeps its row;
 repeated rows are scanned each; an empty table gives an empty result; other
@@ -218,8 +219,6 @@ def addresses(t: str) -> Rewritten | None:
         dots = [(d.start(), d.end()) for d in _DOT_FORM.finditer(t, host.start(), host.end())]
         hidden = [d for d in dots if d[1] - d[0] > 1]
         bare = m.group().strip().lower() == "at"
-        if m.group() == "@" and not hidden or bare and not hidden:
-            continue
         before = []
         while d := _DOT_BEFORE.search(t, max(last, start - 16), start):   # "first dot last at ..."
             s = _local_start(t, d.start(), last)
@@ -227,6 +226,8 @@ def addresses(t: str) -> Rewritten | None:
                 break
             before.insert(0, (d.start(), d.end(), "."))
             start = s
+        if (m.group() == "@" or bare) and not hidden and not before:
+            continue
         edits += before + [(m.start(), m.end(), "@")] + [(a, z, ".") for a, z in hidden]
         last = host.end()
     return Rewritten(t, edits) if edits else None
@@ -247,7 +248,7 @@ def find(t: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             for s in spans:
                 for r in reversed(steps):
                     s = r.back(s)
-                if not any(a < s[1] and s[0] < z for a, z in base[kind] + added[kind]):
+                if not any(a <= s[0] and s[1] <= z for a, z in base[kind] + added[kind]):
                     added[kind].append(s)
     return base, added
 

@@ -46,6 +46,17 @@ def test_disguises_map_back():
     assert pii.mask("a@b.cd, +1 (456) 555-2186") == "[EMAIL], [PHONE]"
 
 
+def test_disguises_around_a_fragment():
+    for part in ("jоhn.smith@example.com", "john@mail.example dot com", "john dot smith@example.com",
+                 "john (dot) smith@example.com", "john dot smith at example.com", "jane@exаmple.com", "a.b@x.y [dot] org"):
+        t = f"Write to {part}, please"
+        base, added = pii.find(t)
+        assert base == pii.detect(t) and [t[a:z] for a, z in added["email"]] == [part]
+        assert pii.mask(t) == "Write to [EMAIL], please"
+    for t in ("é a@b.cd", "é +1 (456) 555-2186", "the dot. a@b.cd", "meet at example.com"):
+        assert not any(pii.find(t)[1].values())
+
+
 def test_personal_data_rows(spark):
     rows = odd_rows() + [(20, "x@y.zz and 10.0.0.1, é +1 (456) 555-2186, card 4387513035237269")]
     got = pii.personal_data(frame(spark, rows)).collect()
