@@ -157,9 +157,7 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _MARK = "|".join(sorted(MARK_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_WORD}|[0-9])(?:[\s,-]+(?:{_WORD}|{_MARK}|[0-9]+)(?!\w))+")
 _PART = re.compile(r"\w+|\W+")
-_CUE = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "null", "zwei", "drei", "vier", "sechs",
-        "sieben", "acht", "neun", "deux", "trois", "quatre", "cinq", "sept", "huit", "cero", "dos", "tres",
-        "cuatro", "cinco", "siete", "ocho", "nueve")
+_TOKEN = re.compile(r"\w+")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s+|@")
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _HOST = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
@@ -186,10 +184,26 @@ def unify_letters(t: str) -> Rewritten | None:
     return Rewritten(t, edits) if edits else None
 
 
+def _has_run(low: str) -> bool:
+    """Some words in a row are digits, digit words and mark words, with enough
+    digit words among them; without that there is no run to rewrite."""
+    words = _TOKEN.findall(low)
+    if sum(map(DIGIT_WORDS.__contains__, words)) < MIN_DIGIT_WORDS:
+        return False
+    n = 0
+    for x in words:
+        if x in DIGIT_WORDS:
+            n += 1
+            if n == MIN_DIGIT_WORDS:
+                return True
+        elif n and x not in MARK_WORDS and not x.isdecimal():
+            n = 0
+    return False
+
+
 def spelled_digits(t: str) -> Rewritten | None:
     """Runs of digit words become digits; a mark word between them its mark."""
-    low = t.lower()
-    if sum(low.count(w) for w in _CUE) < 2:
+    if not _has_run(t.lower()):
         return None
     edits = []
     for m in _SPELLED.finditer(t):

@@ -57,6 +57,19 @@ def test_disguises_around_a_fragment():
         assert not any(pii.find(t)[1].values())
 
 
+def test_spelled_digits_of_any_words(monkeypatch):
+    for part in ("+1 555 one six one six 42", "+33 un six neuf un 45 67 89", "+1 555 one 6 six 1 uno 4 seis 2"):
+        t = f"Call {part}, please"
+        assert pii.mask(t) == "Call [PHONE], please"
+    r = random.Random(8)
+    words = [*pii.DIGIT_WORDS, *pii.MARK_WORDS, "1", "42", "+", "someone", "a", "Ünder", "İ", "ONE", "Fünf"]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", "-", ", ", ".", ""]) for _ in range(r.randint(0, 14)))
+             for _ in range(5000)]
+    gated = [getattr(pii.spelled_digits(t), "text", None) for t in texts]
+    monkeypatch.setattr(pii, "_has_run", lambda low: True)
+    assert gated == [getattr(pii.spelled_digits(t), "text", None) for t in texts] and len(set(gated)) > 1000
+
+
 def test_personal_data_rows(spark):
     rows = odd_rows() + [(20, "x@y.zz and 10.0.0.1, é +1 (456) 555-2186, card 4387513035237269")]
     got = pii.personal_data(frame(spark, rows)).collect()
