@@ -1,18 +1,23 @@
 """Substring dedup by content-defined chunks (operator 7).
 
 A gear hash rolls over the bytes of each text (its value depends on the last
-``WINDOW`` bytes only); a cut follows a byte where its low bits are zero and
-none of the ``QUIET`` bytes before was such a place. Cuts therefore depend on
-nearby content alone: an insertion moves the chunks behind it without changing
-them. Chunks are deduplicated by digest, each taken with its successor so that
-a short chunk of common words is no match by itself. A run of repeated chunks
-of at least ``MIN_WORDS`` words is a repeated passage; a passage of over 50
-words holds such a run wherever it stands.
+``WINDOW`` bytes only, its tie break on ``TIE`` more); a cut follows the last
+byte with the smallest value of every ``REACH`` bytes. Cuts therefore depend on
+nearby content alone, an insertion moves the chunks behind it without changing
+them, and no stretch, periodic ones included, is without cuts. Chunks of a
+period of a few bytes are joined to about ``JOIN`` bytes from the first of their
+run, so that they are equal whatever its length. Chunks are deduplicated by
+digest, each taken with its successor so that a short chunk of common words is no
+match by itself. A run of repeated chunks of at least ``MIN_WORDS`` words is a
+repeated passage. A passage loses at most ``MAX_CHUNK`` bytes at its start and
+``REACH`` at its end, and a periodic one the joined chunk of its last bytes, so
+one of over 50 words holds such a run unless these edges hold over half of its
+words, as they can where words are short.
 
 Defined results: null and empty texts have no chunks; rows with a null id take
 no part; repeats inside one document do not count, nor do repeated rows of one
-id; an empty table gives an empty result; a stretch without cuts is cut every
-``MAX_CHUNK`` bytes; other columns are ignored. Offsets are code points.
+id; an empty table gives an empty result; other columns are ignored. Offsets are
+code points.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ from . import bytewords as B
 from .shared import ship, slices, stored
 
 WINDOW = 8                     # bytes that the low bits of the gear hash see
-MASK = np.uint8(0xF0)          # the highest bits of a byte: one place in 16
-QUIET = 11
-MAX_CHUNK = 500
+TIE = 4                        # bytes further back that break ties
+REACH = 64                     # bytes of which one has a cut behind it: chunks of about 33 bytes
+MAX_CHUNK = WINDOW + TIE + REACH
+JOIN = 32                      # bytes to which chunks of half of that and less are joined in a run of equal ones
 MIN_WORDS = 25
 GEAR = (B.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
@@ -46,6 +52,36 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _cuts(data: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The last smallest byte of every ``REACH`` bytes of a text; ``place`` and
+    ``left`` count a text's bytes before a byte and from it on."""
+    n = len(data)
+    if n < MAX_CHUNK:
+        return np.zeros(0, np.int64)
+    h = gear_hash(data).astype(np.int64)
+    low = (h << 48) | np.arange(n - 1, -1, -1)          # of equal ones the last
+    low[TIE:] |= h[:-TIE] << 40
+    for step in (1, 2, 4, 8, 16, 32):
+        low = np.minimum(low[:-step], low[step:])
+    whole = np.flatnonzero((place[:len(low)] >= WINDOW - 1 + TIE) & (left[:len(low)] >= REACH))
+    at = n - 1 - (low[whole] & ((1 << 40) - 1))
+    return at[np.diff(at, prepend=-1) > 0]
+
+
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The chunk ends that stay when runs of equal short chunks are joined."""
+    size = end - start
+    short = np.flatnonzero(size <= JOIN // 2)
+    digest = np.zeros(len(start), np.uint64)
+    digest[short] = B.hash_spans(data, start[short], end[short])
+    same = np.zeros(len(start), bool)                   # as the chunk before
+    same[1:] = ((size[1:] <= JOIN // 2) & (size[1:] == size[:-1]) & (digest[1:] == digest[:-1])
+                & (text[1:] == text[:-1]))
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(start))))
+    number = np.arange(len(start)) - first + 1
+    return end[~np.append(same[1:], False) | (number % np.maximum(JOIN // size, 1) == 0)]
+
+
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every chunk of every text of a slice, in bytes."""
     n = len(data)
@@ -53,18 +89,11 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return (np.zeros(0, np.int64),) * 3
     size = np.diff(off)
     place = np.arange(n) - np.repeat(off[:-1], size)
-    mark = ((gear_hash(data) & MASK) == 0) & (place >= WINDOW - 1)
-    at = np.flatnonzero(mark)
-    near = np.zeros(len(at), bool)
-    if len(at) > 1:                       # marks of another text do not silence one
-        near[1:] = (at[1:] - at[:-1] <= QUIET) & (place[at[1:]] - (at[1:] - at[:-1]) >= WINDOW - 1)
-    ends = np.unique(np.concatenate([at[~near] + 1, off[1:][size > 0]]))
+    left = np.repeat(off[1:], size) - np.arange(n)
+    ends = np.unique(np.concatenate([_cuts(data, place, left) + 1, off[1:][size > 0]]))
+    starts = np.concatenate([[0], ends[:-1]])
+    ends = _joined(data, starts, ends, np.searchsorted(off, starts, side="right") - 1)
     starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > MAX_CHUNK)
-    if len(long):
-        extra = [np.arange(starts[i] + MAX_CHUNK, ends[i], MAX_CHUNK) for i in long]
-        ends = np.sort(np.concatenate([ends, *extra]))
-        starts = np.concatenate([[0], ends[:-1]])
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 

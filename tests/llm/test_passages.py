@@ -61,6 +61,22 @@ def test_repeated_passages_are_found(spark):
                 assert text[d][a:z] in text[d - 1000 if d >= 1000 else d + 1000] and first == d % 1000
 
 
+def test_repeated_phrases_and_passages_just_over_fifty_words(spark):
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(240):
+        if i % 4 == 0:
+            passage = " ".join(word(5) for _ in range(51))
+        else:                                      # a word, a phrase or a slogan over and over
+            phrase = " ".join(word(r.randint(4, 7)) for _ in range(r.randint(1, 8)))
+            passage = " ".join([phrase] * (-(-70 // len(phrase.split()))))
+        for k in range(2):
+            rows.append((1000 * k + i, f"{_prose(r, r.randint(5, 80))} {passage} {_prose(r, r.randint(5, 80))}"))
+    hit = {x.doc_id for x in S.repeated_passages(frame(spark, rows)).select("doc_id").collect()}
+    assert hit == {i for i, _ in rows}
+
+
 def test_substring_odd_rows(spark):
     got = S.repeated_passages(frame(spark, odd_rows())).collect()
     assert {r.doc_id for r in got} == {8, 9} and {r.first_doc_id for r in got} == {8}
