@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules,
+from . import (decontamination, filter_audit, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules,
                substring_dedup, token_files, warc)
 from .shared import stored
 
@@ -60,10 +60,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_license_scan, op6_pii,
-        op7_substring_dedup, op8_token_files, op9_quality_classifier, op10_ngram_join)}
+        op7_substring_dedup, op8_token_files, op9_quality_classifier, op10_ngram_join, op11_filter_audit)}
 #: DuckDB SQL where it can express an operator.
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -73,4 +77,46 @@ ORACLE: dict[str, str] = {
         FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS low
               FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
     """,
+    # Every document against every order: a step removes what fails its filter and
+    # none of those before it.
+    "op11_filter_audit": """
+        WITH RECURSIVE orders(o) AS (
+            SELECT '' UNION ALL
+            SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)),
+        texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low
+            FROM documents),
+        marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        fails AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS mask
+            FROM texts LEFT JOIN marks USING (doc_id)),
+        masks AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM fails GROUP BY part, mask),
+        steps AS (SELECT o, s, o[s:s] AS f, o[1:s - 1] AS before FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+        counted AS (
+            SELECT part, o, s, f,
+                   sum(CASE WHEN regexp_matches(mask, '[' || before || f || ']') THEN 0 ELSE n END) AS kept,
+                   sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, '[' || before || '_]') THEN n ELSE 0 END)
+                       AS removed,
+                   sum(CASE WHEN contains(mask, f) AND regexp_matches(mask, '[' || before || '_]') THEN n ELSE 0 END)
+                       AS redundant,
+                   sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, '[' || before || '_]') THEN good ELSE 0 END)
+                       AS good_lost,
+                   sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, '[' || before || '_]') THEN toxic ELSE 0 END)
+                       AS toxic_lost
+            FROM masks, steps GROUP BY part, o, s, f)
+        SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+               redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+               toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM counted
+    """,
 }
