@@ -124,4 +124,76 @@ ORACLE: dict[str, str] = {
                toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
         FROM counted
     """,
+    # All edits of one row after the other, the least (cost, audit) of each state kept.
+    # States: 0 nothing yet, 1 system, 2 user, 3 a pair is complete. crc32 by its table.
+    "op12_conversation_repair": """
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        named AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+            FROM conversations),
+        keyed AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || list_transform(range(length(k)),
+                       lambda i: ascii(k[i + 1])::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])),
+                       4294967295) % 20 AS f
+            FROM named, t),
+        harmed AS (
+            SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                   CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, c
+            FROM keyed, (SELECT unnest([1, 2]) AS c) WHERE f <> 0 AND (c = 1 OR f = 3)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), c) AS n
+            FROM harmed),
+        seen AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+                   NOT regexp_matches(text, '[^ \x09-\x0D]') AS blank,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS former
+            FROM placed),
+        ruled AS (
+            SELECT conv_id, turn, role, text, n, blank, again AND NOT blank AS duplicate,
+                   NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ \x09-\x0D]*$') AS truncated,
+                   former IS NOT NULL AND former[1:1] || role[1:1] NOT IN ('su', 'ua', 'au') AS illegal
+            FROM seen),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                   count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(n) AS last
+            FROM ruled GROUP BY conv_id),
+        gap(a, z, cost, letters, body) AS (
+            SELECT s, s, 0, '', '' FROM range(4) r(s) UNION ALL
+            VALUES (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+                   (2, 3, 3, 'I', chr(10) || 'assistant:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+                   (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+        edits AS (
+            SELECT conv_id, n, a, z, cost + CASE WHEN truncated AND l <> 'D' THEN 3 ELSE 0 END AS cost, l,
+                   CASE WHEN l = 'D' THEN '' ELSE chr(10) || CASE WHEN l = 'K' THEN role WHEN z = 2 THEN 'user'
+                        ELSE 'assistant' END || ':' || text END AS body
+            FROM ruled, (VALUES (0, 0, 4, 'D', ''), (1, 1, 4, 'D', ''), (2, 2, 4, 'D', ''), (3, 3, 4, 'D', ''),
+                                (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'),
+                                (2, 3, 0, 'K', 'a'), (0, 2, 3, 'R', ''), (1, 2, 3, 'R', ''), (3, 2, 3, 'R', ''),
+                                (2, 3, 3, 'R', '')) e(a, z, cost, l, initial)
+            WHERE l = 'D' OR NOT (blank OR duplicate) AND (l = 'R' OR role[1:1] = initial)),
+        walk(conv_id, n, s, x) AS (
+            SELECT conv_id, 0::BIGINT, 0, {'cost': 0, 'audit': '', 'body': ''} FROM counted
+            UNION ALL
+            SELECT w.conv_id, w.n + 1, e.z, min({'cost': (w.x).cost + g.cost + e.cost,
+                'audit': (w.x).audit || g.letters || e.l, 'body': (w.x).body || g.body || e.body})
+            FROM walk w JOIN gap g ON g.a = w.s
+            JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.n = w.n + 1 AND e.a = g.z
+            GROUP BY w.conv_id, w.n, e.z),
+        done AS (
+            SELECT w.conv_id, min({'cost': (w.x).cost + g.cost, 'audit': (w.x).audit || g.letters,
+                                   'body': (w.x).body || g.body}) AS x
+            FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.last = w.n
+            JOIN gap g ON g.a = w.s AND (g.z = 3 OR g.z = 0) GROUP BY w.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce((x).cost, 0)::BIGINT AS cost,
+               coalesce((x).audit, '') AS audit, sha256(coalesce((x).body[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
