@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (conversation_repair, decontamination, filter_audit, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules,
-               substring_dedup, token_files, warc)
+from . import (conversation_repair, decontamination, dimension_scan, filter_audit, license_scan, ngram_join,
+               packing, pii, quality_classifier, quality_rules, substring_dedup, token_files, warc)
 from .shared import stored
 
 
@@ -68,11 +68,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_decontamination, op3_quality_rules, op4_best_fit_packing, op5_license_scan, op6_pii,
         op7_substring_dedup, op8_token_files, op9_quality_classifier, op10_ngram_join, op11_filter_audit,
-        op12_conversation_repair)}
+        op12_conversation_repair, op13_dimension_scan)}
 #: DuckDB SQL where it can express an operator.
 ORACLE: dict[str, str] = {
     "op1_warc": """
