@@ -1,8 +1,9 @@
 """Token-id shard files with a minimal perfect hash index (operator 8).
 
-Documents are range-partitioned and sorted by id, encoded, and written as shard
-files of bounded size through Spark's text sink (one binary cell per file), so
-any file system and the usual commit protocol work. A shard file:
+Documents are encoded where they are read; only their ids are then range-partitioned,
+sorted by key and written as shard files of bounded size through Spark's text sink
+(one binary cell per file), so any file system and the usual commit protocol work.
+A writer holds the ids of one shard and no text. A shard file:
 
     magic "QTOKENS1", then eleven little-endian int64: id width in bytes,
     partition, number in the partition, rows, ids, rows with a null key (they
@@ -15,7 +16,8 @@ any file system and the usual commit protocol work. A shard file:
 Keyed access is constant-time: a key's bucket gives a seed, bucket and seed give
 its slot, the slot's fingerprint tells whether the key is there, and its rows
 lie together. Repeated keys share a slot; rows of one key may go on in the next
-shard, whose range then begins with that key.
+shard, whose range then begins with that key. A manifest beside the shards has the
+range of keys of each, so that ``lookup`` opens only the shards concerned.
 
 Defined results: a null or empty text is the end id alone; null ids are written
 first and cannot be looked up; repeated ids each keep their row; an empty table
@@ -36,11 +38,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .bytewords import mix
-from .shared import shared_path, ship, shuffle_parts, slices, stored, text_bytes
+from .shared import shared_path, ship, shuffle_parts, slices, stored
 
 MAGIC = b"QTOKENS1"
 SHARD_IDS = 1 << 20               # ids after which a shard is closed
-PART_BYTES = 24 << 20
+PART_BYTES = 16 << 20             # of ids, in one range partition
+TRIED = 1 << 18                   # slots looked at at once when a hash is built
 
 
 class PerfectHash:
@@ -61,7 +64,9 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> "PerfectHash":
-        """For distinct keys."""
+        """For distinct keys. Buckets of one size are placed together: all that wait
+        try some seeds at once, each takes its first one whose slots are free, and of
+        those that want the same slot the first bucket gets it."""
         n = len(keys)
         buckets = n // 4 + 1
         b = cls._bucket(keys, buckets)
@@ -70,25 +75,31 @@ class PerfectHash:
         size = np.diff(first)
         taken = np.zeros(n, bool)
         seeds = np.zeros(buckets, np.int64)
-        for k in np.argsort(-size, kind="stable").tolist():
-            own = keys[order[first[k]:first[k + 1]]]
-            if len(own) == 0:
-                break
-            if len(own) == 1:
-                break
-            at = 0
-            while True:
-                tries = np.arange(at, at + 16)
-                slots = cls._slot(np.tile(own, 16), np.repeat(tries, len(own)), n).reshape(16, len(own))
-                free = ~taken[slots].any(1)
-                s = np.sort(slots, 1)
-                free &= (s[:, 1:] != s[:, :-1]).all(1)
-                if free.any():
-                    i = int(np.argmax(free))
-                    seeds[k] = at + i
-                    taken[slots[i]] = True
-                    break
-                at += 16
+        for many in range(int(size.max(initial=0)), 1, -1):
+            wait = np.flatnonzero(size == many)
+            own = keys[order[first[wait][:, None] + np.arange(many)]]            # (buckets, keys)
+            at = np.zeros(len(wait), np.int64)
+            while len(wait):
+                tries = int(np.clip(TRIED // (len(wait) * many), 1, 4096))
+                seed = at[:, None] + np.arange(tries)
+                slots = cls._slot(own[:, None, :], seed[:, :, None], n)           # (buckets, tries, keys)
+                fits = ~taken[slots].any(2)
+                i, t = np.nonzero(fits)
+                s = np.sort(slots[i, t], 1)
+                fits[i, t] = (s[:, 1:] != s[:, :-1]).all(1)
+                has = np.flatnonzero(fits.any(1))
+                t = fits[has].argmax(1)
+                want = slots[has, t]
+                _, owner = np.unique(want.ravel(), return_index=True)             # the first that wants a slot
+                gets = np.bincount(owner // many, minlength=len(has)) == many
+                done = has[gets]
+                seeds[wait[done]] = seed[done, t[gets]]
+                taken[want[gets].ravel()] = True
+                at += tries
+                at[has[~gets]] -= tries - t[~gets] - 1                            # go on behind the seed that was lost
+                left = np.ones(len(wait), bool)
+                left[done] = False
+                wait, own, at = wait[left], own[left], at[left]
         seeds[np.flatnonzero(size == 1)] = -1 - np.flatnonzero(~taken)[:int((size == 1).sum())]
         return cls(seeds, n)
 
@@ -152,28 +163,49 @@ class Shard:
         return [self.row(r) for r in range(int(first[0]), int(first[0] + n[0]))]
 
 
-def _shard_writer(vocabulary: str):
+def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids): the raw ids of every document, with the end id."""
+    vocabulary = vocabulary or tokens.default_vocabulary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
-        width = 2 if enc.size <= 1 << 16 else 4
+        width = id_width(enc)
+        for b, data, off in slices(batches):
+            ids, at = enc.encode(data, off)
+            raw = memoryview(ids.astype(f"<u{width}").tobytes())
+            at = (at * width).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, ids binary")
+
+
+def id_width(enc: tokens.Encoder) -> int:
+    return 2 if enc.size <= 1 << 16 else 4
+
+
+def _shard_writer(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         keys, pieces, sizes, total = [], [], [], 0
 
         def close():
             nonlocal keys, pieces, sizes, total, number
-            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            raw = make_shard(part, number, keys, np.concatenate(pieces), starts, width)
+            ids = np.frombuffer(b"".join(pieces), f"<u{width}")
+            raw = make_shard(part, number, keys, ids, np.concatenate([[0], np.cumsum(sizes)]), width)
             keys, pieces, sizes, total, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["value"])
 
-        for b, data, off in slices(batches):
-            ids, at = enc.encode(data, off)
-            keys += b.column(0).to_pylist()
-            pieces.append(ids.astype(f"<u{width}"))
-            sizes.append(np.diff(at))
-            total += len(ids)
-            if total >= SHARD_IDS:
-                yield close()
+        for b in batches:
+            for key, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                own = ids.as_py()
+                keys.append(key)
+                pieces.append(own)
+                sizes.append(len(own) // width)
+                total += sizes[-1]
+                if total >= SHARD_IDS:
+                    yield close()
         if keys:
             yield close()
     return run
@@ -183,16 +215,85 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     """Write the shard files of ``docs`` under ``path``, in ascending id order."""
     spark = docs.sparkSession
     ship(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = max(shuffle_parts(spark), -(-text_bytes(own) // PART_BYTES))
+    vocabulary = vocabulary or tokens.default_vocabulary()
+    ids = stored(encoded(docs, vocabulary), "ids")
+    total = int(ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
+    n = max(shuffle_parts(spark), -(-total // PART_BYTES))
     # The hash spreads the rows of an id that repeats very often.
-    ordered = (own.withColumn("__tie", F.xxhash64("text", F.monotonically_increasing_id()))
+    ordered = (ids.withColumn("__tie", F.xxhash64("ids", F.monotonically_increasing_id()))
                .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__tie")
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__tie").select("doc_id", "text"))
-    cells = ordered.mapInArrow(_shard_writer(vocabulary or tokens.default_vocabulary()), "value binary")
+               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__tie").select("doc_id", "ids"))
+    cells = ordered.mapInArrow(_shard_writer(id_width(tokens.encoder(vocabulary))), "value binary")
     cells.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, cell in zip(b.column(0).to_pylist(), b.column(1)):
+            s = Shard(cell.as_py())
+            if s.rows > s.nulls:
+                yield pa.RecordBatch.from_pylist(
+                    [{"part": s.part, "number": s.number, "low": int(s.keys[s.nulls]), "high": int(s.keys[-1]), "path": path}],
+                    pa.schema([("part", pa.int64()), ("number", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+                               ("path", pa.string())]))
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """The range of keys of every shard under ``path``, as a table in its ``_manifest``."""
+    ship(spark)
+    shards = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
+    shards.mapInArrow(_ranges, "part long, number long, low long, high long, path string").write.parquet(
+        f"{path}/_manifest")
+
+
+def shards_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, path): the shards whose range holds a key. Ranges ascend by partition and
+    overlap in their ends only: the driver hands out the partitions' bounds (two
+    numbers a partition), the shards of a partition are a join."""
+    manifest = spark.read.parquet(f"{path}/_manifest")
+    bounds = sorted((r["low"], r["high"], r["part"]) for r in manifest.groupBy("part").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).collect())
+    low, high, part = (np.array([b[i] for b in bounds], np.int64) for i in range(3))
+    shared = spark.sparkContext.broadcast((low, high, part))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, part = shared.value
+        for b in batches:
+            key = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            a, z = np.searchsorted(high, key, "left"), np.searchsorted(low, key, "right")
+            n = np.maximum(z - a, 0)
+            which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(part[which])], ["key", "part"])
+
+    own = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).where(F.col("key").isNotNull()).distinct()
+    return own.mapInArrow(run, "key long, part long").join(manifest, "part").where(
+        F.col("key").between(F.col("low"), F.col("high"))).select("key", "path")
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, ids): the raw ids of every row whose key is in the first column of
+    ``keys``. Only the shards concerned are opened; their names, not their keys, are
+    gathered. Keys that no shard has give no row."""
+    ship(spark)
+    places = stored(shards_of(spark, path, keys), "places")
+    paths = [r["path"] for r in places.select("path").distinct().collect()]
+    if not paths:
+        return places.select(F.col("key").alias("doc_id"), F.lit(b"").alias("ids"))
+    asked = places.groupBy("path").agg(F.collect_list("key").alias("keys"))     # at most the keys of one shard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, own in zip(b.column(0), b.column(1).to_pylist()):
+                s = Shard(cell.as_py())
+                rows = [(k, s.row(r).tobytes()) for k, f, n in zip(own, *s.find(np.array(own, np.int64)))
+                        for r in range(f, f + n)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()),
+                                                  pa.array([x for _, x in rows], pa.binary())], ["doc_id", "ids"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").join(asked, "path").select(
+        "content", "keys").mapInArrow(run, "doc_id long, ids binary")
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Raw shards: one row per file with its bytes (bounded by the shard size)."""
     return spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
