@@ -13,10 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_R = 0x9E3779B97F4A7C15 | 1           # multiplier of the polynomial hash
-_R_INV = pow(_R, -1, 1 << 64)
-_SLAB = 1 << 20                       # bytes hashed at once
-_CACHE: dict[str, np.ndarray] = {}
+_R = 0x9E3779B97F4A7C15               # odd multiplier
+_FOLD = 64                            # blocks mixed one after the other; longer runs are folded
 
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,34 +63,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64 for i up to n."""
-    if "up" not in _CACHE or len(_CACHE["up"]) <= n:
-        size = max(n + 1, _SLAB + 1)
-        for name, r in (("up", _R), ("down", _R_INV)):
-            step = np.full(size, r, np.uint64)
-            step[0] = 1
-            _CACHE[name] = np.multiply.accumulate(step)
-    return _CACHE["up"], _CACHE["down"]
+def _fold(block: np.ndarray, first: np.ndarray, count: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """One number for each run of ``count`` blocks from ``first``: its blocks mixed
+    in one after the other, all runs at once. Runs of over ``_FOLD`` blocks are
+    folded into fewer before."""
+    h = mix(seed + np.uint64(_R))
+    own, k = np.flatnonzero((count > 0) & (count <= _FOLD)), 0
+    while len(own):
+        h[own] = mix(h[own] * np.uint64(_R) ^ block[first[own] + k])
+        k += 1
+        own = own[count[own] > k]
+    long = np.flatnonzero(count > _FOLD)
+    if len(long):
+        parts = -(-count[long] // _FOLD)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        part = _fold(block, np.repeat(first[long], parts) + nth * _FOLD,
+                     np.minimum(np.repeat(count[long], parts) - nth * _FOLD, _FOLD), nth.astype(np.uint64))
+        h[long] = _fold(part, np.cumsum(parts) - parts, parts, seed[long])
+    return h
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each of the ascending, disjoint byte spans."""
+    """Hash of each byte span: its length and its 8-byte blocks, mixed one after
+    the other. Spans of one length up to 8 bytes have different hashes."""
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    count = -(-size // 8)
     out = np.empty(len(start), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    total = np.concatenate([[0], np.cumsum(count)])
     i = 0
-    while i < len(start):
-        base = int(start[i])
-        j = int(np.searchsorted(end, base + _SLAB, side="right"))
-        j = max(j, i + 1)                       # a longer span is a slab of its own
-        up, down = _powers(int(end[j - 1]) - base)
-        total = np.empty(int(end[j - 1]) - base + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((data[base:end[j - 1]].astype(np.uint64) + np.uint64(1)) * up[:len(total) - 1],
-                  out=total[1:])
-        a = start[i:j] - base
-        out[i:j] = (total[end[i:j] - base] - total[a]) * down[a]
+    while i < len(start):                                  # a bounded number of blocks, or one span
+        j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 17), side="right")) - 1)
+        n = count[i:j]
+        place = np.repeat(start[i:j] - 8 * (total[i:j] - total[i]), n) + 8 * np.arange(total[j] - total[i])
+        block = view[place].view("<u8")[:, 0]
+        short = np.flatnonzero(size[i:j] % 8)              # the last block has fewer bytes
+        last = total[i + 1:j + 1][short] - total[i] - 1
+        block[last] &= (np.uint64(1) << (size[i:j][short] % 8 * 8).astype(np.uint64)) - np.uint64(1)
+        out[i:j] = _fold(block, total[i:j] - total[i], n, size[i:j].astype(np.uint64))
         i = j
-    return mix(out)
+    return out
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` from each ``at`` equal those of ``b`` from ``bt``."""
+    out = np.ones(len(size), bool)
+    some = np.flatnonzero(size)
+    if len(some):
+        n = size[some]
+        first = np.cumsum(n) - n
+        nth = np.arange(n.sum()) - np.repeat(first, n)
+        out[some] = np.logical_and.reduceat(
+            a[np.repeat(at[some], n) + nth] == b[np.repeat(bt[some], n) + nth], first)
+    return out
 
 
 def find_words(data: np.ndarray, off: np.ndarray, table: np.ndarray,

@@ -19,10 +19,10 @@ from array import array
 
 import numpy as np
 
-from .bytewords import hash_spans
+from .bytewords import hash_spans, same_bytes
 
 END = 0                           # id after every document
-CACHE = 1_000_000                 # stretches kept per worker, about 30 bytes each
+CACHE = 1_000_000                 # stretches kept per worker, about 50 bytes each
 RECENT = 100_000                  # newest ones, kept apart from the sorted table
 _ENCODERS: dict[str, "Encoder"] = {}
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|]*)\Z")
@@ -62,12 +62,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.pool, self.start = array("I", [END]), array("q", [0, 1])   # number 0: the end of a text
-        self.tables = [self._table(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))] * 2
+        self.text, self.text_at = bytearray(), array("q", [0, 0])        # the bytes of each number
+        self.tables = [self._table(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
 
     @staticmethod
-    def _table(key: np.ndarray, tag: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
-        return key[order], tag[order], number[order]
+        return key[order], number[order]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,33 +103,54 @@ class Encoder:
             close(size)
         return number
 
+    def _kept_same(self, number: np.ndarray, data: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the stretches kept as ``number`` have these bytes."""
+        at = np.frombuffer(self.text_at, np.int64)
+        same = at[number + 1] - at[number] == size
+        i = np.flatnonzero(same)
+        same[i] = same_bytes(np.frombuffer(self.text, np.uint8), at[number[i]], data, a[i], size[i])
+        return same
+
     def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The pool number of every stretch."""
+        """The pool number of every stretch. Equal hashes only say where to look: the
+        bytes decide. A stretch whose hash another one has is encoded by itself."""
         h = hash_spans(data, start, end)
         key, at, which = np.unique(h, return_index=True, return_inverse=True)
+        size = end - start
+        other = size != size[at][which]
+        i = np.flatnonzero(~other & (size > 8))           # shorter ones of one length have their own hashes
+        other[i] = ~same_bytes(data, start[i], data, start[at[which[i]]], size[i])
         a, z = start[at], end[at]
-        tag = ((z - a).astype(np.uint32) << np.uint32(24)) | (data[(a + z) // 2].astype(np.uint32) << np.uint32(16)) \
-            | (data[z - 1].astype(np.uint32) << np.uint32(8)) | data[np.minimum(a + 1, z - 1)]
         number = np.full(len(key), -1, np.int64)
-        clash = np.zeros(len(key), bool)       # equal hashes of unequal stretches: encoded, not kept
-        for k, t, n in self.tables:
+        clash = np.zeros(len(key), bool)
+        for k, n in self.tables:
             if len(k):
                 i = np.minimum(np.searchsorted(k, key), len(k) - 1)
-                hit = k[i] == key
-                clash |= hit & (t[i] != tag)
-                number = np.where(hit & (t[i] == tag), n[i], number)
+                hit = np.flatnonzero(k[i] == key)
+                same = self._kept_same(n[i[hit]], data, a[hit], (z - a)[hit])
+                clash[hit[~same]] = True
+                number[hit[same]] = n[i[hit[same]]]
         new = np.flatnonzero(number < 0)
-        if len(new):
+        odd = np.flatnonzero(other)
+        if len(new) or len(odd):
             raw = data.tobytes()
-            number[new] = self._learn([raw[x:y].decode("utf-8", "replace")
-                                       for x, y in zip(a[new].tolist(), z[new].tolist())])
+            fresh = [raw[x:y] for x, y in zip(np.concatenate([a[new], start[odd]]).tolist(),
+                                              np.concatenate([z[new], end[odd]]).tolist())]
+            learnt = self._learn([x.decode("utf-8", "replace") for x in fresh])
+            for i in np.argsort(learnt).tolist():
+                self.text += fresh[i]
+                self.text_at.append(len(self.text))
+            number[new] = learnt[:len(new)]
             keep = new[~clash[new]]
-            recent = self._table(*(np.concatenate([x, y[keep]]) for x, y in zip(self.tables[1], (key, tag, number))))
+            recent = self._table(*(np.concatenate([x, y[keep]]) for x, y in zip(self.tables[1], (key, number))))
             if len(recent[0]) > RECENT:
                 self.tables = [self._table(*(np.concatenate(x) for x in zip(self.tables[0], recent))),
                                tuple(x[:0] for x in recent)]
             else:
                 self.tables = [self.tables[0], recent]
+            out = number[which]
+            out[odd] = learnt[len(new):]
+            return out
         return number[which]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,12 @@ def frame(spark, rows):
     return df
 
 
+def twins(n=2048):
+    """Two texts of one word whose polynomial hashes modulo 2^64 are equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 

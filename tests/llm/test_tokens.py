@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from quadrat.llm import packing, token_files, tokens
 from quadrat.llm.shared import shared_path
 
-from .common import frame, odd_rows
+from .common import frame, odd_rows, twins
 
 ALPHABET = ["a", "Word", " ", "  ", "\n", "\t", "é", "ß", "1", "'s", "<|endoftext|>", "　", "\u0085", "\xa0", "!", "中",
             "\x1c", "'ll ", "\r\n", "🙂", "​", "\0", "½ ", " |", "...", "##", " été,"]
@@ -26,6 +27,27 @@ def test_ids_equal_the_plain_pipeline():
     assert len(enc.encode_texts([])[0]) == 0
 
 
+@pytest.mark.parametrize("value", [lambda n: n * 0, lambda n: n % 3])
+def test_ids_do_not_rest_on_hashes(monkeypatch, value):
+    # Only stretches of one length up to 8 bytes are sure to have different hashes.
+    real = tokens.hash_spans
+    monkeypatch.setattr(tokens, "hash_spans", lambda data, a, z: np.where(
+        z - a > 8, value((z - a).astype(np.uint64)), real(data, a, z) % np.uint64(1 << 60)))
+    monkeypatch.setattr(tokens, "RECENT", 5)
+    enc, r = tokens.Encoder(tokens.default_vocabulary()), random.Random(2)
+    for _ in range(4):
+        texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 30))) for _ in range(60)] + list(twins())
+        ids, off = enc.encode_texts(texts)
+        for i, t in enumerate(texts):
+            assert ids[off[i]:off[i + 1]].tolist() == _plain(enc, t), t
+
+
+def test_regular_texts():
+    enc = tokens.encoder(tokens.default_vocabulary())
+    ids, off = enc.encode_texts(list(twins()))
+    assert [ids[off[i]:off[i + 1]].tolist() for i in (0, 1)] == [_plain(enc, t) for t in twins()]
+
+
 def test_other_vocabulary_goes_text_by_text():
     import public_tokenizers
     enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
@@ -73,6 +95,32 @@ def test_keyed_access(spark):
     assert {k: v[0] for k, v in found.items()} == want and all(len(v) == 1 for v in found.values())
 
 
+def test_hash_is_built_fast():
+    keys = np.arange(80_000) * 977 + 5
+    began = time.process_time()
+    ph = token_files.PerfectHash.build(keys)
+    assert time.process_time() - began < 4 and sorted(ph.lookup(keys)) == list(range(len(keys)))
+
+
+def test_lookup_opens_the_shards_concerned(spark, monkeypatch):
+    rows = [(i * 3, f"text number {i} " * (i % 40)) for i in range(600)] + [(900, f"again {i}") for i in range(200)]
+    path = shared_path(spark, "shards")
+    monkeypatch.setattr(token_files, "SHARD_IDS", 300)
+    token_files.write_shards(frame(spark, rows + [(None, "no key")]), path)
+    token_files.write_manifest(spark, path)
+    files = token_files.read_shards(spark, path).count()
+    want = _want(rows)
+    asked = [0, 3, 4, 900, 1797, -5, 10_000, None]
+    keys = spark.createDataFrame([(k,) for k in asked + asked], "k int")
+    got = token_files.lookup(spark, path, keys).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == sorted(
+        (i, x.astype("<u2").tobytes()) for i, x in want if i in asked)
+    opened = token_files.shards_of(spark, path, keys.where("k < 10")).select("path").distinct().count()
+    assert files > 20 and 1 <= opened <= 2
+    assert token_files.lookup(spark, path, keys.where("k = 4")).count() == 0
+    assert token_files.lookup(spark, path, keys.limit(0)).count() == 0
+
+
 def _check(rows, pieces, size):
     want = {i: x for i, x in _want(rows)}
     for i, x in want.items():

@@ -8,6 +8,8 @@ from quadrat.llm import bytewords as B
 from quadrat.llm.shared import text_buffers
 import pyarrow as pa
 
+from .common import twins
+
 TEXT = st.text(alphabet=list("ab1 .\n\té中\x0b-"), max_size=30)
 
 
@@ -36,3 +38,24 @@ def test_long_spans_hash_alike():
     raw = np.frombuffer(b"x" * 3_000_000 + b" y", np.uint8)
     w = B.find_words(raw, np.array([0, len(raw)]), B.SPACED)
     assert len(w.hash) == 2 and w.hash[0] == B.word_hash(b"x" * 3_000_000) and w.hash[1] == B.word_hash("y")
+
+
+def test_regular_words_and_parts_of_texts():
+    a, b = twins()
+    assert B.word_hash(a) != B.word_hash(b) and B.word_hash(a[:1024]) != B.word_hash(b[:1024])
+    r = np.random.default_rng(1)
+    data = r.integers(97, 99, 200_000, dtype=np.uint8)
+    end = np.cumsum(r.choice([0, 1, 7, 8, 9, 63, 64, 65, 511, 512, 513, 5000, 40_000], 60))
+    end = end[end <= len(data)]
+    start = np.concatenate([[0], end[:-1]])
+    got = B.hash_spans(data, start, end)
+    for x, a, z in zip(got, start, end):           # alike, whatever else is hashed
+        assert x == B.hash_spans(data[a:z], np.array([0]), np.array([z - a]))[0]
+    pairs = {data[a:z].tobytes(): x for x, a, z in zip(got, start, end)}
+    assert len(set(pairs.values())) == len(pairs)
+
+
+def test_same_bytes():
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"abcabd", b"xxabc"))
+    got = B.same_bytes(a, np.array([0, 3, 5, 0]), b, np.array([2, 2, 0, 0]), np.array([3, 3, 0, 1]))
+    assert got.tolist() == [True, False, True, False]
