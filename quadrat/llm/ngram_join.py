@@ -31,8 +31,9 @@ emitted the coarser blocks, so the bound holds for the one that stops first.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is its own component; equal sets are linked; a null id gives a row with
-a null component; of repeated ids each row is returned and they are one vertex;
-an empty table gives an empty result; other columns are ignored.
+a null component; of repeated ids each row is returned with the component of its
+own text, so that texts are never linked by an id alone; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bytewords as B
 from .components import components
@@ -57,6 +59,7 @@ BLOCK_ROWS = 512      # rows of a block of the product
 BLOCK_GRAMS = 400_000
 PIVOTS = 8            # expected, per cluster of more than one block
 KEY_BYTES = 5         # bytes of a signature that travel, beside its partition
+CLASS, GONE_ID, GONE_CLASS = (f"__{x}_of_ngram_join" for x in ("class", "gone_id", "gone_class"))
 INFO = np.dtype([("owner", "<u8"), ("n", "<i8"), ("k", "<i4"), ("fine", "<i4")])
 
 
@@ -303,8 +306,10 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(d == b.column(b.schema.get_field_index("cls")).to_numpy()))
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls) of every row, and of every class of equal sets that
+    a row with an id has (cls, low, root, component_id): its smallest id, the class
+    that stands for its group, and the smallest id of the group."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -345,12 +350,24 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     named = (components(links).select(F.col("vertex").alias("cls"), F.col("component").alias("root"))
              .join(known.select("cls", "low"), "cls"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked_to = named.join(least, "root").select("cls", "component_id")
-    of_class = known.join(linked_to, "cls", "left").select(
-        "cls", F.coalesce("component_id", "low").alias("component_id"))
-    alone = (F.col("cls") == 0) | F.col("doc_id").isNull()
-    return (member.where(~alone).join(of_class, "cls").select("doc_id", "n_shingles", "component_id")
-            .union(member.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    linked_to = named.join(least, "root").select("cls", "root", "component_id")
+    # Stored, so that both sides of a later join by class are plain exchanges, of
+    # which Spark splits the parts that hold a text with very many copies.
+    return member, stored(known.join(linked_to, "cls", "left").select(
+        "cls", "low", F.coalesce("root", "cls").alias("root"),
+        F.coalesce("component_id", "low").alias("component_id")), "classes")
+
+
+def _alone() -> Column:
+    """Rows that are linked with nothing: without words, or without an id."""
+    return (F.col("cls") == 0) | F.col("doc_id").isNull()
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    member, classes = _classes(docs)
+    return (member.where(~_alone()).join(classes, "cls").select("doc_id", "n_shingles", "component_id")
+            .union(member.where(_alone()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
 def _rest(large: DataFrame, links: DataFrame) -> DataFrame:
@@ -371,9 +388,34 @@ def _rest(large: DataFrame, links: DataFrame) -> DataFrame:
         "cluster", "strip", "block")
 
 
+def _with_class(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and, as ``name``, the class of each row's text."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in slices(batches):
+            yield b.append_column(name, pa.array(digests(*sets(data, off)).view(np.int64)))
+
+    assert docs.schema[at].name == "text"
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group (the smallest id), with all columns. A row with
-    a null id is kept, and so is one row of each repeated id and text."""
-    gone = (ngram_join(docs).where(F.col("component_id") != F.col("doc_id"))
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group, with all columns: of the rows with its smallest id,
+    one. Rows without an id or without words are linked with nothing and stay. Rows
+    are told apart by id and text, so that a repeated id loses none of its texts."""
+    member, classes = _classes(docs)
+    first = classes.groupBy("root").agg(F.min(F.struct("low", "cls")).alias("w")).select("w.cls", "w.low")
+    pairs = member.where(~_alone()).groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"))
+    kept = F.col("low").isNotNull() & (F.col("low") == F.col("doc_id"))
+    marked = stored(pairs.join(first, "cls", "left").select(
+        F.col("doc_id").alias(GONE_ID), F.col("cls").alias(GONE_CLASS), kept.alias("kept"), "rows")
+        .where(~F.col("kept") | (F.col("rows") > 1)), "marked")
+    own = _with_class(docs, CLASS)
+    this = (F.col("doc_id").cast("long") == F.col(GONE_ID)) & (F.col(CLASS) == F.col(GONE_CLASS))
+    out = own.join(marked.select(GONE_ID, GONE_CLASS), this, "left_anti").drop(CLASS)
+    again = marked.where("kept")
+    if not again.isEmpty():               # the group's first row stands there more than once
+        out = out.union(own.join(again.select(GONE_ID, GONE_CLASS), this, "left_semi")
+                        .dropDuplicates(["doc_id", CLASS]).drop(CLASS))
+    return out

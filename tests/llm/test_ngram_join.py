@@ -6,7 +6,7 @@ import pytest
 from quadrat.llm import ngram_join as N
 from quadrat.llm.components import components
 
-from .common import corpus, frame, linked_groups, odd_rows, shingles
+from .common import corpus, frame, linked_groups, odd_rows, shingles, twins
 
 
 def _answers(df):
@@ -58,6 +58,47 @@ def test_empty_and_keep_first(spark):
     assert 7 not in ids and 9 not in ids and {1, 2, 3, 4, 5, 6, 8, None} <= set(ids)
 
 
+def test_repeated_ids(spark):
+    """Ids that repeat with equal, near and unrelated texts, against all pairs of rows."""
+    r = random.Random(9)
+    texts = list(corpus(6, 90).values())
+    rows = [(r.randrange(40), r.choice(texts)) for _ in range(150)] + [(None, texts[0]), (None, texts[0]), (3, ""), (3, None)]
+    groups = linked_groups(dict(enumerate(t if i is not None else "" for i, t in rows)))
+    low = {}
+    for n, (i, t) in enumerate(rows):
+        if i is not None:
+            low[groups[n]] = min(i, low.get(groups[n], i))
+    want = sorted((i, len(shingles(t)), i if i is None or not shingles(t) else low[groups[n]])
+                  for n, (i, t) in enumerate(rows) if i is not None)
+    got = [tuple(x) for x in N.ngram_join(frame(spark, rows)).collect()]
+    assert sorted(x for x in got if x[0] is not None) == want and sum(x[0] is None for x in got) == 2
+
+    kept = [(x.doc_id, x.text) for x in N.keep_first(frame(spark, rows)).collect()]
+    assert sorted(map(str, (x for x in kept if x[0] is None or not shingles(x[1])))) == sorted(
+        map(str, (x for x in rows if x[0] is None or not shingles(x[1]))))
+    left = [x for x in kept if x[0] is not None and shingles(x[1])]
+    at = {}
+    for n, (i, t) in enumerate(rows):
+        if i is not None and shingles(t):
+            at.setdefault(groups[n], []).append((i, t))
+    assert len(left) == len(at)
+    for members in at.values():
+        mine = [x for x in left if x in members]
+        assert len(mine) == 1 and mine[0][0] == min(i for i, _ in members)
+
+
+def test_nothing_is_lost_to_a_repeated_id(spark):
+    a, b, c = ("one text of its own here", "another text that two rows have", "a third text which stands twice")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c)]
+    kept = sorted((x.doc_id, x.text) for x in N.keep_first(frame(spark, rows)).collect())
+    assert kept == [(3, b), (5, a), (7, c)]
+
+
+def test_regular_words_are_told_apart(spark):
+    got = _answers(N.ngram_join(frame(spark, enumerate(twins()))))
+    assert got == {0: (1, 0), 1: (1, 1)}
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
