@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .bytewords import mix
-from .shared import shared_path, ship, shuffle_parts, slices, stored
+from .shared import arrow_batches, shared_path, ship, shuffle_parts, slices, stored
 
 MAGIC = b"QTOKENS1"
 SHARD_IDS = 1 << 20               # ids after which a shard is closed
 PART_BYTES = 16 << 20             # of ids, in one range partition
+BATCH_BYTES = 8 << 20             # of a record batch that goes to a worker
 TRIED = 1 << 18                   # slots looked at at once when a hash is built
 
 
@@ -216,7 +217,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     spark = docs.sparkSession
     ship(spark)
     vocabulary = vocabulary or tokens.default_vocabulary()
-    ids = stored(encoded(docs, vocabulary), "ids")
+    with arrow_batches(spark, BATCH_BYTES):
+        ids = stored(encoded(docs, vocabulary), "ids")
     total = int(ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
     n = max(shuffle_parts(spark), -(-total // PART_BYTES))
     # The hash spreads the rows of an id that repeats very often.
@@ -224,7 +226,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
                .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__tie")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__tie").select("doc_id", "ids"))
     cells = ordered.mapInArrow(_shard_writer(id_width(tokens.encoder(vocabulary))), "value binary")
-    cells.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    with arrow_batches(spark, BATCH_BYTES):
+        cells.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

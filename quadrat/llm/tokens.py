@@ -13,6 +13,7 @@ whole pipeline. Vocabularies with another pre-tokenizer are encoded text by text
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 from array import array
@@ -189,9 +190,20 @@ class Encoder:
                            np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64))
 
 
+def _return_freed_memory() -> None:
+    """Let glibc give freed blocks of 1 MB and more back to the system; by default
+    it raises that size as arrays are freed, and workers keep half of what they
+    once held. Other C libraries have no such setting."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (AttributeError, OSError):
+        pass
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:
+        _return_freed_memory()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
