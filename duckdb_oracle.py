@@ -122,7 +122,7 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
           "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
-          "coarse_volume", "total_debris", "natural_full_join_n")
+          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height")
 
 
 def BA(x: str) -> str:
@@ -135,6 +135,74 @@ def SE(x: str) -> str:
     return f"(stddev_samp({x}) / sqrt(count({x})))"
 
 
+def LET(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is worked out once."""
+    return f"(list_transform([{value}], lambda {name}: {body})[1])"
+
+
+# Sums that do not depend on the order of addition: digits of 24 bits, down to 2^-72
+# (2^-120 for squares), summed as whole numbers.
+def D(x: int | float) -> str:
+    return f"{x!r}::DOUBLE"
+
+
+def DIGITS(x: str, count: int) -> list[str]:
+    r = [f"round_even({x} * {D(2.0 ** (24 * k))}, 0)" for k in range(-1, count - 1)]
+    return [f"CAST({r[0]} AS BIGINT)"] + [f"CAST({b} - {a} * {D(2.0 ** 24)} AS BIGINT)" for a, b in zip(r, r[1:])]
+
+
+def DIGIT_SUMS(digits: list[str]) -> list[str]:
+    return [f"sum({d})::DOUBLE * {D(2.0 ** (24 - 24 * k))}" for k, d in enumerate(digits)]
+
+
+def EXACT_SUM(x: str) -> str:
+    out = ""
+    for t in reversed(DIGIT_SUMS(DIGITS(f"({x})::DOUBLE", 5))):
+        out = f"({t} + {out})" if out else t
+    return out
+
+
+def EXACT_AVG(x: str) -> str:
+    return f"({EXACT_SUM(x)} / NULLIF(count({x}), 0))"
+
+
+def HALF(a: str) -> str:
+    return f"({D(2.0 ** 27 + 1)} * {a} - ({D(2.0 ** 27 + 1)} * {a} - {a}))"
+
+
+def ERROR(a: str, b: str, p: str) -> str:
+    """a * b - p for the rounded product p."""
+    return LET(f"{{'x': {HALF(a)}, 'y': {HALF(b)}}}", "u", (
+        f"((u.x * u.y - {p}) + u.x * ({b} - u.y) + ({a} - u.x) * u.y) + ({a} - u.x) * ({b} - u.y)"))
+
+
+def PAIR(terms: list[str]) -> str:
+    """s and l: the sum of the terms as a double, and what it leaves out."""
+    out = f"{{'s': {terms[0]}, 'l': {D(0.0)}}}"
+    for t in terms[1:]:
+        out = LET(out, "o", LET(f"o.s + {t}", "t", LET("t - o.s", "k", (
+            f"{{'s': t, 'l': o.l + ((o.s - (t - k)) + ({t} - k))}}"))))
+    return out
+
+
+def EXACT_SE(x: str) -> str:
+    """Standard deviation / sqrt(n) from exact sums and sums of squares, in pairs of
+    doubles; a value is squared as a float and its rest."""
+    c = f"({x})::DOUBLE"
+    high = f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+    low = f"({c} - {high})"
+    products = [DIGITS(f"({p})", 7) for p in (f"{high} * {high}", f"{D(2.0)} * {high} * {low}", f"{low} * {low}")]
+    sums = [f"[{', '.join(DIGIT_SUMS(d))}]" for d in (DIGITS(c, 5), [" + ".join(t) for t in zip(*products)])]
+    pairs = [PAIR([f"v.{name}[{i + 1}]" for i in range(k)]) for name, k in (("one", 5), ("two", 7))]
+    spread = LET("w.a.s * w.a.s", "p", LET(f"{ERROR('w.a.s', 'w.a.s', 'p')} + {D(2.0)} * w.a.s * w.a.l", "e", LET(
+        "p / w.n", "q", LET("q * w.n", "m", LET(f"((p - m) - {ERROR('q', 'w.n', 'm')} + e) / w.n", "r", LET(
+            "w.b.s - q", "d", LET("d - w.b.s", "k", LET("d + ((w.b.s - (d - k)) + (-q - k) + (w.b.l - r))", "g", (
+                f"CASE WHEN g > w.b.s * {D(2.0 ** -94)} THEN g ELSE {D(0.0)} END")))))))))
+    return LET(f"{{'one': {sums[0]}, 'two': {sums[1]}, 'n': count({x})::DOUBLE}}", "v", LET(
+        f"{{'a': {pairs[0]}, 'b': {pairs[1]}, 'n': v.n}}", "w",
+        f"CASE WHEN w.n > 1 THEN sqrt({spread} / (w.n - 1)) / sqrt(w.n) END"))
+
+
 def STRICT_MEAN(x: str) -> str:
     return f"(CASE WHEN count({x}) = count(*) THEN avg({x}) END)"
 
@@ -635,6 +703,30 @@ UNION ALL SELECT SY, Site, Plot, 'TDS', TDS FROM ysi"""
 
     q["report_order"] = _with() + """SELECT SY, Site, CAST(row_number() OVER (ORDER BY Site, SY) AS INTEGER) AS place
 FROM (SELECT DISTINCT SY, Site FROM regeneration)"""
+    # The same analyses with sums that do not depend on order: bits must be equal.
+    q["exact_basal_area"] = _with() + f"""
+SELECT SY, Site, coalesce({EXACT_AVG('bp')}, 0.0::DOUBLE) AS mean_basal_area,
+       coalesce({EXACT_SE('bp')}, 0.0::DOUBLE) AS mean_basal_area_SE
+FROM (SELECT SY, Site, Plot, coalesce({EXACT_SUM(BA('DBH_cm'))}, 0.0::DOUBLE) AS bp
+      FROM trees WHERE {ALIVE} GROUP BY SY, Site, Plot)
+GROUP BY SY, Site"""
+    q["exact_tree_height"] = _with() + f"""
+SELECT SY, Site, coalesce({EXACT_AVG('hp')}, 0.0::DOUBLE) AS mean_height,
+       coalesce({EXACT_SE('hp')}, 0.0::DOUBLE) AS mean_height_SE
+FROM (SELECT SY, Site, Plot, {EXACT_AVG('Tree_Height_m')} AS hp FROM heights
+      WHERE Species IN ('RHMA','AVGE','LARA','UNK') OR Species IS NULL GROUP BY SY, Site, Plot)
+GROUP BY SY, Site"""
+    measures = (("Water_depth", "depth"), ("Temp", "temp"), ("DO_mg_L", "DO"), ("Salinity_ppt", "SAL"), ("TDS", "TDS"))
+    per_plot = ", ".join(f"{EXACT_AVG(m)} AS p_{n}" for m, n in measures)
+    per_site = ", ".join(f"{EXACT_AVG(f'p_{n}')} AS mean_{n}, {EXACT_SE(f'p_{n}')} AS mean_{n}_SE" for _, n in measures)
+    q["exact_water_quality"] = _with() + f"""
+SELECT SY, Site, {per_site} FROM (SELECT SY, Site, Plot, {per_plot} FROM ysi GROUP BY SY, Site, Plot) GROUP BY SY, Site"""
+    plain = {n: f"round_even({{}}, {0 if n in ('SAL', 'TDS') else 1})" for _, n in measures}
+    once = "round_even({}, 1)"
+    shown = ", ".join(
+        PM(*(f"({plain[n].format(once.format(c))} + 0.0::DOUBLE)" for c in (f"mean_{n}", f"mean_{n}_SE")))
+        + f" AS {label}" for n, label in (("depth", "Depth"), ("temp", "Temp"), ("DO", "DO"), ("SAL", "SAL"), ("TDS", "TDS")))
+    q["exact_water_table"] = f"SELECT SY, Site, {shown} FROM ({q['exact_water_quality']})"
     return q
 
 

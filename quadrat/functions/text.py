@@ -14,14 +14,16 @@ from .nulls import ColumnOrName, _c
 SNAP_DIGITS = 9
 
 
-def round_half_even(x: ColumnOrName, digits: int = 1) -> Column:
+def round_half_even(x: ColumnOrName, digits: int = 1, snap: bool = True) -> Column:
     """R-style ``round`` (ties to even on the decimal value).
 
     ``bround`` rounds the decimal representation half-to-even, so 12.25 -> 12.2.
     The value is first snapped to :data:`SNAP_DIGITS` decimals so that a true
-    decimal tie is rounded the same way whatever order a distributed sum used.
+    decimal tie is rounded the same way whatever order a distributed sum used;
+    exact sums (:mod:`.exact`) have no order and need no snapping.
     """
-    return F.bround(F.bround(_c(x).cast("double"), SNAP_DIGITS), digits)
+    v = _c(x).cast("double")
+    return F.bround(F.bround(v, SNAP_DIGITS) if snap else v, digits)
 
 
 def number_text(x: ColumnOrName) -> Column:

@@ -13,47 +13,53 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import COMPLETE, Exact, aggregate, exact_mean, exact_std_error
 from ..functions.nulls import mean_strict, std_error
 from .join import natural_join
 
 
-def mean_se(x: str, strict: bool = False) -> tuple[Column, Column]:
+def mean_se(x: str, strict: bool = False, exact: bool = False) -> tuple[Column | Exact, Column | Exact]:
     """A3/A4 + A5: mean (ignoring or propagating missing) and its standard error."""
+    if exact:
+        m = exact_mean(x)
+        return m.within(COMPLETE) if strict else m, exact_std_error(x)
     m = mean_strict(x) if strict else F.avg(x)
     return m, std_error(x)
 
 
 def nested_mean_se(df: DataFrame, outer: Sequence[str], inner: Sequence[str],
-                   inner_aggs: Mapping[str, Column],
+                   inner_aggs: Mapping[str, Column | Exact],
                    names: Mapping[str, tuple[str, str | None]],
-                   strict: Sequence[str] = ()) -> DataFrame:
+                   strict: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """A10: aggregate within ``outer + inner`` groups, then mean and SE across them.
 
     ``inner_aggs`` maps an inner-level column name to its aggregate (e.g. the
     plot's summed basal area). ``names`` maps that column to the output names of
     its mean and SE (SE name ``None`` = no SE). Columns listed in ``strict`` use
-    the NA-propagating mean (N3) at the outer level.
+    the NA-propagating mean (N3) at the outer level. With ``exact`` the bits of the
+    results do not depend on the order of addition (:mod:`..functions.exact`);
+    ``inner_aggs`` should then be exact too.
 
     Plan: two HashAggregates with partial aggregation each. The default keeps
     two Exchanges because the map-side combine shrinks the inner level first;
     pre-partitioning raw rows on ``outer`` would save one Exchange but shuffle
     every raw row.
     """
-    lvl1 = df.groupBy(*outer, *inner).agg(*[a.alias(n) for n, a in inner_aggs.items()])
-    return outer_mean_se(lvl1, outer, names, strict)
+    lvl1 = aggregate(df, [*outer, *inner], *[a.alias(n) for n, a in inner_aggs.items()])
+    return outer_mean_se(lvl1, outer, names, strict, exact)
 
 
 def outer_mean_se(df: DataFrame, outer: Sequence[str],
                   names: Mapping[str, tuple[str, str | None]],
-                  strict: Sequence[str] = ()) -> DataFrame:
+                  strict: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """Second level of A10/A11 on an already aggregated table."""
     out = []
     for col, (mean_name, se_name) in names.items():
-        m, se = mean_se(col, strict=col in strict)
+        m, se = mean_se(col, col in strict, exact)
         out.append(m.alias(mean_name))
         if se_name:
             out.append(se.alias(se_name))
-    return df.groupBy(*outer).agg(*out)
+    return aggregate(df, outer, *out)
 
 
 def share_of_total(df: DataFrame, by: Sequence[str], value: str, out: str,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..fixed import (ALIVE, ALL_SITES_BIN_ORIGIN, BIN_SIZE, DEAD, END_YEAR, HEIGHT_SPECIES,
                      MORTALITY_MISSING, MORTALITY_RECODE, SITE_BIN_ORIGIN, SPECIES,
                      START_YEAR)
+from ..functions.exact import exact_mean, exact_sum
 from ..functions.forestry import PLOT_AREA_HA, basal_area
 from ..functions.nulls import fill_zero, isin_or_null, mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
@@ -61,18 +62,19 @@ def _species_status(trees: DataFrame, status: Sequence[str]) -> DataFrame:
     return trees.where(F.col("Species").isin(list(SPECIES)) & F.col("Mortality").isin(list(status)))
 
 
-def mean_basal_area(trees: DataFrame) -> DataFrame:
+def mean_basal_area(trees: DataFrame, exact: bool = False) -> DataFrame:
     """Mean and SE across plots of the plot's living basal area (m^2/ha).
 
     A plot without living stems of the three species is absent, not 0; a
     missing result (e.g. SE of one plot) is reported as 0 (``replace_na``).
     Only the measures are filled: a missing year stays missing rather than
-    becoming year 0, so it still joins with the other tables' rows.
+    becoming year 0, so it still joins with the other tables' rows. With
+    ``exact`` the bits do not depend on partitioning.
     """
-    live = _species_status(trees, ALIVE)
+    live, ba = _species_status(trees, ALIVE), basal_area("DBH_cm")
     r = nested_mean_se(live, ["SY", "Site"], ["Plot"],
-                       {"basal_plot": sum0(basal_area("DBH_cm"))},
-                       {"basal_plot": ("mean_basal_area", "mean_basal_area_SE")})
+                       {"basal_plot": exact_sum(ba).within("coalesce(@, 0D)") if exact else sum0(ba)},
+                       {"basal_plot": ("mean_basal_area", "mean_basal_area_SE")}, exact=exact)
     return fill_zero(r, ["mean_basal_area", "mean_basal_area_SE"])
 
 
@@ -116,13 +118,13 @@ def mean_stem_density(trees: DataFrame) -> DataFrame:
                           {"stem_plot_density": ("mean_stem_density", "mean_stem_density_SE")})
 
 
-def mean_tree_height(heights: DataFrame) -> DataFrame:
+def mean_tree_height(heights: DataFrame, exact: bool = False) -> DataFrame:
     """Plot mean height, then mean and SE across plots; missing -> 0.
     Species RHMA/AVGE/LARA/UNK and missing species are kept (F3/N8)."""
     h = heights.where(isin_or_null("Species", HEIGHT_SPECIES))
     r = nested_mean_se(h, ["SY", "Site"], ["Plot"],
-                       {"mean_height_plot": F.avg("Tree_Height_m")},
-                       {"mean_height_plot": ("mean_height", "mean_height_SE")})
+                       {"mean_height_plot": (exact_mean if exact else F.avg)("Tree_Height_m")},
+                       {"mean_height_plot": ("mean_height", "mean_height_SE")}, exact=exact)
     return fill_zero(r, ["mean_height", "mean_height_SE"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_mean
 from ..functions.text import pm_text, round_half_even
 from ..operators.aggregate import nested_mean_se
 
@@ -18,22 +19,24 @@ MEASURES = {
 }
 
 
-def mean_water_quality(ysi: DataFrame) -> DataFrame:
+def mean_water_quality(ysi: DataFrame, exact: bool = False) -> DataFrame:
     """Five measures, plot means then site mean and SE - all in one
-    two-level aggregate (one pass per level, whatever the number of measures)."""
+    two-level aggregate (one pass per level, whatever the number of measures).
+    With ``exact`` the bits do not depend on partitioning."""
+    mean = exact_mean if exact else F.avg
     return nested_mean_se(
         ysi, ["SY", "Site"], ["Plot"],
-        {p: F.avg(m) for m, (p, _, _) in MEASURES.items()},
-        {p: (mn, se) for _, (p, mn, se) in MEASURES.items()})
+        {p: mean(m) for m, (p, _, _) in MEASURES.items()},
+        {p: (mn, se) for _, (p, mn, se) in MEASURES.items()}, exact=exact)
 
 
-def water_table(ysi: DataFrame) -> DataFrame:
+def water_table(ysi: DataFrame, exact: bool = False) -> DataFrame:
     """``mean ± SE`` text; salinity and TDS rounded to whole numbers after
     the first rounding to one digit (as the reference rounds twice)."""
-    a = mean_water_quality(ysi)
+    a = mean_water_quality(ysi, exact)
     num = [c for _, (_, mn, se) in MEASURES.items() for c in (mn, se)]
-    a = a.withColumns({c: round_half_even(c, 1) for c in num})
-    a = a.withColumns({c: round_half_even(c, 0) for c in
+    a = a.withColumns({c: round_half_even(c, 1, not exact) for c in num})
+    a = a.withColumns({c: round_half_even(c, 0, not exact) for c in
                        ("mean_SAL", "mean_SAL_SE", "mean_TDS", "mean_TDS_SE")})
     return a.select("SY", "Site",
                     pm_text("mean_depth", "mean_depth_SE").alias("Depth"),

@@ -326,6 +326,28 @@ def q_report_order(spark, root, layout="survey"):
     return at.select("SY", "Site", F.row_number().over(Window.orderBy("__at")).alias("place"))
 
 
+# -- sums without an order: the same bits for any partitioning ---------------------
+
+def q_exact_basal_area(spark, root, layout="survey"):
+    """A5/A10: D11 from exact sums."""
+    return trees.mean_basal_area(_r(spark, root, layout).trees, exact=True)
+
+
+def q_exact_tree_height(spark, root, layout="survey"):
+    """A3/A5/A10: D15 from exact sums."""
+    return trees.mean_tree_height(_r(spark, root, layout).heights, exact=True)
+
+
+def q_exact_water_quality(spark, root, layout="survey"):
+    """D20 from exact sums."""
+    return water.mean_water_quality(_r(spark, root, layout).ysi, exact=True)
+
+
+def q_exact_water_table(spark, root, layout="survey"):
+    """M8: D10 from exact sums, rounded without snapping."""
+    return water.water_table(_r(spark, root, layout).ysi, exact=True)
+
+
 QUERIES: dict[str, Query] = {
     "size_freq_site_year": q_size_freq_site_year,
     "size_freq_sites": q_size_freq_sites,
@@ -380,6 +402,10 @@ QUERIES: dict[str, Query] = {
     "pivot_several_values": q_pivot_several_values,
     "unpivot_list": q_unpivot_list,
     "report_order": q_report_order,
+    "exact_basal_area": q_exact_basal_area,
+    "exact_tree_height": q_exact_tree_height,
+    "exact_water_quality": q_exact_water_quality,
+    "exact_water_table": q_exact_water_table,
 }
 
 # The rule-heavy analyses again on the sparse layout of the same whole tables
@@ -391,7 +417,7 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
           "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
-          "coarse_volume", "total_debris", "natural_full_join_n")
+          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height")
 
 
 def _on_sparse(fn: Query) -> Query:
