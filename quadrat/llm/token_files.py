@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .bytewords import mix
-from .shared import arrow_batches, shared_path, ship, shuffle_parts, slices, stored
+from .shared import arrow_batches, shared_path, ship, shuffle_parts, slices, stored, text_bytes
 
 MAGIC = b"QTOKENS1"
 SHARD_IDS = 1 << 20               # ids after which a shard is closed
-PART_BYTES = 16 << 20             # of ids, in one range partition
+PART_BYTES = 24 << 20             # of text, in one part
+MOST_PARTS = 10_000
 BATCH_BYTES = 8 << 20             # of a record batch that goes to a worker
 TRIED = 1 << 18                   # slots looked at at once when a hash is built
 
@@ -164,9 +165,11 @@ class Shard:
         return [self.row(r) for r in range(int(first[0]), int(first[0] + n[0]))]
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids): the raw ids of every document, with the end id."""
+def encoded(docs: DataFrame, vocabulary: str | None = None, cuts: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, part, ids): the raw ids of every document, with the end id, and its
+    part by ``cuts``."""
     vocabulary = vocabulary or tokens.default_vocabulary()
+    cuts = np.zeros(0, np.int64) if cuts is None else cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
@@ -176,10 +179,11 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             raw = memoryview(ids.astype(f"<u{width}").tobytes())
             at = (at * width).tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])
+                [b.column(0), pa.array(parts_of(b.column(0), cuts)),
+                 pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "part", "ids"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, ids binary")
+    return own.mapInArrow(run, "doc_id long, part int, ids binary")
 
 
 def id_width(enc: tokens.Encoder) -> int:
@@ -212,19 +216,34 @@ def _shard_writer(width: int):
     return run
 
 
+def key_cuts(docs: DataFrame, n: int) -> np.ndarray:
+    """Quantiles of the keys that cut ``n`` parts (n - 1 numbers, by one sketch)."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return np.sort(np.array(found or [], np.int64))
+
+
+def parts_of(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """The part of each key: parts ascend with the keys, null keys are in the first.
+    Rows of a key that fills whole parts are dealt over them in turn."""
+    key = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+    at = low + np.arange(len(key)) % np.maximum(high - low, 1)
+    return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32)
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Write the shard files of ``docs`` under ``path``, in ascending id order."""
+    """Write the shard files of ``docs`` under ``path``, in ascending id order. The
+    parts are cut by the documents' keys, so that the texts are encoded once: the
+    range partitioning of Spark would encode them a second time for its sample."""
     spark = docs.sparkSession
     ship(spark)
     vocabulary = vocabulary or tokens.default_vocabulary()
-    with arrow_batches(spark, BATCH_BYTES):
-        ids = stored(encoded(docs, vocabulary), "ids")
-    total = int(ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
-    n = max(shuffle_parts(spark), -(-total // PART_BYTES))
-    # The hash spreads the rows of an id that repeats very often.
-    ordered = (ids.withColumn("__tie", F.xxhash64("ids", F.monotonically_increasing_id()))
-               .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__tie")
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__tie").select("doc_id", "ids"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = min(MOST_PARTS, max(shuffle_parts(spark), -(-text_bytes(own) // PART_BYTES)))
+    ids = encoded(own, vocabulary, key_cuts(own, n))
+    ordered = ids.repartitionById(n, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select("doc_id", "ids")
     cells = ordered.mapInArrow(_shard_writer(id_width(tokens.encoder(vocabulary))), "value binary")
     with arrow_batches(spark, BATCH_BYTES):
         cells.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)

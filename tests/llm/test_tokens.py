@@ -3,6 +3,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrat.llm import packing, token_files, tokens
@@ -95,6 +96,14 @@ def test_keyed_access(spark):
     assert {k: v[0] for k, v in found.items()} == want and all(len(v) == 1 for v in found.values())
 
 
+def test_parts_ascend_and_split_a_hot_key():
+    cuts = np.array([3, 7, 7, 7, 9])
+    key = pa.array([0, 3, 4, None, 7, 7, 7, 7, 8, 9, 10], pa.int64())
+    got = token_files.parts_of(key, cuts)
+    assert got[[0, 1, 2, 3, 8, 9, 10]].tolist() == [0, 0, 1, 0, 4, 4, 5]
+    assert set(got[4:8].tolist()) == {1, 2, 3}
+
+
 def test_hash_is_built_fast():
     keys = np.arange(80_000) * 977 + 5
     began = time.process_time()
