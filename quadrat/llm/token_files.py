@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .bytewords import mix
-from .shared import arrow_batches, shared_path, ship, shuffle_parts, slices, stored, text_bytes
+from .shared import arrow_batches, shared_path, ship, shuffle_parts, slices, stored, text_buffers, text_bytes
 
 MAGIC = b"QTOKENS1"
 SHARD_IDS = 1 << 20               # ids after which a shard is closed
@@ -115,10 +115,10 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0xA5A5F00D12345678)) >> np.uint64(32)).astype(np.uint32)
 
 
-def make_shard(part: int, number: int, keys: list, ids: np.ndarray, starts: np.ndarray, width: int) -> bytes:
+def make_shard(part: int, number: int, keys: pa.Array, ids: np.ndarray, starts: np.ndarray, width: int) -> bytes:
     """The bytes of a shard; keys ascending, nulls first."""
-    nulls = sum(k is None for k in keys)
-    own = np.array([0 if k is None else k for k in keys], np.int64)
+    nulls = keys.null_count
+    own = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     key, first, count = np.unique(own[nulls:], return_index=True, return_counts=True)
     ph = PerfectHash.build(key)
     slots = np.zeros((len(key), 3), np.uint32)
@@ -176,11 +176,10 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, cuts: np.ndarray | N
         width = id_width(enc)
         for b, data, off in slices(batches):
             ids, at = enc.encode(data, off)
-            raw = memoryview(ids.astype(f"<u{width}").tobytes())
-            at = (at * width).tolist()
+            own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [
+                None, pa.py_buffer(at * width), pa.py_buffer(ids.astype(f"<u{width}"))])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(parts_of(b.column(0), cuts)),
-                 pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "part", "ids"])
+                [b.column(0), pa.array(parts_of(b.column(0), cuts)), own.cast(pa.binary())], ["doc_id", "part", "ids"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, part int, ids binary")
@@ -197,20 +196,26 @@ def _shard_writer(width: int):
 
         def close():
             nonlocal keys, pieces, sizes, total, number
-            ids = np.frombuffer(b"".join(pieces), f"<u{width}")
-            raw = make_shard(part, number, keys, ids, np.concatenate([[0], np.cumsum(sizes)]), width)
+            raw = make_shard(part, number, pa.concat_arrays(keys), np.concatenate(pieces),
+                             np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), width)
             keys, pieces, sizes, total, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["value"])
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                own = ids.as_py()
-                keys.append(key)
-                pieces.append(own)
-                sizes.append(len(own) // width)
-                total += sizes[-1]
+            data, off = text_buffers(b.column(1))
+            off = off // width
+            ids, at = data.view(f"<u{width}"), 0
+            while at < b.num_rows:
+                # Rows until the shard is full, one at least.
+                end = min(int(np.searchsorted(off, off[at] + SHARD_IDS - total)), b.num_rows)
+                end = max(end, at + 1)
+                keys.append(b.column(0).slice(at, end - at))
+                pieces.append(ids[off[at]:off[end]].copy())      # the batch can go
+                sizes.append(np.diff(off[at:end + 1]))
+                total += int(off[end] - off[at])
                 if total >= SHARD_IDS:
                     yield close()
+                at = end
         if keys:
             yield close()
     return run
@@ -334,11 +339,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"the index of shard {s.part}/{s.number} misses a key")
             wide = s.ids.astype("<u4")
             crc = [zlib.crc32(wide[a:z]) for a, z in zip(s.starts[:-1].tolist(), s.starts[1:].tolist())]
-            rows = [{"doc_id": None if i < s.nulls else k, "local": a, "n_tokens": z - a, "ids_crc32": c}
-                    for i, (k, a, z, c) in enumerate(zip(s.keys.tolist(), s.starts[:-1].tolist(), s.starts[1:].tolist(), crc))]
+            keys = pa.array(s.keys, mask=np.arange(s.rows) < s.nulls)
+            rows = pa.StructArray.from_arrays(
+                [keys, pa.array(s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crc, pa.int64())],
+                ["doc_id", "local", "n_tokens", "ids_crc32"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s.part], pa.int64()), pa.array([s.number], pa.int64()), pa.array([len(s.ids)], pa.int64()),
-                 pa.array([rows], kind)], ["part", "number", "ids", "rows"])
+                 pa.ListArray.from_arrays(pa.array([0, s.rows], pa.int32()), rows).cast(kind)],
+                ["part", "number", "ids", "rows"])
 
 
 def shard_rows(spark: SparkSession, path: str) -> DataFrame:
