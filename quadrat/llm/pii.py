@@ -1,10 +1,11 @@
 """Personal data, with offset-preserving deobfuscation (operator 6).
 
 The base detectors find e-mail addresses, IP addresses, card numbers and phone
-numbers in the text as it stands. Then three transducers rewrite it, each keeping
+numbers in the text as it stands. Then four transducers rewrite it, each keeping
 for every stretch of output the source characters it came from: homoglyphs,
 digits of other scripts and invisible characters; runs of spelled-out digits;
-at/dot disguises of addresses. The detectors run again on the rewritten text
+dots written out in IP addresses and letters in card numbers; at/dot disguises of
+addresses. The detectors run again on the rewritten text
 and their spans are carried back through the transducers to source characters;
 those that lie in no base span of their kind are added. An added span may thus
 hold or overlap base spans, fragments of what was disguised.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -148,21 +150,69 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7",
     "ocho": "8", "nueve": "9",
 }
-MARK_WORDS = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+"}
+MARK_WORDS = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+", "oh": "0"}
+# Words for the at sign and the dot of an address, and the dots that may
+# stand with a bare at word (a bare "at" beside "point" is ordinary prose).
+AT_WORDS = ("at", "arroba", "arobase", "ät")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+BARE_DOTS = {"at": ("dot", "punkt", "punto"), "arroba": DOT_WORDS, "arobase": DOT_WORDS, "ät": DOT_WORDS}
+# Last labels before which a bare dot word counts after a bare at word
+# (those that are English words, such as "in" or "me", are left out).
+BARE_ENDS = frozenset((
+    "ai", "app", "au", "biz", "br", "ca", "ch", "cloud", "cn", "co", "com", "cz", "de", "dev", "dk", "edu", "es", "eu", "fi",
+    "fr", "gov", "gr", "hu", "ie", "info", "io", "jp", "kr", "mx", "net", "nl", "nz", "org", "pl", "pt", "ro", "ru", "se",
+    "tv", "uk"))
+# Letters read as digits in a card number.
+CARD_LETTERS = {"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "B": "8"}
+MIN_CARD_DIGITS = 12
 MIN_DIGIT_WORDS = 4
 
 _FOREIGN = re.compile("[\u00a0\u00ad\u0131\u0261\u0300-\U0010ffff]")
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _MARK = "|".join(sorted(MARK_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_WORD}|[0-9])(?:[\s,-]+(?:{_WORD}|{_MARK}|[0-9]+)(?!\w))+")
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]{{1,9}})?(?:{_WORD}|[0-9])(?:[\s,()-]++(?:{_WORD}|{_MARK}|[0-9]++)(?!\w))+")
 _PART = re.compile(r"\w+|\W+")
 _TOKEN = re.compile(r"\w+")
-_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s+|@")
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_HOST = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+# Marks are found first and their blanks walked over afterwards, and every repeat of
+# blanks follows something else and gives nothing back, so that long runs of blanks,
+# lines and brackets are read once.
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+_AT = re.compile(rf"(?i)[\[({{<]\s*+(?:{_ATS}|@)\s*+[\])}}>]|(?<=\s)(?:{_ATS}|@)(?=\s)|(?<=[A-Za-z0-9])_(?:at)_(?=[A-Za-z0-9])|@")
+_DOT = rf"(?:\s*+[\[({{<]\s*+(?:{_DOTS}|\.)\s*+[\])}}>]\s*+|\s++(?:{_DOTS})\s++|_dot_|\.)"
+_HOST = re.compile(rf"(?i)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+")
 _DOT_FORM = re.compile(rf"(?i){_DOT}")
-_DOT_BEFORE = re.compile(r"(?i)(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)\Z")
+_IP_FORM = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9])")
+_CARD_FORM = re.compile(r"(?<![A-Za-z0-9])[0-9lIOoSB](?:[ -]?[0-9lIOoSB]){15,18}(?![A-Za-z0-9])")
+_DISGUISED = re.compile(rf"(?i)[\[({{<]\s*+(?:{_ATS}|@|{_DOTS}|\.)\s*+[\])}}>]|\s@\s|\s(?:{_DOTS})\s|_dot_")
+
+
+def _blanks_before(t: str, at: int, low: int) -> int:
+    while at > low and t[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_before(t: str, at: int, low: int) -> str:
+    """The dot word that ends at ``at``, or nothing."""
+    for w in DOT_WORDS:
+        if at - len(w) >= low and t[at - len(w):at].lower() == w:
+            return w
+    return ""
+
+
+def _dot_before(t: str, end: int, low: int) -> int:
+    """Where a disguised dot that ends at ``end`` begins, or -1."""
+    at = _blanks_before(t, end, low)
+    if at > low and t[at - 1] in "])}>":
+        inside = _blanks_before(t, at - 1, low)
+        inner = inside - 1 if inside > low and t[inside - 1] == "." else inside - len(_word_before(t, inside, low))
+        opened = _blanks_before(t, inner, low) if inner < inside else low
+        return _blanks_before(t, opened - 1, low) if opened > low and t[opened - 1] in "[({<" else -1
+    word = _word_before(t, at, low) if at < end else ""
+    start = at - len(word)
+    before = _blanks_before(t, start, low)
+    return before if word and before < start else -1
 
 
 def _plain_letter(c: str) -> str:
@@ -217,41 +267,84 @@ def spelled_digits(t: str) -> Rewritten | None:
 
 
 def addresses(t: str) -> Rewritten | None:
-    """At and dot written out, spaced or bracketed, where an address results. A
-    bare word "at" counts only with a disguised dot."""
-    low = t.lower()
-    if not ("dot" in low or re.search(r"[\[({<]\s*(?:at|@|\.)\s*[\])}>]|\s@\s", low)):
+    """At and dot written out, spaced, bracketed or between underscores, where an
+    address results. A bare at word counts only with a disguised dot, and a bare dot
+    word only before a last label of letters."""
+    if _DISGUISED.search(t) is None:
         return None
-    edits, last = [], 0
+    edits, last, used = [], 0, 0
     for m in _AT.finditer(t):
-        if m.start() < last:
+        spaced = m.group() != "@" or (m.start() > 0 and t[m.start() - 1].isspace() and m.end() < len(t) and t[m.end()].isspace())
+        left, right = m.start(), m.end()
+        if spaced and m.group()[0] != "_":
+            left = _blanks_before(t, left, 0)
+            while right < len(t) and t[right].isspace():
+                right += 1
+        if left < max(last, used):
             continue
-        start = _local_start(t, m.start(), last)
-        host = _HOST.match(t, m.end()) if start < m.start() else None
+        used = right
+        start = _local_start(t, left, last)
+        host = _HOST.match(t, right) if start < left else None
         if host is None:
             continue
         dots = [(d.start(), d.end()) for d in _DOT_FORM.finditer(t, host.start(), host.end())]
+        end = host.end()
+        mark = m.group().strip("_").lower()
+        bare = mark in AT_WORDS
+        allowed = BARE_DOTS.get(mark, DOT_WORDS if m.group()[0] in "[({<" else ("dot",))
+        for i, (a, z) in enumerate(dots):              # the host ends before a dot word that is prose
+            word = t[a:z].strip().lower()
+            label = t[z:dots[i + 1][0] if i + 1 < len(dots) else end].lower()
+            final = i + 1 == len(dots)
+            if t[a:z].lower() != f"_{word}_" and word in DOT_WORDS and (
+                    word not in allowed or not label.isalpha() or bare and m.group()[0] not in "[({<" and final
+                    and label not in BARE_ENDS):
+                dots, end = dots[:i], a
+                break
+        if not dots:
+            continue
         hidden = [d for d in dots if d[1] - d[0] > 1]
-        bare = m.group().strip().lower() == "at"
         before = []
-        while d := _DOT_BEFORE.search(t, max(last, start - 16), start):   # "first dot last at ..."
-            s = _local_start(t, d.start(), last)
-            if s == d.start():
+        while (at := _dot_before(t, start, last)) >= 0:          # "first dot last at ..."
+            s = _local_start(t, at, last)
+            if s == at:
                 break
-            before.insert(0, (d.start(), d.end(), "."))
+            before.insert(0, (at, start, "."))
             start = s
-        if (m.group() == "@" or bare) and not hidden and not before:
+        if (m.group() == "@" and not spaced or bare) and not hidden and not before:
             continue
-        edits += before + [(m.start(), m.end(), "@")] + [(a, z, ".") for a, z in hidden]
-        last = host.end()
+        edits += before + [(left, right, "@")] + [(a, z, ".") for a, z in hidden]
+        last = end
     return Rewritten(t, edits) if edits else None
 
 
+def split_numbers(t: str) -> Rewritten | None:
+    """Disguised dots between the parts of an IP address, and letters in place of
+    some digits of a card number."""
+    edits = []
+    if _DISGUISED.search(t) is not None:
+        for m in _IP_FORM.finditer(t):
+            hidden = [(d.start(), d.end(), ".") for d in _DOT_FORM.finditer(t, m.start(), m.end()) if d.end() - d.start() > 1]
+            if hidden and all(int(x) <= 255 for x in re.findall("[0-9]+", m.group())):
+                edits += hidden
+    for m in _CARD_FORM.finditer(t):
+        letters = [(i, i + 1, CARD_LETTERS[c]) for i, c in enumerate(m.group(), m.start()) if c in CARD_LETTERS]
+        if letters and sum(map(str.isdigit, m.group())) >= MIN_CARD_DIGITS:
+            edits += letters
+    return Rewritten(t, sorted(edits)) if edits else None
+
+
+def _covered(s: Span, spans: list[Span]) -> bool:
+    """Whether one of ascending spans holds this one."""
+    i = bisect_right(spans, (s[0], sys.maxsize)) - 1
+    return i >= 0 and s[1] <= spans[i][1]
+
+
 def find(t: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, added spans) of a text by kind."""
     base = detect(t)
     steps, now = [], t
-    for step in (unify_letters, spelled_digits, addresses):
+    for step in (unify_letters, spelled_digits, split_numbers, addresses):
         r = step(now)
         if r is not None:
             steps.append(r)
@@ -262,7 +355,7 @@ def find(t: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             for s in spans:
                 for r in reversed(steps):
                     s = r.back(s)
-                if not any(a <= s[0] and s[1] <= z for a, z in base[kind] + added[kind]):
+                if not any(_covered(s, x) for x in (base[kind], added[kind])):
                     added[kind].append(s)
     return base, added
 

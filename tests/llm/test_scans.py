@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 
@@ -70,6 +71,31 @@ def test_spelled_digits_of_any_words(monkeypatch):
     assert gated == [getattr(pii.spelled_digits(t), "text", None) for t in texts] and len(set(gated)) > 1000
 
 
+def test_wider_disguises():
+    for kind, part in (("ip", "192[.]168[.]1[.]1"), ("ip", "192 dot 168 dot 1 dot 1"), ("email", "joe_AT_mail_DOT_com"),
+                       ("email", "joe arroba mail punto com"), ("email", "joe punkt x at mail punkt de"),
+                       ("email", "joe (ät) mail (punkt) de"), ("phone", "+1 (five five five) one two three four five six"),
+                       ("phone", "+1 five five five oh one two three four five six"), ("card", "l111 1111 1111 1117"),
+                       ("email", "a" * 40 + " dot last at mail dot com")):
+        t = f"é Write: {part}; thanks"
+        base, added = pii.find(t)
+        assert [(k, t[a:z]) for k in pii.KINDS for a, z in added[k]] == [(kind, part)], part
+    for t in ("look at the dot on the map", "a look at a point of view", "he stood at point b and at dot five", "at noon. dot com",
+              "en un punto de vista", "version 1 point 2", "code l1O1 and B8", "one at a time, two at once"):
+        assert pii.find(t)[1] == {k: [] for k in pii.KINDS}, t
+
+
+def test_long_runs_are_read_once():
+    n = 1_000_000
+    for t in (" " * n + "anecdote", "dot" + "\n" * n + "anecdote at x", "[" * n + "dot ", "[ " * (n // 2) + " dot ",
+              "x at y" + " )" * (n // 2) + " dot z", "a at " * (n // 5) + " dot b", "joe at at dot " * (n // 14),
+              "1 " * (n // 2), "one " * (n // 4) + "dot x", (" " * 1000 + "at") * (n // 1002) + " dot x",
+              "x@a" + " dot a" * (n // 6), "one" + " (" * (n // 2) + "five dot ", "joe at mail dot com " * (n // 20)):
+        began = time.process_time()
+        pii.find(t)
+        assert time.process_time() - began < 6, t[:40]
+
+
 def test_personal_data_rows(spark):
     rows = odd_rows() + [(20, "x@y.zz and 10.0.0.1, é +1 (456) 555-2186, card 4387513035237269")]
     got = pii.personal_data(frame(spark, rows)).collect()
