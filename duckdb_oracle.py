@@ -703,6 +703,10 @@ UNION ALL SELECT SY, Site, Plot, 'TDS', TDS FROM ysi"""
 
     q["report_order"] = _with() + """SELECT SY, Site, CAST(row_number() OVER (ORDER BY Site, SY) AS INTEGER) AS place
 FROM (SELECT DISTINCT SY, Site FROM regeneration)"""
+    q["levels_of_stems"] = _with() + f"""
+SELECT SY, Site, Plot, count(*) AS stems, count(DBH_cm) AS measured, max(DBH_cm) AS largest, min(DBH_cm) AS smallest,
+       CAST(CASE GROUPING_ID(SY, Site, Plot) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INTEGER) AS level
+FROM trees WHERE {ALIVE} GROUP BY GROUPING SETS ((SY, Site, Plot), (SY, Site), (SY), ())"""
     # The same analyses with sums that do not depend on order: bits must be equal.
     q["exact_basal_area"] = _with() + f"""
 SELECT SY, Site, coalesce({EXACT_AVG('bp')}, 0.0::DOUBLE) AS mean_basal_area,

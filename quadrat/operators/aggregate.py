@@ -80,6 +80,40 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str, out: str,
     return j.withColumn(out, share).drop("__total")
 
 
+def counts_with_total(df: DataFrame, by: Sequence[str], within: Sequence[str], count: str,
+                      total: str) -> DataFrame:
+    """Rows per ``by + within`` and, beside each, rows per ``by``, from one
+    pass: no totals join and no window over the rows of a group.
+
+    Partial counts per ``by + within`` are one row per group and map task; Spark
+    then gathers each ``by`` group's few counts in one map of count per ``within``
+    (its keys are those that occur), adds them up and takes the map apart again. One
+    aggregate over the rows and one over their counts; a group's map has one entry
+    for each ``within``, such as a size class, however many rows the group has.
+    """
+    cells = df.groupBy(*by, *within).agg(F.count(F.lit(1)).alias(count))
+    groups = cells.groupBy(*by).agg(F.sum(count).alias(total),
+                                    F.collect_list(F.struct(*within, count)).alias("__cells"))
+    return groups.select(*by, total, F.inline("__cells")).select(*by, *within, count, total)
+
+
+def totals_by_level(df: DataFrame, levels: Sequence[Sequence[str]], aggs: Sequence[Column]) -> DataFrame:
+    """The same aggregates for several groupings of one table by GROUPING
+    SETS: one scan, one Expand and one partial aggregate, in place of an aggregate for
+    each level. Columns: all grouping columns (NULL where a level does not group by
+    them), ``level`` (its place in ``levels``) and the aggregates.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    sets = [[F.col(c) for c in level] for level in levels]
+    # grouping_id has a bit for each column that a set leaves out, the first highest.
+    ids = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level) for level in levels]
+    out = df.groupingSets(sets, *columns).agg(F.grouping_id().alias("__set"), *aggs)
+    place = F.lit(None).cast("int")
+    for k, i in enumerate(ids):
+        place = F.when(F.col("__set") == i, k).otherwise(place)
+    return out.withColumn("level", place).drop("__set")
+
+
 def with_global_stats(df: DataFrame, stats: Sequence[Column]) -> DataFrame:
     """Attach one-row global aggregates (min/max ...) to every row.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.forestry import bin_bounds, bin_index
-from .aggregate import share_of_total
+from .aggregate import counts_with_total
 
 
 def period_change(df: DataFrame, ids: Sequence[str], period: str, value: str,
@@ -51,10 +51,9 @@ def size_histogram(df: DataFrame, total_by: Sequence[str], group_by: Sequence[st
     shuffled data at one row per bin per map task.
     """
     b = bin_index(value, width, origin)
-    counts = (df.withColumn("__bin", b)
-              .groupBy(*total_by, *[g for g in group_by if g not in total_by], "__bin")
-              .agg(F.count(F.lit(1)).alias("__n")))
-    shares = share_of_total(counts, total_by, "__n", out)
+    within = [*[g for g in group_by if g not in total_by], "__bin"]
+    counts = counts_with_total(df.withColumn("__bin", b), total_by, within, "__n", "__total")
+    shares = counts.withColumn(out, F.try_divide(F.col("__n").cast("double"), F.col("__total").cast("double")))
     lo, hi = bin_bounds(F.col("__bin"), width, origin)
     keys = [*total_by, *[g for g in group_by if g not in total_by]]
     return shares.select(*keys, F.col("__bin").cast("int").alias("bin"),

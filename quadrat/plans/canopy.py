@@ -63,14 +63,15 @@ def canopy_cover_wide(densio: DataFrame) -> DataFrame:
         *[std_error(means[t]).alias(f"{t}_perc_SE") for t in by_type])
 
 
-def canopy_table(densio: DataFrame) -> DataFrame:
+def canopy_table(densio: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """``mean ± SE`` of percent cover: Alive (Veg), Dead (Wood), Open.
 
     The wide step fills 0 only where a type is absent (N11) - a type whose
     columns are missing from the sheet; a present but missing SE (one plot)
-    prints ``NA``.
+    prints ``NA``. ``wide`` passes :func:`canopy_cover_wide` where it has been
+    computed already.
     """
-    d = _with_types(canopy_cover_wide(densio), ["perc", "perc_SE"])
+    d = _with_types(canopy_cover_wide(densio) if wide is None else wide, ["perc", "perc_SE"])
     num = [f"{t}_{v}" for t in COVER_TYPES for v in ("perc", "perc_SE")]
     d = d.withColumns({c: round_half_even(c, 1) for c in num})
     return d.select("SY", "Site",
@@ -79,10 +80,10 @@ def canopy_table(densio: DataFrame) -> DataFrame:
                     pm_text("Open_perc", "Open_perc_SE").alias("Open"))
 
 
-def canopy_series(densio: DataFrame) -> DataFrame:
+def canopy_series(densio: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """Chart data per (SY, Site): Veg, Wood, Open means (absent type = 0)
     and ``Wood_down`` = -Wood, the downward bar of the diverging chart."""
-    d = _with_types(canopy_cover_wide(densio), ["perc"])
+    d = _with_types(canopy_cover_wide(densio) if wide is None else wide, ["perc"])
     d = d.select("SY", "Site", *[F.col(f"{t}_perc").alias(t) for t in COVER_TYPES])
     return d.withColumn("Wood_down", -F.col("Wood"))
 

@@ -109,20 +109,21 @@ def total_debris(wood: DataFrame, coarse: DataFrame) -> DataFrame:
     })
 
 
-def debris_box(wood: DataFrame, coarse: DataFrame) -> DataFrame:
+def debris_box(wood: DataFrame, coarse: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """Box-plot statistics of TotalMass and TotalVolume per (SY, Site),
-    long by ``measure``."""
-    t = total_debris(wood, coarse)
+    long by ``measure``. ``total`` passes :func:`total_debris` where it has been
+    computed already."""
+    t = total_debris(wood, coarse) if total is None else total
     long = t.select(*TRANSECT, F.inline(F.array(
         F.struct(F.lit("TotalMass").alias("measure"), F.col("TotalMass").alias("v")),
         F.struct(F.lit("TotalVolume").alias("measure"), F.col("TotalVolume").alias("v")))))
     return box_summary(long, ["SY", "Site", "measure"], "v", coef=WHISKER_COEF, row_key=["Plot", "Transect_num"])
 
 
-def debris_mean_sem(wood: DataFrame, coarse: DataFrame) -> DataFrame:
+def debris_mean_sem(wood: DataFrame, coarse: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """Diverging chart data - coarse volume up, small (fine + medium)
     volume down: per (SY, Site, type) ``Mean`` (negated for Fine) and ``SEM``."""
-    t = total_debris(wood, coarse).withColumn("SmallVol", F.col("FVol") + F.col("MVol"))
+    t = (total_debris(wood, coarse) if total is None else total).withColumn("SmallVol", F.col("FVol") + F.col("MVol"))
     s = t.groupBy("SY", "Site").agg(
         mean_strict("CoarseVol").alias("MeanCoarse"),
         (-mean_strict("SmallVol")).alias("MeanFine"),

@@ -59,14 +59,15 @@ def tree_changes(trees: DataFrame, start=T.START_YEAR, end=T.END_YEAR,
 
 
 def site_changes(trees: DataFrame, heights: DataFrame, start=T.START_YEAR,
-                 end=T.END_YEAR, plots: DataFrame | None = None) -> DataFrame:
+                 end=T.END_YEAR, plots: DataFrame | None = None,
+                 mean_heights: DataFrame | None = None) -> DataFrame:
     """``Reduce(merge(all = TRUE))`` of the four change tables by Site.
 
     The three tree-based changes come from one scan (:func:`tree_changes`);
     only the height change (another table) is joined, null-safe on Site.
     """
     t = tree_changes(trees, start, end, plots)
-    h = T.height_change(heights, start, end)
+    h = T.height_change(heights, start, end, mean_heights)
     j = natural_full_join([t, h])
     return j.select("Site", "total_change", "total_change_dead", "height_change",
                     "stem_density_change")
@@ -87,14 +88,14 @@ def _txt(x: Column) -> Column:
 
 def change_map_layers(trees: DataFrame, heights: DataFrame, coords: DataFrame,
                       start=T.START_YEAR, end=T.END_YEAR,
-                      plots: DataFrame | None = None) -> DataFrame:
+                      plots: DataFrame | None = None, mean_heights: DataFrame | None = None) -> DataFrame:
     """One row per (layer, site): position, value, direction, radius, popup.
 
     Radius ``(|change| + 5) * 75`` m; density ``|change| / 3``; the forest type
     layer a fixed 10. Direction 'pos' for change > 0, else 'neg' (0 is 'neg').
     The five layers come from one ``inline`` over the joined site table.
     """
-    data = natural_join(site_changes(trees, heights, start, end, plots),
+    data = natural_join(site_changes(trees, heights, start, end, plots, mean_heights),
                         site_coordinates(coords), "left", on=["Site"])
     site_txt = F.concat(F.lit(POPUP_SITE), _txt(F.col("Site")))
     layers = []

@@ -21,7 +21,7 @@ from ..functions.exact import exact_mean, exact_sum
 from ..functions.forestry import PLOT_AREA_HA, basal_area
 from ..functions.nulls import fill_zero, isin_or_null, mean_strict, std_error, sum0
 from ..functions.text import pm_text, round_half_even
-from ..operators.aggregate import nested_mean_se, share_of_total
+from ..operators.aggregate import counts_with_total, nested_mean_se, totals_by_level
 from ..operators.change import period_change, size_histogram
 from ..operators.join import natural_full_join
 from ..operators.recode import recode
@@ -128,9 +128,16 @@ def mean_tree_height(heights: DataFrame, exact: bool = False) -> DataFrame:
     return fill_zero(r, ["mean_height", "mean_height_SE"])
 
 
-def pct_basal_change(trees: DataFrame, start=START_YEAR, end=END_YEAR) -> DataFrame:
-    """Percent change of living mean basal area between two years."""
-    return period_change(mean_basal_area(trees), ["Site"], "SY", "mean_basal_area",
+def pct_basal_change(trees: DataFrame, start=START_YEAR, end=END_YEAR,
+                     plots: DataFrame | None = None) -> DataFrame:
+    """Percent change of living mean basal area between two years. ``plots``
+    passes the plot level (:func:`tree_plots`) where it has been computed already."""
+    if plots is None:
+        mean = mean_basal_area(trees)
+    else:
+        mean = fill_zero(plots.where(F.col("n_alive") > 0).groupBy("SY", "Site").agg(
+            F.avg("basal_alive").alias("mean_basal_area")), ["mean_basal_area"])
+    return period_change(mean, ["Site"], "SY", "mean_basal_area",
                          start, end, "percentage_change", percent=True,
                          fill_result=False, keep_periods=True)
 
@@ -147,9 +154,10 @@ def basal_change_dead(trees: DataFrame, start=START_YEAR, end=END_YEAR) -> DataF
                          start, end, "total_change_dead")
 
 
-def height_change(heights: DataFrame, start=START_YEAR, end=END_YEAR) -> DataFrame:
+def height_change(heights: DataFrame, start=START_YEAR, end=END_YEAR,
+                  mean_heights: DataFrame | None = None) -> DataFrame:
     """Absolute change of mean tree height."""
-    return period_change(mean_tree_height(heights), ["Site"], "SY", "mean_height",
+    return period_change(mean_tree_height(heights) if mean_heights is None else mean_heights, ["Site"], "SY", "mean_height",
                          start, end, "height_change")
 
 
@@ -175,7 +183,8 @@ def tree_plots(trees: DataFrame) -> DataFrame:
         *[sum0(F.when(dead & (F.col("Species") == sp), ba)).alias(f"{sp}_d") for sp in SPECIES])
 
 
-def tree_metrics(trees: DataFrame, heights: DataFrame, plots: DataFrame | None = None) -> DataFrame:
+def tree_metrics(trees: DataFrame, heights: DataFrame, plots: DataFrame | None = None,
+                 mean_heights: DataFrame | None = None) -> DataFrame:
     """Raw numbers of the tree report: D11, D13 (alive, dead), D14 and D15 by
     (SY, Site), with the row set and values of their natural full join (J1).
 
@@ -214,17 +223,17 @@ def tree_metrics(trees: DataFrame, heights: DataFrame, plots: DataFrame | None =
         F.when(has_live_plot, F.coalesce("mean_basal_area_SE", F.lit(0.0))).alias("mean_basal_area_SE"),
         *shares("a", "_alive"), *shares("d", "_dead"),
         "mean_stem_density", "mean_stem_density_SE")
-    return natural_full_join([trees_site, mean_tree_height(heights)])
+    return natural_full_join([trees_site, mean_tree_height(heights) if mean_heights is None else mean_heights])
 
 
-def tree_measurement_table(trees: DataFrame, heights: DataFrame,
-                           plots: DataFrame | None = None) -> DataFrame:
+def tree_measurement_table(trees: DataFrame, heights: DataFrame, plots: DataFrame | None = None,
+                           mean_heights: DataFrame | None = None) -> DataFrame:
     """D3: the tree report - rounded numbers and ``mean ± SE`` text.
 
     Every number is rounded to 1 digit; stem density then again to 0 digits
     (the reference rounds twice). Species shares are percent with 1 digit.
     """
-    x = tree_metrics(trees, heights, plots)
+    x = tree_metrics(trees, heights, plots, mean_heights)
     num = [c for c, t in x.dtypes if t in ("double", "float") or t.startswith("decimal")]
     x = x.withColumns({c: round_half_even(c, 1) for c in num})
     x = x.withColumns({c: round_half_even(c, 0) for c in
@@ -239,5 +248,17 @@ def tree_measurement_table(trees: DataFrame, heights: DataFrame,
 
 def mortality_share(trees: DataFrame) -> DataFrame:
     """Share of each mortality class among a site's stems in a year."""
-    counts = _lf_rows(trees).groupBy("SY", "Site", "Mortality").agg(F.count(F.lit(1)).alias("n"))
-    return share_of_total(counts, ["SY", "Site"], "n", "freq")
+    counts = counts_with_total(_lf_rows(trees), ["SY", "Site"], ["Mortality"], "n", "__total")
+    share = F.try_divide(F.col("n").cast("double"), F.col("__total").cast("double"))
+    return counts.withColumn("freq", share).drop("__total")
+
+
+def density_levels(trees: DataFrame) -> DataFrame:
+    """Living stems and their diameters for every plot, site and year, year,
+    and in all, from one pass over the stems. ``level``: 0 plot, 1 site and year, 2
+    year, 3 all."""
+    live = _species_status(trees, ALIVE)
+    return totals_by_level(
+        live, [["SY", "Site", "Plot"], ["SY", "Site"], ["SY"], []],
+        [F.count(F.lit(1)).alias("stems"), F.count("DBH_cm").alias("measured"),
+         F.max("DBH_cm").alias("largest"), F.min("DBH_cm").alias("smallest")])

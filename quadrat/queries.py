@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixed import ALL_SITES_BIN_ORIGIN, SITE_BIN_ORIGIN
@@ -17,6 +17,7 @@ from .functions.nulls import sum0
 from .functions.text import bin_label
 from .operators.aggregate import nested_mean_se, with_global_stats
 from .operators.join import natural_full_join
+from .operators.order import with_place
 from .operators.recode import category_rank
 from .operators.reshape import pivot_wide, rename_with, unpivot_list
 from .plans import canopy, debris, regeneration, sites, trees, water
@@ -322,8 +323,12 @@ def q_unpivot_list(spark, root, layout="survey"):
 def q_report_order(spark, root, layout="survey"):
     """O1: the place of every row in the sorted seedling report."""
     table = regeneration.seedling_table(_r(spark, root, layout).regeneration)
-    at = table.withColumn("__at", F.monotonically_increasing_id())   # ascending along the sorted rows
-    return at.select("SY", "Site", F.row_number().over(Window.orderBy("__at")).alias("place"))
+    return with_place(table.select("SY", "Site"), ["Site", "SY"], "place")
+
+
+def q_levels_of_stems(spark, root, layout="survey"):
+    """Stems per plot, site, year and in all, by GROUPING SETS."""
+    return trees.density_levels(_r(spark, root, layout).trees)
 
 
 # -- sums without an order: the same bits for any partitioning ---------------------
@@ -402,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "pivot_several_values": q_pivot_several_values,
     "unpivot_list": q_unpivot_list,
     "report_order": q_report_order,
+    "levels_of_stems": q_levels_of_stems,
     "exact_basal_area": q_exact_basal_area,
     "exact_tree_height": q_exact_tree_height,
     "exact_water_quality": q_exact_water_quality,

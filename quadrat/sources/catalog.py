@@ -133,14 +133,21 @@ def conform(df: DataFrame, schema: T.StructType, name: str = "table") -> DataFra
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
+                partition_by: list[str] | None = None, mode: str = "overwrite",
+                only_touched: bool = False) -> None:
     """Write one report dataset; ``partition_by=['Site']`` gives one
     folder per site in a single distributed job.
     Rows are gathered by those columns first, so that a folder gets few files;
-    AQE splits a gathered partition that is large."""
+    AQE splits a gathered partition that is large. With ``only_touched`` the folders of
+    partition values that ``df`` does not have stay as they are; the new files are
+    staged and moved when all tasks have ended, so a failed write leaves the old ones."""
+    if only_touched and not partition_by:
+        raise ValueError("only_touched needs partition columns")
     w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if only_touched:
+        w = w.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w.option("header", "true").csv(path)
     else:

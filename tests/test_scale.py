@@ -133,6 +133,104 @@ def test_report_run_with_checkpointed_inputs(spark, tmp_path):
     assert spark.read.parquet(paths["woody_debris"]).count() == r.wood.count()
 
 
+def _role_tables(spark):
+    from quadrat.sources.roles import DriverRoles
+    r = DriverRoles(spark, SF)
+    return {"tree_measurements": r.trees, "tree_heights": r.heights, "coordinates": r.coordinates,
+            "densiometer": r.densiometer, "regeneration": r.regeneration, "sapling": r.sapling,
+            "ysi": r.ysi, "wood": r.wood, "coarse_wood": r.coarse_wood}
+
+
+def test_shared_levels_are_made_once_and_released(spark, tmp_path, monkeypatch):
+    """A level that several outputs read is computed once; the outputs' plans then
+    read its files instead of the sheets, have the same rows, and nothing is left."""
+    import os
+    from quadrat.plans import report
+    made = []
+    for name, (need, make, used) in list(report.LEVELS.items()):
+        def counting(*a, name=name, make=make):
+            made.append(name)
+            return make(*a)
+        monkeypatch.setitem(report.LEVELS, name, (need, counting, used))
+    plans = {}
+
+    def spied(df, path, **kw):
+        plans[os.path.basename(path)] = " ".join(df.inputFiles())
+        return write(df, path, **kw)
+
+    write = report.write_table
+    monkeypatch.setattr(report, "write_table", spied)
+    levels = report.SharedLevels
+    monkeypatch.setattr(report, "SharedLevels", lambda t, w: levels(t, w, str(tmp_path / "levels")))
+    tables, checks = _role_tables(spark), {}
+    paths = report.export_report(tables, str(tmp_path / "out"), start=1996, end=1998, checks=checks)
+    assert sorted(made) == sorted(report.LEVELS)
+    assert os.listdir(tmp_path / "levels") == []
+    for name, (_, _, used) in report.LEVELS.items():
+        for output in sorted({*used} - {"woody_debris_box"}):        # reads a checkpoint of its own
+            assert f"quadrat-{name}-" in plans[output], (name, output)
+    for output in ("basal_area_change", "densiometer_table", "densiometer_figure", "woody_debris", "woody_debris_mean_sem",
+                   "woody_debris_counts", "check_site_islands"):
+        assert "lineitem" not in plans[output], output
+    for output, key in (("basal_area_change", "pct_basal_change"), ("densiometer_table", "canopy_table"),
+                        ("woody_debris_mean_sem", "debris_mean_sem"), ("seedling_figure", "seedling_density"),
+                        ("check_site_islands", "site_island_conflicts"), ("change_map", "change_map_layers")):
+        want = QUERIES[key](spark, SF)
+        if key != "seedling_density":
+            got = spark.read.parquet(paths[output]).select(*want.columns)
+            close = [sorted(str([round(v, 7) if isinstance(v, float) else v for v in r]) for r in d.collect()) for d in (got, want)]
+            assert close[0] == close[1], output
+    coarse = tables["coarse_wood"]
+    assert checks == {"coarse_pieces": coarse.count(), "invalid_decay": coarse.where("Decay_class = 'T'").count(),
+                      "missing_decay": 0} and checks["invalid_decay"] > 0
+
+
+def test_one_site_is_written_and_others_stay(spark, tmp_path):
+    """Other sites' files are not touched, and a failed write leaves the old ones."""
+    import os
+    from quadrat.plans.report import export_report
+    tables = {"tree_measurements": _role_tables(spark)["tree_measurements"]}
+    path = export_report(tables, str(tmp_path))["site_size_frequency"]
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names
+                if "Site=" in d}
+
+    before = files()
+    site = sorted({f.split("Site=")[1].split("/")[0] for f in before})[0]
+    doubled = {"tree_measurements": tables["tree_measurements"].union(tables["tree_measurements"].where(F.col("SY") == 1996))}
+    assert export_report(doubled, str(tmp_path), sites_only=[site]) == {"site_size_frequency": path}
+    after = files()
+    assert {f: m for f, m in before.items() if f"Site={site}/" not in f} == {
+        f: m for f, m in after.items() if f"Site={site}/" not in f}
+    assert set(f for f in after if f"Site={site}/" in f).isdisjoint(before)
+    bad = {"tree_measurements": tables["tree_measurements"].withColumn(
+        "DBH_cm", F.when(F.col("SY") == 1997, F.raise_error(F.lit("broken"))).otherwise(F.col("DBH_cm")).cast("double"))}
+    with pytest.raises(Exception, match="broken"):
+        export_report(bad, str(tmp_path), sites_only=[site])
+    assert files() == after
+
+
+def test_totals_come_without_a_join(spark):
+    for key in ("share_of_total", "size_freq_site_year", "size_freq_sites"):
+        p = _plan(QUERIES[key](spark, SF))
+        assert "lineitem" in p and "__total" in p and "Window" not in p
+        assert p.split("__total")[0].count("Join") == 0, key
+    p = _plan(QUERIES["levels_of_stems"](spark, SF))
+    assert p.count("Expand") >= 1 and len(re.findall("FileScan.*lineitem", p)) <= 2
+
+
+def test_place_needs_no_single_task(spark):
+    from quadrat.operators.order import with_place
+    r = random.Random(2)
+    rows = [(r.choice([None, "a", "b", "c"]), r.randrange(50)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(6)
+    got = sorted((x.place, x.k, x.n) for x in with_place(df, ["k", "n"], "place").collect())
+    assert [g[0] for g in got] == list(range(1, 801))
+    assert [g[1:] for g in got] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert with_place(df.limit(0), ["k"], "place").count() == 0
+
+
 def _raw_shuffles(df) -> list[str]:
     """Hash exchanges not fed by a partial aggregate (nor by a projection or
     filter of one, nor belonging to a join of aggregated sides)."""
