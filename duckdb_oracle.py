@@ -122,7 +122,8 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
           "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
-          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height")
+          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height",
+          "island_by_year", "merged_states")
 
 
 def BA(x: str) -> str:
@@ -707,6 +708,13 @@ FROM (SELECT DISTINCT SY, Site FROM regeneration)"""
 SELECT SY, Site, Plot, count(*) AS stems, count(DBH_cm) AS measured, max(DBH_cm) AS largest, min(DBH_cm) AS smallest,
        CAST(CASE GROUPING_ID(SY, Site, Plot) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INTEGER) AS level
 FROM trees WHERE {ALIVE} GROUP BY GROUPING SETS ((SY, Site, Plot), (SY, Site), (SY), ())"""
+    q["merged_states"] = _with() + f"""
+SELECT Site, {EXACT_AVG('Tree_Height_m')} AS mean_height, {EXACT_SE('Tree_Height_m')} AS mean_height_SE
+FROM heights GROUP BY Site"""
+    q["island_by_year"] = _with("""recorded AS (
+  SELECT Site, SY, min(Island) AS Island FROM densiometer WHERE SY % 2 = 0 GROUP BY Site, SY)""", """counted AS (
+  SELECT SY, Site, count(*) AS stems FROM trees GROUP BY SY, Site)""") + """
+SELECT c.SY, c.Site, c.stems, r.Island FROM counted c ASOF LEFT JOIN recorded r ON c.Site = r.Site AND c.SY >= r.SY"""
     # The same analyses with sums that do not depend on order: bits must be equal.
     q["exact_basal_area"] = _with() + f"""
 SELECT SY, Site, coalesce({EXACT_AVG('bp')}, 0.0::DOUBLE) AS mean_basal_area,

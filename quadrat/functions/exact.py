@@ -148,6 +148,42 @@ def _error(one: list[str], two: list[str], n: str) -> str:
             + f"), (v, i) -> named_struct('a', v.a, 'b', v.b, 'n', v.n, {steps}), v -> {end})")
 
 
+def _ordinary(x: str) -> str:
+    return f"CASE WHEN abs({x}) < {_num(LIMIT)} THEN {x} END AS {x}"
+
+
+def _float(x: str) -> str:
+    return f"double(float(__ordinary.{x})) AS {x}"
+
+
+def _sums(x: str, squared: bool) -> dict[str, str]:
+    """Aggregates that everything about an input is worked out from."""
+    u, high = f"__ordinary.{x}", f"__float.{x}"
+    sums = {f"{x}_sum": f"sum({x})", f"{x}_n": f"count({x})", f"{x}_odd": f"count({x}) - count({u})"}
+
+    def digits(name: str, values: list[str], count: int) -> None:
+        for k, same in enumerate(zip(*(_digits(_rounded(v, count)) for v in values))):
+            sums[f"{x}{name}{k}"] = f"sum(bigint({' + '.join(same)}))"
+
+    digits("a", [u], DIGITS)
+    if squared:
+        low = f"({u} - {high})"
+        sums[f"{x}_std"] = f"stddev_samp({x})"
+        digits("b", [f"({high} * {high})", f"(2D * {high} * {low})", f"({low} * {low})"], SQUARE_DIGITS)
+    return sums
+
+
+def _places(x: str, state: str, squared: bool) -> dict[str, str]:
+    """What the names in an :class:`Exact` stand for, over the struct ``state``."""
+    own = {"$plain": f"{state}.{x}_sum", "$n": f"{state}.{x}_n", "$odd": f"{state}.{x}_odd", "$std": f"{state}.{x}_std",
+           "$rows": f"{state}.rows"}
+    one = [f"{state}.{x}a{k}" for k in range(DIGITS)]
+    own["$total"] = _total(one)
+    if squared:
+        own["$error"] = _error(one, [f"{state}.{x}b{k}" for k in range(SQUARE_DIGITS)], f"{state}.{x}_n")
+    return own
+
+
 def aggregate(df: DataFrame, keys: Sequence[str], *aggs: Column | Exact) -> DataFrame:
     """``df.groupBy(*keys).agg(*aggs)`` for plain columns and exact aggregates."""
     if not any(isinstance(a, Exact) for a in aggs):
@@ -162,26 +198,11 @@ def aggregate(df: DataFrame, keys: Sequence[str], *aggs: Column | Exact) -> Data
     known: dict[str, dict[str, str]] = {}
     for x, of, squared in inputs.values():
         made[x] = (F.col(of) if isinstance(of, str) else of).cast("double")
-        ordinary.append(f"CASE WHEN abs({x}) < {_num(LIMIT)} THEN {x} END AS {x}")
-        u, high = f"__ordinary.{x}", f"__float.{x}"
-        sums |= {f"{x}_sum": f"sum({x})", f"{x}_n": f"count({x})", f"{x}_odd": f"count({x}) - count({u})"}
-        own = {"$plain": f"__s.{x}_sum", "$n": f"__s.{x}_n", "$odd": f"__s.{x}_odd", "$std": f"__s.{x}_std",
-               "$rows": "__s.rows"}
-
-        def digits(name: str, values: list[str], count: int) -> list[str]:
-            """Sums of the digits of values that are added."""
-            for k, same in enumerate(zip(*(_digits(_rounded(v, count)) for v in values))):
-                sums[f"{x}{name}{k}"] = f"sum(bigint({' + '.join(same)}))"
-            return [f"__s.{x}{name}{k}" for k in range(count)]
-
-        own["$total"] = _total(digits("a", [u], DIGITS))
-        if squared:
-            floats.append(f"double(float({u})) AS {x}")
-            low = f"({u} - {high})"
-            sums[f"{x}_std"] = f"stddev_samp({x})"
-            own["$error"] = _error([f"__s.{x}a{k}" for k in range(DIGITS)], digits("b", [
-                f"({high} * {high})", f"(2D * {high} * {low})", f"({low} * {low})"], SQUARE_DIGITS), f"__s.{x}_n")
-        known[x] = own
+        ordinary.append(_ordinary(x))
+        floats += [_float(x)] if squared else []
+        own = _sums(x, squared)
+        sums |= own
+        known[x] = _places(x, "__s", squared)
     # A struct each, so that the texts are few; Spark takes the structs apart again.
     if made:
         df = df.withColumns(made).withColumn("__ordinary", F.expr(f"struct({', '.join(ordinary)})"))
@@ -206,3 +227,28 @@ def _name_of(a: Column) -> str:
     if m is None:
         raise ValueError(f"an aggregate beside exact ones needs a name: {a}")
     return m.group(1)
+
+
+# ---------------------------------------------------------------- kept states
+
+def exact_state(df: DataFrame, keys: Sequence[str], x: ColumnOrName) -> DataFrame:
+    """``keys`` and ``state``: the sums of a measure that can be kept as a table and
+    merged, in any order and with the same bits as if all rows had been read at once."""
+    own = df.withColumn("__x", (F.col(x) if isinstance(x, str) else x).cast("double")).withColumn(
+        "__ordinary", F.expr(f"struct({_ordinary('__x')})")).withColumn("__float", F.expr(f"struct({_float('__x')})"))
+    sums = {"rows": "count(1)"} | {n: e for n, e in _sums("__x", True).items() if n != "__x_std"}
+    return own.groupBy(*keys).agg(F.expr(f"struct({', '.join(f'{e} AS {n}' for n, e in sums.items())})").alias("state"))
+
+
+def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The states of coarser ``keys``, or of the same keys from several tables."""
+    fields = states.schema["state"].dataType.names
+    return states.groupBy(*keys).agg(F.expr(f"struct({', '.join(f'sum(state.{n}) AS {n}' for n in fields)})").alias("state"))
+
+
+def state_stats(states: DataFrame, keys: Sequence[str], mean: str, error: str) -> DataFrame:
+    """Mean and standard error of every state. A group with values that the digits
+    cannot hold has no error: it cannot be merged from sums."""
+    own = _places("__x", "state", True)
+    of = {mean: exact_mean("").text, error: "CASE WHEN $odd = 0 AND $n > 1 THEN $error END"}
+    return states.select(*keys, *[F.expr(re.sub(r"\$\w+", lambda m: own[m.group()], t)).alias(n) for n, t in of.items()])

@@ -55,6 +55,23 @@ def natural_full_join(tables: Sequence[DataFrame], null_safe: bool = True) -> Da
     return reduce(lambda a, b: natural_join(a, b, "full", null_safe=null_safe), tables)
 
 
+def lookup_by_period(df: DataFrame, lookup: DataFrame, on: Sequence[str], period: str, value: str) -> DataFrame:
+    """J4 with a lookup that is valid by year: each row gets the ``value`` that was last
+    recorded for its ``on`` columns in or before its own ``period``, NULL if there is
+    none, so that a key recorded under two values does not fan out. Of several values
+    of one key and period the smallest counts; a row without a period gets none.
+
+    The records of a key are one short list (one entry a period), made by a grouped
+    aggregate and joined by key; no window runs over the rows.
+    """
+    records = lookup.where(F.col(period).isNotNull()).groupBy(*on, F.col(period).alias("__from")).agg(
+        F.min(value).alias("__value"))
+    listed = records.groupBy(*on).agg(F.collect_list(F.struct("__from", "__value")).alias("__records"))
+    j = natural_join(df, listed, "left", on=list(on))
+    past = F.filter("__records", lambda r: r["__from"] <= F.col(period))
+    return j.withColumn(value, F.array_max(past)["__value"]).drop("__records")
+
+
 def left_join_fill(left: DataFrame, right: DataFrame, on: Sequence[str],
                    fill_cols: Sequence[str], fill: float = 0.0,
                    null_safe: bool = True) -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixed import ALL_SITES_BIN_ORIGIN, SITE_BIN_ORIGIN
+from .functions.exact import exact_state, merge_states, state_stats
 from .functions.nulls import sum0
 from .functions.text import bin_label
 from .operators.aggregate import nested_mean_se, with_global_stats
-from .operators.join import natural_full_join
+from .operators.join import lookup_by_period, natural_full_join
 from .operators.order import with_place
 from .operators.recode import category_rank
 from .operators.reshape import pivot_wide, rename_with, unpivot_list
@@ -331,6 +332,21 @@ def q_levels_of_stems(spark, root, layout="survey"):
     return trees.density_levels(_r(spark, root, layout).trees)
 
 
+def q_merged_states(spark, root, layout="survey"):
+    """A10: mean height per site over all years, from states per year and plot."""
+    heights = _r(spark, root, layout).heights
+    states = exact_state(heights, ["SY", "Site", "Plot"], "Tree_Height_m")
+    return state_stats(merge_states(states, ["Site"]), ["Site"], "mean_height", "mean_height_SE")
+
+
+def q_island_by_year(spark, root, layout="survey"):
+    """Stems per site and year with the island last recorded, in an even year."""
+    r = _r(spark, root, layout)
+    stems = r.trees.groupBy("SY", "Site").agg(F.count(F.lit(1)).alias("stems"))
+    sheets = r.densiometer.select("Site", "SY", "Island").where(F.col("SY") % 2 == 0)
+    return lookup_by_period(stems, sheets, ["Site"], "SY", "Island")
+
+
 # -- sums without an order: the same bits for any partitioning ---------------------
 
 def q_exact_basal_area(spark, root, layout="survey"):
@@ -408,6 +424,8 @@ QUERIES: dict[str, Query] = {
     "unpivot_list": q_unpivot_list,
     "report_order": q_report_order,
     "levels_of_stems": q_levels_of_stems,
+    "merged_states": q_merged_states,
+    "island_by_year": q_island_by_year,
     "exact_basal_area": q_exact_basal_area,
     "exact_tree_height": q_exact_tree_height,
     "exact_water_quality": q_exact_water_quality,
@@ -423,7 +441,8 @@ SPARSE = ("tree_measurement_table", "species_contribution_alive", "species_contr
           "height_change", "density_change", "natural_full_join", "canopy_table",
           "seedling_table", "sapling_table", "site_island_conflicts", "seedling_density",
           "sapling_density", "left_join_zero_fill", "debris_box", "pivot_fill_zero", "unpivot_multi",
-          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height")
+          "coarse_volume", "total_debris", "natural_full_join_n", "exact_basal_area", "exact_tree_height",
+          "island_by_year", "merged_states")
 
 
 def _on_sparse(fn: Query) -> Query:

@@ -79,3 +79,27 @@ def test_plain_aggregates_in_one_hash_aggregate(spark):
         .executedPlan().toString()
     assert plan.count("HashAggregate(") == 2 and plan.count("Exchange") == 1
     assert "Python" not in plan and "ObjectHash" not in plan and "Sort" not in plan
+
+
+def test_states_merge_to_the_same_bits(spark, tmp_path):
+    """A year added to the kept table gives what all rows at once would give; the files
+    of other years are not read or written."""
+    import os
+    from quadrat.operators.state import kept_stats, update_state
+    r = random.Random(4)
+    rows = [(y, f"s{r.randrange(3)}", r.randrange(4), None if r.random() < .1 else r.gauss(10, 3) * 10 ** r.randrange(3))
+            for y in (2020, 2021, 2022) for _ in range(300)]
+    df = spark.createDataFrame(rows, "SY int, Site string, Plot int, h double")
+    path = str(tmp_path / "state")
+    files = {}
+    for year in (2021, 2020, 2022):
+        update_state(path, df.where(F.col("SY") == year), "SY", ["Site", "Plot"], "h")
+        now = {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, n in os.walk(path) for f in n if "SY=" in d}
+        assert files.items() <= now.items()
+        files = now
+    for keys in (["Site"], ["SY", "Site"], ["Site", "Plot"]):
+        whole = aggregate(df, keys, exact_mean("h").alias("m"), exact_std_error("h").alias("e"))
+        got = kept_stats(spark, path, keys, "m", "e").select(*whole.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    update_state(path, df.where("SY = 2020").limit(0), "SY", ["Site", "Plot"], "h")      # nothing new
+    assert kept_stats(spark, path, ["Site"], "m", "e").count() == 3
