@@ -108,7 +108,7 @@ class Encoder:
         """Whether the stretches kept as ``number`` have these bytes."""
         at = np.frombuffer(self.text_at, np.int64)
         same = at[number + 1] - at[number] == size
-        i = np.flatnonzero(same)
+        i = np.flatnonzero(same & (size > 8))             # shorter ones of one length have their own hashes
         same[i] = same_bytes(np.frombuffer(self.text, np.uint8), at[number[i]], data, a[i], size[i])
         return same
 
@@ -119,7 +119,7 @@ class Encoder:
         key, at, which = np.unique(h, return_index=True, return_inverse=True)
         size = end - start
         other = size != size[at][which]
-        i = np.flatnonzero(~other & (size > 8))           # shorter ones of one length have their own hashes
+        i = np.flatnonzero(~other & (size > 8))
         other[i] = ~same_bytes(data, start[i], data, start[at[which[i]]], size[i])
         a, z = start[at], end[at]
         number = np.full(len(key), -1, np.int64)
@@ -138,9 +138,10 @@ class Encoder:
             fresh = [raw[x:y] for x, y in zip(np.concatenate([a[new], start[odd]]).tolist(),
                                               np.concatenate([z[new], end[odd]]).tolist())]
             learnt = self._learn([x.decode("utf-8", "replace") for x in fresh])
-            for i in np.argsort(learnt).tolist():
-                self.text += fresh[i]
-                self.text_at.append(len(self.text))
+            order = np.argsort(learnt)                     # numbers are given without gaps
+            size = np.concatenate([z[new] - a[new], end[odd] - start[odd]])[order]
+            self.text_at.frombytes((len(self.text) + np.cumsum(size)).astype(np.int64).tobytes())
+            self.text += b"".join([fresh[i] for i in order.tolist()])
             number[new] = learnt[:len(new)]
             keep = new[~clash[new]]
             recent = self._table(*(np.concatenate([x, y[keep]]) for x, y in zip(self.tables[1], (key, number))))
@@ -191,11 +192,11 @@ class Encoder:
 
 
 def _return_freed_memory() -> None:
-    """Let glibc give freed blocks of 1 MB and more back to the system; by default
+    """Let glibc give freed blocks of 8 MB and more back to the system; by default
     it raises that size as arrays are freed, and workers keep half of what they
     once held. Other C libraries have no such setting."""
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        ctypes.CDLL(None).mallopt(-3, 8 << 20)
     except (AttributeError, OSError):
         pass
 
