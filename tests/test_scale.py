@@ -1,5 +1,6 @@
 """Plan shape and skew behaviour: the properties that matter at cluster scale."""
 
+import random
 import re
 
 import pytest
