@@ -6,7 +6,7 @@ import numpy as np
 from quadrat.llm import quality_classifier as C
 from quadrat.llm import quality_rules as R
 
-from .common import frame, odd_rows
+from .common import frame, odd_rows, twins
 
 SF = "/root/testdata/sf0.01"
 
@@ -90,3 +90,10 @@ def test_classifier_odd_rows(spark):
     df = frame(spark, rows)
     kept = C.keep_good(df, labels.limit(0))
     assert kept.schema == df.schema and kept.count() == len(rows)
+
+
+def test_regular_lines_are_told_apart(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(1, "\n".join(twins())), (2, "\n".join([twins()[0]] * 2))]
+    got = {r.doc_id: r.n_dup_lines for r in R.quality_rules(frame(spark, rows), labels).collect()}
+    assert got == {1: 0, 2: 1}
