@@ -26,16 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-
-def _shuffle_partitions(spark) -> int:
-    """The session's shuffle partition count (some platforms set "auto")."""
-    v = spark.conf.get("spark.sql.shuffle.partitions", None)
-    try:
-        return max(1, int(v))
-    except (TypeError, ValueError):
-        return spark.sparkContext.defaultParallelism
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
@@ -44,7 +35,7 @@ def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
     materialised once. The group is a struct: it is never NULL, and structs with
     equal fields, NULL ones included, are equal in joins."""
     spark = df.sparkSession
-    n = num_partitions or _shuffle_partitions(spark)
+    n = num_partitions or shuffle_partitions(spark)
     v = (df.select(F.struct(*keys).alias("__g"), F.col(value).cast("double").alias("__v"),
                    F.xxhash64(*keys, value, *row_key).alias("__tie"))
          .where(F.col("__v").isNotNull() & ~F.isnan("__v")))

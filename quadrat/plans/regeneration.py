@@ -20,6 +20,7 @@ from ..operators.aggregate import with_global_stats
 from ..operators.join import natural_join
 from ..operators.recode import category_rank, distinct_pairs, label_of
 from ..operators.reshape import columns_matching, unpivot_multi, unpivot_regex
+from ..session import spread
 
 
 def counts_long(regen: DataFrame, stage: str, ids=("SY", "Site", "Plot", "Quadrat")) -> DataFrame:
@@ -121,9 +122,16 @@ def _stage_columns(regen: DataFrame, stage: str) -> dict[str, str]:
 
 def sapling_plots(regen: DataFrame) -> DataFrame:
     """A11 levels 1-2 on wide rows: quadrat sums, then the plot mean of each
-    species (a column each) - no row per species before the aggregates."""
+    species (a column each) - no row per species before the aggregates.
+
+    Where plots are small, no level shrinks the rows much, and a task would hold a hash
+    map of its rows for each of them. So the rows go to their plot once, in as many
+    parts as the session has shuffle partitions (adaptive execution would join parts
+    again by their compressed bytes); both levels, and the partial aggregate of a
+    next one, then run on one such part."""
     cols = _stage_columns(regen, "saplings")
-    q = regen.groupBy("SY", "Site", "Plot", "Quadrat").agg(
+    rows = spread(regen.select("SY", "Site", "Plot", "Quadrat", *cols.values()), "SY", "Site", "Plot")
+    q = rows.groupBy("SY", "Site", "Plot", "Quadrat").agg(
         F.count(F.lit(1)).alias("rows"), *[sum0(F.col(c).cast("double")).alias(sp) for sp, c in cols.items()])
     return q.groupBy("SY", "Site", "Plot").agg(
         F.count(F.lit(1)).alias("quadrats"), *[F.avg(sp).alias(f"{sp}_dens") for sp in cols], *[std_error(sp).alias(f"{sp}_se") for sp in cols])

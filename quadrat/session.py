@@ -10,7 +10,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; all are standard Spark SQL options.
 SCALE_CONF = {
@@ -72,3 +72,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)
     return path
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count, Spark's own default where none is set
+    (some platforms set "auto")."""
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except ValueError:
+        return spark.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` over all shuffle partitions. An explicit number is
+    not coalesced by adaptive execution, so what a task holds is set by the session."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)

@@ -289,3 +289,23 @@ def test_command_line_report(spark, tmp_path):
     # Plot was written as bigint by the mapping and is read back as declared (string).
     from quadrat.sources.catalog import read_table
     assert dict(read_table(spark, str(tables), "tree_measurements").dtypes)["Plot"] == "string"
+
+
+def test_sapling_plots_share_one_uncoalesced_shuffle(spark):
+    """Rows go to their plot once, in the session's number of parts: no task holds the
+    maps of several levels for what adaptive execution has joined by bytes."""
+    p = _plan(QUERIES["sapling_table_sparse"](spark, SF))
+    plots = [ln for ln in p.splitlines() if re.search(r"hashpartitioning\(SY#\d+, Site#\d+, Plot#\w+, \d+\)", ln)]
+    assert len(plots) == 1 and "REPARTITION_BY_NUM" in plots[0] and ", 8)" in plots[0]
+
+
+def test_shuffle_partitions_without_a_setting(spark):
+    """Where none is set, Spark's default counts, not the number of cores."""
+    from quadrat.session import shuffle_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.unset("spark.sql.shuffle.partitions")
+    try:
+        assert shuffle_partitions(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert shuffle_partitions(spark) == int(old)
