@@ -150,8 +150,8 @@ def sapling_site_stats(regen: DataFrame, sapling: DataFrame, densio: DataFrame,
     """D7 before the species filter: density and height per (SY, Site, Species)
     with island and the height rescaled over all species (M15, J7)."""
     a = sapling_plot_density(regen)
-    b = (sapling.groupBy("SY", "Site", "Plot", "Quadrat", "Species")
-         .agg(F.avg("Height_cm").alias("quad_ht"))
+    quad = sapling.groupBy("SY", "Site", "Plot", "Quadrat", "Species").agg(F.avg("Height_cm").alias("quad_ht"))
+    b = (spread(quad, "SY", "Site", "Plot", "Species")      # as for the counts, see sapling_plots
          .groupBy("SY", "Site", "Plot", "Species").agg(F.avg("quad_ht").alias("plot_ht")))
     c = natural_join(a, b, "left", on=["SY", "Site", "Plot", "Species"])   # J3
     c = c.groupBy("SY", "Site", "Species").agg(

@@ -309,3 +309,10 @@ def test_shuffle_partitions_without_a_setting(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert shuffle_partitions(spark) == int(old)
+
+
+def test_sapling_heights_are_dealt_uncoalesced(spark):
+    p = _plan(QUERIES["sapling_density_sparse"](spark, SF))
+    heights = [ln for ln in p.splitlines()
+               if re.search(r"hashpartitioning\(SY#\d+, Site#\d+, Plot#\w+, Species#\d+, \d+\)", ln)]
+    assert len(heights) == 1 and "REPARTITION_BY_NUM" in heights[0]
