@@ -6,7 +6,9 @@ Here the exact order statistics come from a global sort instead:
 
 1. range-partition all values on ``(group, value, row key)`` - a hot group is
    spread over many partitions, ties included where a row key is given;
-2. that layout is checkpointed once, with the partition of each row;
+2. that layout is checkpointed once, with the partition of each row. A group that
+   lies in one partition, as all do but those at the ends of ranges, is no longer
+   than a range: one window gives its places and quantiles; for the others:
 3. per (group, partition): number of rows, and from these the rows of the group
    in earlier partitions and in all (one row per group and partition);
 4. rows get their place in (group, partition) by a window on just that, and with
@@ -15,15 +17,15 @@ Here the exact order statistics come from a global sort instead:
    ``quantile_cont``) are kept;
 5. box-plot whiskers join the fences to the values on (group, partition) too.
 
-The values move twice, to their range and to their (group, partition), and the
-largest bucket of either is one range: no group is hot. Nothing collects a group.
+The values move twice, to their range and to their (group, partition) or group, and the
+largest bucket of any is one range: no group is hot. Nothing collects a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
@@ -47,6 +49,21 @@ def _sorted_checkpoint(df: DataFrame, keys: Sequence[str], value: str,
     return ranged.checkpoint(eager=True)
 
 
+def _whole_and_split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the groups of one partition, with ``n`` and their place in the group,
+    and those of the groups that lie in several. Such a group is the last of one range
+    and the first of another, so they are fewer than the ranges and may be broadcast."""
+    ends = ranked.groupBy("__pid").agg(F.min("__g").alias("__first"), F.max("__g").alias("__last"))
+    several = (ends.select("__pid", F.explode(F.array("__first", "__last")).alias("__g"))
+               .groupBy("__g").agg(F.min("__pid").alias("__from"), F.max("__pid").alias("__to"))
+               .where(F.col("__from") != F.col("__to")).select("__g"))
+    group = Window.partitionBy("__g")
+    one = ranked.select("__g", "__v").join(F.broadcast(several), "__g", "left_anti")
+    whole = one.select("__g", "__v", (F.row_number().over(group.orderBy("__v")) - 1).cast("long").alias("__at"),
+                       F.count(F.lit(1)).over(group).alias("n"))
+    return whole, ranked.join(F.broadcast(several), "__g", "left_semi")
+
+
 def _starts(ranked: DataFrame) -> DataFrame:
     """Per (group, partition): rows of the group before it, and in all."""
     counts = ranked.groupBy("__g", "__pid").agg(F.count(F.lit(1)).alias("__c"))
@@ -63,13 +80,28 @@ def _quantiles(ranked: DataFrame, probs: dict[str, float]) -> DataFrame:
     placed = ranked.withColumn("__row", F.row_number().over(w))
     at = placed.join(_starts(ranked), ["__g", "__pid"]).select(
         "__g", "n", "__v", (F.col("__before") + F.col("__row") - 1).alias("__at"))
-    h = {q: (F.col("n") - 1).cast("double") * F.lit(float(p)) for q, p in probs.items()}
-    sides = [f(x) for x in h.values() for f in (F.floor, F.ceil)]
+    return _at_places(at, probs)
+
+
+def _interpolated(probs: dict[str, float], over=None) -> list[Column]:
+    """A column per probability from the two places beside it, as an aggregate or over
+    a window."""
+    out = []
+    for q, p in probs.items():
+        x = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = (F.max(F.when(F.col("__at") == f(x), F.col("__v"))) for f in (F.floor, F.ceil))
+        if over is not None:
+            lo, hi = lo.over(over), hi.over(over)
+        out.append((lo + (x - F.floor(x)) * (hi - lo)).alias(q))
+    return out
+
+
+def _at_places(at: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """__g, n and a column per probability from rows with their place in the group."""
+    h = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs.values()]
+    sides = [f(x) for x in h for f in (F.floor, F.ceil)]
     few = at.where(F.col("__at").isin(*sides))       # two rows per probability and group
-    lo = {q: F.max(F.when(F.col("__at") == F.floor(x), F.col("__v"))) for q, x in h.items()}
-    hi = {q: F.max(F.when(F.col("__at") == F.ceil(x), F.col("__v"))) for q, x in h.items()}
-    return few.groupBy("__g", "n").agg(*[
-        (lo[q] + (x - F.floor(x)) * (hi[q] - lo[q])).alias(q) for q, x in h.items()])
+    return few.groupBy("__g", "n").agg(*_interpolated(probs))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -84,7 +116,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     called; the rest is lazy.
     """
     ranked = _sorted_checkpoint(df, keys, value, num_partitions, row_key)
-    return _quantiles(ranked, probs).select(*[F.col("__g")[k].alias(k) for k in keys], "n", *probs)
+    whole, split = _whole_and_split(ranked)
+    qs = _quantiles(split, probs).unionByName(_at_places(whole, probs))
+    return qs.select(*[F.col("__g")[k].alias(k) for k in keys], "n", *probs)
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.5,
@@ -97,18 +131,20 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.
     is computed once: the whisker pass reads the checkpointed values.
     """
     ranked = _sorted_checkpoint(df, keys, value, num_partitions, row_key)
-    qs = _quantiles(ranked, {"lower": 0.25, "middle": 0.5, "upper": 0.75})
+    whole, split = _whole_and_split(ranked)
+    probs = {"lower": 0.25, "middle": 0.5, "upper": 0.75}
     reach = F.lit(coef) * (F.col("upper") - F.col("lower"))
-    fences = qs.select("__g", "n", "lower", "middle", "upper",
-                       (F.col("lower") - reach).alias("__flo"), (F.col("upper") + reach).alias("__fhi"))
-    near = _starts(ranked).select("__g", "__pid").join(fences.select("__g", "__flo", "__fhi"), "__g")
-    j = ranked.join(near, ["__g", "__pid"])
+    low, high = F.col("lower") - reach, F.col("upper") + reach
     inside = (F.col("__v") >= F.col("__flo")) & (F.col("__v") <= F.col("__fhi"))
-    w = j.groupBy("__g").agg(
-        F.min(F.when(inside, F.col("__v"))).alias("__wlo"),
-        F.max(F.when(inside, F.col("__v"))).alias("__whi"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"))
-    return fences.join(w, "__g").select(
+    ends = [F.min(F.when(inside, F.col("__v"))).alias("__wlo"), F.max(F.when(inside, F.col("__v"))).alias("__whi"),
+            F.count(F.when(~inside, F.lit(1))).alias("n_outliers")]
+    boxes = (whole.select("__g", "__v", "n", *_interpolated(probs, Window.partitionBy("__g")))
+             .withColumns({"__flo": low, "__fhi": high}).groupBy("__g", "n", *probs).agg(*ends))
+    fences = _quantiles(split, probs).select("__g", "n", *probs, low.alias("__flo"), high.alias("__fhi"))
+    near = _starts(split).select("__g", "__pid").join(fences.select("__g", "__flo", "__fhi"), "__g")
+    w = split.join(near, ["__g", "__pid"]).groupBy("__g").agg(*ends)
+    both = fences.drop("__flo", "__fhi").join(w, "__g").unionByName(boxes)
+    return both.select(
         *[F.col("__g")[k].alias(k) for k in keys], "n",
         F.least(F.col("lower"), F.col("__wlo")).alias("ymin"),
         "lower", "middle", "upper",

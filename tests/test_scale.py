@@ -315,4 +315,20 @@ def test_sapling_heights_are_dealt_uncoalesced(spark):
     p = _plan(QUERIES["sapling_density_sparse"](spark, SF))
     heights = [ln for ln in p.splitlines()
                if re.search(r"hashpartitioning\(SY#\d+, Site#\d+, Plot#\w+, Species#\d+, \d+\)", ln)]
-    assert len(heights) == 1 and "REPARTITION_BY_NUM" in heights[0]
+    assert heights and all("REPARTITION_BY_NUM" in ln for ln in heights)
+
+
+def test_groups_of_one_range_take_one_window(spark):
+    """Only groups that lie in several ranges are placed by counts and joins; both ways
+    give the same as percentile, whatever the number of ranges."""
+    from quadrat.operators.quantiles import _sorted_checkpoint, _whole_and_split
+    df = spark.range(2000).select(
+        F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 300).alias("g"), F.col("id").cast("double").alias("v"))
+    whole, split = _whole_and_split(_sorted_checkpoint(df, ["g"], "v", 6, ()))
+    groups, several = ({r[0][0] for r in x.select("__g").distinct().collect()} for x in (whole, split))
+    assert 0 in several and len(several) <= 5 and len(groups | several) == 300 and not groups & several
+    assert whole.count() + split.count() == 2000
+    ref = {r[0]: r[1] for r in df.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75])).collect()}
+    for n in (1, 6):
+        box = {r["g"]: [r["lower"], r["middle"], r["upper"]] for r in box_summary(df, ["g"], "v", num_partitions=n).collect()}
+        assert box.keys() == ref.keys() and all(box[g] == pytest.approx(ref[g]) for g in ref)
